@@ -113,15 +113,18 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, *, lower: bool = True, by_kind: bool = False):
+def words(data: np.ndarray, offsets: np.ndarray, *, lower: bool = True, by_kind: bool = False, prefixes: tuple[int, ...] = ()):
     """(hash, row) of every word of some rows, in order, and the number of words of each row.
 
+    With `prefixes`, a list follows: for each length in bytes, (hash, row) of the beginnings of the longer words.
+
     A word is a maximal run of bytes that are not ASCII white space, A-Z taken as a-z if `lower`; with `by_kind`
     runs of letters or digits and runs of punctuation count apart.
     """
     n_rows = len(offsets) - 1
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n_rows, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return (*none, np.zeros(n_rows, np.int64)) + (([none for _ in prefixes],) if prefixes else ())
     if by_kind:
         kind = _KIND[data]
         new = np.empty(len(data), bool)
@@ -149,7 +152,33 @@ def words(data: np.ndarray, offsets: np.ndarray, *, lower: bool = True, by_kind:
     np.cumsum((_LOWER if lower else _BYTE)[data] * up, out=total[1:])
     h = mix((total[ends] - total[starts]) * down[starts])
     counts = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
-    return h, np.repeat(np.arange(n_rows), counts), counts
+    rows = np.repeat(np.arange(n_rows), counts)
+    if not prefixes:
+        return h, rows, counts
+    begun = []
+    for k in prefixes:
+        at = np.flatnonzero(ends - starts > k)
+        begun.append((mix((total[starts[at] + k] - total[starts[at]]) * down[starts[at]] + np.uint64(k)), rows[at]))
+    return h, rows, counts, begun
+
+
+# ----------------------------------------------------------------- labelled samples
+
+
+def held_out(id_col: str = "doc_id"):
+    """Rows whose labels no model sees: crc32 of the id as text, modulo 3, is 1."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, label, text) of at most max_rows labelled documents that are not held out, by a hash of the id.
+
+    The ids and labels chosen, max_rows at most, are broadcast to the documents. Null labels don't count; of
+    several labels of an id the largest holds, of several texts the least.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col, "label").agg(F.min(F.coalesce(text_col, F.lit(""))).alias("text"))
 
 
 # ----------------------------------------------------------------- links to components
