@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -181,6 +182,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col, "label").agg(F.min(F.coalesce(text_col, F.lit(""))).alias("text"))
 
 
+def learned(sample: DataFrame, id_col: str, learn):
+    """What `learn` makes of a bounded sample, as one table in order of the ids, in one task.
+
+    The driver gets the model only, not the rows; a lost executor's task runs again.
+    """
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        model = learn(pa.Table.from_batches(rows).sort_by(id_col) if rows else None)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = [row["model"] for row in sample.repartition(1).mapInArrow(one, "model binary").collect()]
+    return pickle.loads(made[0]) if made else learn(None)
+
+
+def list_views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column of lists of numbers, without copies."""
+    column = column.combine_chunks()
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
 # ----------------------------------------------------------------- links to components
 
 

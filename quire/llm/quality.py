@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import held_out, labelled_sample, mix, string_slices, words
+from quire.llm.common import held_out, labelled_sample, learned, list_views, mix, string_slices, words
 
 #: Weights: 2 ** BITS. Documents learned from: at most MAX_ROWS, chosen by a hash of the id.
 BITS, MAX_ROWS = 18, 20_000
@@ -74,11 +74,11 @@ def learn(samples: list[tuple[np.ndarray, np.ndarray, int]], *, alpha: float = 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn from at most max_rows labelled documents that are not held out; their terms come to the driver."""
+    """Learn from at most max_rows labelled documents that are not held out; their terms meet in one task."""
     sample = labelled_sample(docs, labels, label, max_rows, id_col, text_col)
     schema = T.StructType([sample.schema[id_col]]).add("label", "integer").add("terms", T.ArrayType(T.IntegerType())).add("times", T.ArrayType(T.IntegerType()))
-    rows = sample.mapInArrow(lambda batches: _features(batches, id_col), schema).toPandas().sort_values(id_col)
-    return learn([(np.asarray(t, np.int64), np.asarray(x, float), int(y)) for t, x, y in zip(rows["terms"], rows["times"], rows["label"])])
+    made = sample.mapInArrow(lambda batches: _features(batches, id_col), schema)
+    return learned(made, id_col, lambda t: learn(list(zip(list_views(t["terms"]), list_views(t["times"]), t["label"].to_pylist())) if t else []))
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

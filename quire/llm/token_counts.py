@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,7 +98,11 @@ def token_counts(docs: DataFrame, model_path: str, *, text_col: str = "text", he
     spark = docs.sparkSession
     docs = docs.drop("n_bytes", "n_tokens")
     known = save(vocabulary(docs, model_path, text_col), "token-vocabulary")
-    top = known.where(F.length("token") <= HEAD_CHARS).orderBy(F.desc("freq"), "token").limit(head_size).select("token", "pieces").toPandas()
+    short = known.where(F.length("token") <= HEAD_CHARS)
+    # from which frequency on there are few enough tokens: a sum over the few distinct frequencies of frequent ones
+    at_least = short.groupBy(F.least("freq", F.lit(1 << 20)).alias("f")).count().withColumn("n", F.sum("count").over(Window.orderBy(F.desc("f")))).where(F.col("n") <= head_size)
+    least = at_least.agg(F.min("f").alias("f")).first()["f"]
+    top = short.where(F.col("freq") >= (least or 1 << 62)).select("token", "pieces").toPandas()
     head = spark.sparkContext.broadcast(dict(zip(top["token"], top["pieces"].astype(int))))
     keep = [c for c in docs.columns if c != text_col]
     schema = T.StructType(docs.select(*keep).schema.fields).add("n_bytes", "long").add("head_tokens", "long")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import held_out, labelled_sample, string_slices, words
+from quire.llm.common import held_out, labelled_sample, learned, list_views, string_slices, words
 
 #: Terms are hashed to 2 ** BITS numbers. Documents learned from: at most MAX_ROWS, chosen by a hash of the id.
 BITS, MAX_ROWS = 20, 20_000
@@ -57,9 +57,10 @@ def learn(samples: list[tuple[np.ndarray, int]], *, alpha: float = 2.0, l1: floa
 
     Documents of label 1 count `lift` times. Terms of fewer than `least` documents have no weight. Without samples every score is 0.5.
     """
-    every = np.concatenate([t for t, _ in samples]) if samples else np.zeros(0, np.int64)
-    used, counts = np.unique(every, return_counts=True)
-    used = used[counts >= least]
+    counts = np.zeros(1 << BITS, np.int32)
+    for t, _ in samples:
+        counts[t] += 1
+    used = np.flatnonzero(counts >= least)
     slot = np.zeros(1 << BITS, np.int32)
     slot[used] = np.arange(1, len(used) + 1)
     size = len(used) + 2  # row 0: terms without a weight; the last: the bias
@@ -94,11 +95,11 @@ def learn(samples: list[tuple[np.ndarray, int]], *, alpha: float = 2.0, l1: floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn from at most max_rows labelled documents that are not held out; their terms come to the driver."""
+    """Learn from at most max_rows labelled documents that are not held out; their terms meet in one task."""
     sample = labelled_sample(docs, labels, label, max_rows, id_col, text_col)
     schema = T.StructType([sample.schema[id_col]]).add("label", "integer").add("terms", T.ArrayType(T.IntegerType()))
-    rows = sample.mapInArrow(lambda batches: _features(batches, id_col), schema).toPandas().sort_values(id_col)
-    return learn([(np.asarray(t, np.int64), int(y)) for t, y in zip(rows["terms"], rows["label"])])
+    made = sample.mapInArrow(lambda batches: _features(batches, id_col), schema)
+    return learned(made, id_col, lambda t: learn(list(zip(list_views(t["terms"]), t["label"].to_pylist())) if t else []))
 
 
 def _score(model: Model, column: pa.Array) -> np.ndarray:
