@@ -109,7 +109,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str) -> It
                 bands[some] = mix(code + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 keys[0, some] = np.add.reduceat(mix(s), starts)
                 keys[1, some] = np.add.reduceat(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
-            lists = pa.ListArray.from_arrays(pa.array(np.where(sizes > 0, BANDS, 0).cumsum() - 0 if n else [], pa.int32()), pa.array([], pa.int64())) if False else pa.ListArray.from_arrays(pa.array(np.append(0, np.where(sizes > 0, BANDS, 0).cumsum()), pa.int32()), pa.array(bands[some].ravel()))
+            ends = np.append(0, np.cumsum(np.where(sizes > 0, BANDS, 0)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[some].ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(first, n), pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], names)
 
 
@@ -128,13 +129,57 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(first, end - first), lists], ["rep", "shingles"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, per_cent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, shared, size_a, size_b, linked): the exact comparison of the whole sets of each pair."""
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct().join(reps.select("rep", "text_key"), "rep")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    texts = texts.join(needed, ["rep", "text_key"]).select("rep", "text")
+def verified(pairs: DataFrame, docs: DataFrame, per_cent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, shared, size_a, size_b, linked): the exact comparison of the whole sets of each pair of ids.
+
+    Of several rows of an id the pair whose sets share most counts.
+    """
+    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(needed, "rep")
     schema = T.StructType([texts.schema["rep"]]).add("shingles", T.ArrayType(T.LongType()))
-    sets = save(texts.mapInArrow(_sets, schema), "shingle-sets").dropDuplicates(["rep"])
+    sets = save(texts.select("rep", "text").mapInArrow(_sets, schema), "shingle-sets")
     both = pairs.join(sets.withColumnsRenamed({"rep": "a", "shingles": "set_a"}), "a").join(sets.withColumnsRenamed({"rep": "b", "shingles": "set_b"}), "b")
-    counted = both.select(*pairs.columns, F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
-    return counted.withColumn("linked", 100 * F.col("shared") >= per_cent * (F.col("size_a") + F.col("size_b") - F.col("shared")))
+    counted = both.select("a", "b", F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
+    share = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
+    best = counted.groupBy("a", "b").agg(F.max_by(F.struct("shared", "size_a", "size_b"), share).alias("s")).select("a", "b", "s.*")
+    return best.withColumn("linked", 100 * F.col("shared") >= per_cent * (F.col("size_a") + F.col("size_b") - F.col("shared")))
+
+
+def near_duplicates(docs: DataFrame, *, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (id, n_shingles, component_id, kept) for each row of docs.
+
+    Documents are linked if their sets of shingles have a Jaccard similarity of per_cent / 100 or more. n_shingles
+    is the size of the set, component_id the least id reachable over links, itself included, kept whether they are
+    equal. Null texts and texts without words have no shingles and no links. Rows of one id are one document for
+    the links; a null id has no links. An empty table gives an empty one.
+    """
+    sketch = save(sketches(docs, id_col, text_col), "minhash-sketches")
+    some = sketch.where("n_shingles > 0 and id is not null")
+    classes = save(some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.min_by("bands", "id").alias("bands")), "minhash-classes")
+    members = some.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    bucket = save(classes.select("rep", "n", F.explode("bands").alias("bucket")), "minhash-buckets")
+    least = bucket.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lead"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
+    placed = save(bucket.join(least, "bucket"), "minhash-placed")
+    fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * per_cent  # noqa: E731  else the sizes alone decide
+    first = placed.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    checked = save(verified(first, docs, per_cent, id_col, text_col), "minhash-verified")
+    links = checked.where("linked").select("a", "b")
+    known = save(components(links, "minhash-components"), "minhash-known")
+    # buckets that still hold several components; how far a class is from the bucket's least one is known
+    apart = placed.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = apart.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    far = checked.select(F.col("a").alias("rep"), F.col("b").alias("lead"), (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("far"))
+    apart = save(apart.join(several, "bucket").join(far, ["rep", "lead"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "minhash-apart")
+    groups = apart.groupBy("bucket", "component").agg(F.min("far").alias("near"), F.max("far").alias("far"))
+    limit = 1 - per_cent / 100 + 1e-9
+    g, h = groups.alias("g"), groups.alias("h")
+    facing = g.join(h, (F.col("g.bucket") == F.col("h.bucket")) & (F.col("g.component") < F.col("h.component")) & (F.col("g.near") - F.col("h.far") <= limit) & (F.col("h.near") - F.col("g.far") <= limit)).select(F.col("g.bucket").alias("bucket"), F.col("g.component").alias("component"), F.col("h.component").alias("other"))
+    own = facing.join(apart.select("bucket", "component", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("far").alias("far_a")), ["bucket", "component"])
+    other = apart.select("bucket", F.col("component").alias("other"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("far").alias("far_b"))
+    rest = own.join(other, ["bucket", "other"]).where((F.abs(F.col("far_a") - F.col("far_b")) <= limit) & fits(F.col("n_a"), F.col("n_b")))
+    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    more = verified(save(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "minhash-rest"), docs, per_cent, id_col, text_col)
+    every = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where("linked").select("a", "b")).union(members)
+    found = components(every, "minhash-components")
+    out = sketch.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, quality, token_counts, toxicity, url_filter
+from quire.llm import line_dedup, minhash, mixing, quality, token_counts, toxicity, url_filter
 from quire.llm.common import table
 
 #: Tokens over which a document is marked.
@@ -20,6 +20,49 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = line_dedup.line_dedup(docs)
+    return done.select("doc_id", "n_lines", "n_exact", "n_near", F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("kept_md5"))
+
+
+OP4_SQL = f"""
+WITH every AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents
+), normed AS (
+  SELECT doc_id, line_no, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM every
+), firsts AS (
+  SELECT norm, min(doc_id * 100000000 + line_no) AS place FROM normed WHERE norm <> '' GROUP BY norm
+), long_lines AS (
+  SELECT norm, place, string_split(norm, ' ') AS words, len(string_split(norm, ' ')) AS n FROM firsts
+), variants AS (
+  SELECT norm, place, n - 1 AS m, i, array_to_string(words[1:i - 1], ' ') AS a, array_to_string(words[i + 1:n], ' ') AS b
+  FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM long_lines WHERE n >= {line_dedup.MIN_WORDS})
+  UNION ALL
+  SELECT norm, place, n, i, array_to_string(words[1:i - 1], ' '), array_to_string(words[i:n], ' ')
+  FROM (SELECT *, unnest(generate_series(1, n + 1)) AS i FROM long_lines WHERE n >= {line_dedup.MIN_WORDS})
+), earliest AS (
+  SELECT m, i, a, b, min(place) AS place FROM variants GROUP BY m, i, a, b HAVING count(*) > 1
+), near AS (
+  SELECT DISTINCT v.norm FROM variants v JOIN earliest e USING (m, i, a, b) WHERE e.place < v.place
+), judged AS (
+  SELECT x.doc_id, x.line_no, x.line,
+    CASE WHEN x.norm = '' THEN 0 WHEN f.place < x.doc_id * 100000000 + x.line_no THEN 1 WHEN x.norm IN (SELECT norm FROM near) THEN 2 ELSE 0 END AS goes
+  FROM normed x LEFT JOIN firsts f USING (norm)
+), kept AS (
+  SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (WHERE goes = 1) AS INTEGER) AS n_exact, CAST(count(*) FILTER (WHERE goes = 2) AS INTEGER) AS n_near,
+    coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE goes = 0), '') AS kept_text
+  FROM judged GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_exact, n_near, CAST(length(kept_text) AS BIGINT) AS n_chars_kept, md5(kept_text) AS kept_md5 FROM kept
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, piece_model()).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -48,9 +91,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op5_token_counts, op6_mix_sources, op7_toxicity, op8_url_filter, op10_quality)
+    every = (op3_minhash_dedup, op4_line_dedup, op5_token_counts, op6_mix_sources, op7_toxicity, op8_url_filter, op10_quality)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": OP4_SQL}
