@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import line_dedup, minhash, mixing, quality, token_counts, toxicity, url_filter
+from quire.llm import decontamination, embedding_dedup, line_dedup, minhash, mixing, quality, token_counts, toxicity, url_filter
 from quire.llm.common import table
 
 #: Tokens over which a document is marked.
@@ -20,6 +20,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embedding_dedup.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -84,6 +89,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    leaks = {"contaminated": F.size("leaks") > 0, "n_items": F.size("leaks").cast("long"), "items": F.transform("leaks", lambda x: x["item"]), "least_distance": F.array_min(F.transform("leaks", lambda x: x["distance"]))}
+    return found.withColumns(leaks).select("doc_id", *leaks)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -91,7 +103,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op3_minhash_dedup, op4_line_dedup, op5_token_counts, op6_mix_sources, op7_toxicity, op8_url_filter, op10_quality)
+    every = (op1_embedding_dedup, op3_minhash_dedup, op4_line_dedup, op5_token_counts, op6_mix_sources, op7_toxicity, op8_url_filter, op9_decontamination, op10_quality)
     return {f.__name__: f for f in every}
 
 
