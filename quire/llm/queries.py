@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontamination, embedding_dedup, line_dedup, minhash, mixing, quality, token_counts, toxicity, url_filter
+from quire.llm import decontamination, embedding_dedup, line_dedup, minhash, mixing, quality, suffix_dedup, token_counts, toxicity, url_filter
 from quire.llm.common import table
 
 #: Tokens over which a document is marked.
@@ -25,6 +25,11 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup_passages(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -103,7 +108,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_embedding_dedup, op3_minhash_dedup, op4_line_dedup, op5_token_counts, op6_mix_sources, op7_toxicity, op8_url_filter, op9_decontamination, op10_quality)
+    every = (op1_embedding_dedup, op2_suffix_dedup, op3_minhash_dedup, op4_line_dedup, op5_token_counts, op6_mix_sources, op7_toxicity, op8_url_filter, op9_decontamination, op10_quality)
     return {f.__name__: f for f in every}
 
 
