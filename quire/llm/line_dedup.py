@@ -24,46 +24,64 @@ _KEY = ("k1", "k2")
 
 def normal(line: Column) -> Column:
     """A line's words with one space between: what is compared. Without words: empty."""
-    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    odd = line.contains("  ")
+    for sign in ("\t", "\x0b", "\x0c", "\r"):
+        odd = odd | line.contains(sign)
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
 
 
 def _text_key(text: Column) -> Column:
     return F.xxhash64(F.lit(29), text)
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, line_no, line): every line of every text, blank ones too. Null text: none."""
+def _n_words(norm: str) -> Column:
+    return F.length(norm) - F.length(F.replace(F.col(norm), F.lit(" "), F.lit(""))) + 1
+
+
+def keyed_lines(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, line_no, k1, k2, h0..h3): every line with words of every text, by hashes. Null text: none.
+
+    k1 and k2 are the line's, h0 and h1 those of its first and second half, h2 and h3 of the halves of a line of one
+    word less, of which it may be a longer one; null where no near line can share them.
+    """
     split = F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line")
-    return docs.select(F.col(id_col).alias("id"), _text_key(F.col(text_col)).alias("text_key"), split)
+    every = docs.select(F.col(id_col).alias("id"), _text_key(F.col(text_col)).alias("text_key"), split)
+    every = every.select("id", "text_key", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn("n", _n_words("norm"))
+    half = lambda m, side, count, enough: F.when(enough, F.xxhash64(m, F.lit(side), F.call_function("substring_index", F.col("norm"), F.lit(" "), count)))
+    n, n_less = F.col("n"), F.col("n") - 1
+    first = lambda m: (F.floor(m / 2)).cast("int")
+    halves = {
+        "h0": half(n, 0, first(n), n >= least),
+        "h1": half(n, 1, -(n - first(n)).cast("int"), n >= least),
+        "h2": half(n_less, 0, first(n_less), n > least),
+        "h3": half(n_less, 1, -(n_less - first(n_less)).cast("int"), n > least),
+    }
+    return every.select("id", "text_key", "line_no", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm", F.length("norm")).alias("k2"), *[c.alias(name) for name, c in halves.items()])
 
 
-def _halves(words: Column, n: Column, least: int) -> Column:
-    """Keys of the halves that a near line may share: of n words, and of n - 1 words, which it has if it is shorter."""
-    hashed = lambda m, side, some: F.struct(F.lit(side).alias("slot"), F.xxhash64(m, F.lit(side % 2), F.array_join(some, " ")).alias("half"))
-    of = lambda m, slot: [hashed(m, slot, F.slice(words, 1, F.expr(f"greatest(1, n_words - {slot // 2}) div 2"))), hashed(m, slot + 1, F.expr(f"slice(words, n_words - (n_words - {slot // 2} - (n_words - {slot // 2}) div 2) + 1, n_words)"))]
-    return F.when(n > least, F.array(*of(n, 0), *of(n - 1, 2))).when(n == least, F.array(*of(n, 0))).otherwise(F.expr("cast(array() as array<struct<slot:int,half:bigint>>)"))
+def _place() -> Column:
+    return F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("line_no"))
 
 
-def distinct_lines(every: DataFrame, least: int) -> DataFrame:
-    """(k1, k2, first, copies, halves) of every distinct line with words; `first` is its earliest place."""
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("line_no"))
-    keyed = every.select(F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm", F.length("norm")).alias("k2"), place.alias("place"), F.split("norm", " ").alias("words"))
-    keyed = keyed.withColumn("n_words", F.size("words"))
-    keyed = keyed.select(*_KEY, "place", _halves(F.col("words"), F.col("n_words"), least).alias("halves"))
-    return keyed.groupBy(*_KEY).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.any_value("halves").alias("halves"))
+def distinct_lines(every: DataFrame) -> DataFrame:
+    """(k1, k2, first, copies, h0..h3) of every distinct line; `first` is its earliest place."""
+    return every.groupBy(*_KEY).agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), *[F.any_value(f"h{s}").alias(f"h{s}") for s in range(4)])
 
 
-def near_lines(every: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, partner): distinct lines within one word of an earlier one, with the earliest such line's place."""
-    halves = distinct.select(*_KEY, F.explode("halves").alias("h")).select(*_KEY, "h.slot", "h.half")
+    slots = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"h{s}").alias("half")) for s in range(4)])).alias("h")
+    halves = distinct.select(*_KEY, slots).where("h.half is not null").select(*_KEY, "h.slot", "h.half")
     shared = halves.groupBy("half").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most").select("half")
     flags = halves.join(shared, "half").groupBy(*_KEY).agg(*[F.max((F.col("slot") == s).cast("int")).alias(f"s{s}") for s in range(4)])
-    # the words of the lines that may have a near one, from the place where they stand first
-    chosen = flags.join(distinct.select(*_KEY, "first"), list(_KEY)).select("*", F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_no")).drop("first")
-    here = every.select(F.col("id").alias("first_id"), F.col("line_no").alias("first_no"), "norm")
-    here = here.join(chosen, (here["first_id"].eqNullSafe(chosen["first_id"])) & (here["first_no"] == chosen["first_no"])).select(*_KEY, "s0", "s1", "s2", "s3", chosen["first_id"], chosen["first_no"], "norm")
-    here = here.where((F.xxhash64("norm") == F.col("k1"))).dropDuplicates(list(_KEY))
-    chosen = save(here.select("*", F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("first_no").alias("line_no")).alias("first")).drop("first_id", "first_no"), "line-candidates")
+    # the words of the lines that may have a near one, from the document where they stand first
+    chosen = flags.join(distinct.select(*_KEY, "first"), list(_KEY))
+    wanted = chosen.groupBy(F.col("first.id").alias("first_id")).agg(F.collect_list(F.struct(*_KEY, "s0", "s1", "s2", "s3", "first")).alias("wanted"))
+    there = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("first_id")))
+    there = there.withColumn("all_lines", F.split("text", "\n"))
+    there = there.select(F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("all_lines", w["first"]["line_no"]).alias("line")))).alias("x"))
+    chosen = there.select("x.w.*", normal(F.col("x.line")).alias("norm")).where(F.xxhash64("norm") == F.col("k1")).dropDuplicates(list(_KEY))
+    chosen = save(chosen, "line-candidates")
 
     words = chosen.select(*_KEY, "first", "s0", "s1", "s2", "s3", F.posexplode(F.split("norm", " ")).alias("pos", "word"), F.size(F.split("norm", " ")).alias("n"))
     value = lambda place: F.shiftrightunsigned(F.xxhash64("word", place), 30)
@@ -95,12 +113,11 @@ def judged_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "
 
     Texts without a line that goes are left out.
     """
-    every = lines(docs, id_col, text_col).withColumn("norm", normal(F.col("line"))).where("norm <> ''")
-    distinct = save(distinct_lines(every, min_words), "distinct-lines")
-    near = save(near_lines(every, distinct, min_words), "near-lines")
+    every = save(keyed_lines(docs, min_words, id_col, text_col), "keyed-lines")
+    distinct = save(distinct_lines(every), "distinct-lines")
+    near = save(near_lines(docs, distinct, id_col, text_col), "near-lines")
     known = distinct.select(*_KEY, "first", "copies").join(near, list(_KEY), "left").where("copies > 1 or partner is not null").select(*_KEY, "first", F.col("partner").isNotNull().alias("near"))
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("line_no"))
-    found = every.select("id", "text_key", "line_no", place.alias("place"), F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm", F.length("norm")).alias("k2")).join(known, list(_KEY))
+    found = every.select("id", "text_key", "line_no", _place().alias("place"), *_KEY).join(known, list(_KEY))
     goes = F.when(F.col("first") < F.col("place"), 1).when(F.col("near"), 2)
     return found.select("id", "text_key", "line_no", goes.alias("goes")).where("goes is not null").groupBy("id", "text_key").agg(F.sort_array(F.collect_set(F.struct("line_no", "goes"))).alias("gone"))
 
