@@ -4,9 +4,10 @@ Two permutations of the 32-bit universe make the whole signature: the first scat
 second, shifted round by one place for each coordinate, gives the coordinate's order. Coordinates are banded;
 documents with an equal band are candidates, and shared shingles of the full sets decide.
 
-Documents with the same set are one class. In a bucket each class is compared with the bucket's least one; once
-components are known, only classes of different components that still share a bucket are compared, so a large group
-of copies costs a comparison each and never all its pairs.
+Documents with the same set are one class. In a bucket each class is compared with the bucket's least one, and where that
+leaves it out, with the one nearest to it. Once components are known, only classes of different components that still
+share a bucket are compared: in small buckets by pairs, in large ones block by block. So a large group of copies
+costs a comparison or two for each and never all its pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from quire.llm.common import components, mix, save, string_slices, words
 SHINGLE = 5
 #: 20 bands of 6 coordinates find a pair of similarity 0.85 with probability 0.9999, one of 0.8 with 0.998.
 BANDS, ROWS = 20, 6
+#: Buckets of up to so many classes are compared by pairs, larger ones in blocks of so many.
+PAIRED, BLOCK = 32, 256
 _ORDER = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -129,15 +132,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(first, end - first), lists], ["rep", "shingles"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, per_cent: int, id_col: str, text_col: str) -> DataFrame:
+def full_sets(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rep, shingles) of every row of docs whose id is needed: the whole set."""
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(needed, "rep")
+    schema = T.StructType([texts.schema["rep"]]).add("shingles", T.ArrayType(T.LongType()))
+    return texts.select("rep", "text").mapInArrow(_sets, schema)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """(a, b, shared, size_a, size_b, linked): the exact comparison of the whole sets of each pair of ids.
 
     Of several rows of an id the pair whose sets share most counts.
     """
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(needed, "rep")
-    schema = T.StructType([texts.schema["rep"]]).add("shingles", T.ArrayType(T.LongType()))
-    sets = save(texts.select("rep", "text").mapInArrow(_sets, schema), "shingle-sets")
     both = pairs.join(sets.withColumnsRenamed({"rep": "a", "shingles": "set_a"}), "a").join(sets.withColumnsRenamed({"rep": "b", "shingles": "set_b"}), "b")
     counted = both.select("a", "b", F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
     share = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
@@ -145,6 +151,71 @@ def verified(pairs: DataFrame, docs: DataFrame, per_cent: int, id_col: str, text
     return best.withColumn("linked", 100 * F.col("shared") >= per_cent * (F.col("size_a") + F.col("size_b") - F.col("shared")))
 
 
+def _held_against(rows: pa.Table, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of the asking rows to the rows of a block, one for each other component that a row meets."""
+    ask, own = rows["ask"].to_numpy(), rows["own"].to_numpy()
+    ids, group = rows["rep"].to_numpy(), rows["component"].to_numpy()
+    column = rows["shingles"].combine_chunks()
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    members = np.flatnonzero(own)
+    sizes = np.diff(ends)
+    held = np.concatenate([values[ends[i] : ends[i + 1]] for i in members]) if len(members) else values[:0]
+    of = np.repeat(np.arange(len(members)), sizes[members])
+    order = np.argsort(held, kind="stable")
+    held, of = held[order], of[order]
+    a, b = [], []
+    for i in np.flatnonzero(ask):
+        mine = values[ends[i] : ends[i + 1]]
+        low, high = np.searchsorted(held, mine), np.searchsorted(held, mine, "right")
+        times = high - low
+        at = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        shared = np.bincount(of[at], minlength=len(members))
+        near = 100 * shared >= per_cent * (sizes[i] + sizes[members] - shared)
+        met = members[near & (group[members] != group[i])]
+        one = met[np.unique(group[met], return_index=True)[1]]
+        a.append(np.full(len(one), ids[i]))
+        b.append(ids[one])
+    none = ids[:0]
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def done():
+        a, b = _held_against(pa.Table.from_batches(held), per_cent)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        key = batch.column("bucket").to_numpy(), batch.column("block").to_numpy()
+        new = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
+        for x, y in zip([0, *new], [*new, batch.num_rows]):
+            part = batch.slice(x, y - x)
+            if held and part.num_rows and (held[-1].column("bucket")[0], held[-1].column("block")[0]) != (part.column("bucket")[0], part.column("block")[0]):
+                yield done()
+                held = []
+            if part.num_rows:
+                held.append(part)
+    if held:
+        yield done()
+
+
+def block_links(apart: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b): links between components within large buckets (bucket, n_reps, main, rep, component).
+
+    A bucket's classes are dealt into blocks; those outside its main component are held against every block. What
+    comes out are links, at most one for a class and another component of a block.
+    """
+    blocks = F.ceil(F.col("n_reps") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    to = F.when(F.col("component") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))
+    dealt = apart.select("bucket", "rep", "component", (F.col("component") != F.col("main")).alias("ask"), own.alias("home"), F.explode(to).alias("block"))
+    rows = dealt.join(sets, "rep").select("bucket", "block", "rep", "component", "ask", (F.col("home") == F.col("block")).alias("own"), "shingles")
+    rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    schema = T.StructType([T.StructField("a", sets.schema["rep"].dataType), T.StructField("b", sets.schema["rep"].dataType)])
+    return rows.mapInArrow(lambda batches: _block_links(batches, per_cent), schema)
+
+
 def near_duplicates(docs: DataFrame, *, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, n_shingles, component_id, kept) for each row of docs.
 
@@ -161,25 +232,36 @@ def near_duplicates(docs: DataFrame, *, per_cent: int = 85, id_col: str = "doc_i
     least = bucket.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lead"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
     placed = save(bucket.join(least, "bucket"), "minhash-placed")
     fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * per_cent  # noqa: E731  else the sizes alone decide
+    sets = save(full_sets(placed.select("rep").distinct(), docs, id_col, text_col), "shingle-sets")
     first = placed.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    checked = save(verified(first, docs, per_cent, id_col, text_col), "minhash-verified")
+    checked = save(verified(first, sets, per_cent), "minhash-verified")
     links = checked.where("linked").select("a", "b")
-    known = save(components(links, "minhash-components"), "minhash-known")
-    # buckets that still hold several components; how far a class is from the bucket's least one is known
-    apart = placed.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = apart.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     far = checked.select(F.col("a").alias("rep"), F.col("b").alias("lead"), (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("far"))
-    apart = save(apart.join(several, "bucket").join(far, ["rep", "lead"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "minhash-apart")
-    groups = apart.groupBy("bucket", "component").agg(F.min("far").alias("near"), F.max("far").alias("far"))
+    far_placed = save(placed.join(far, ["rep", "lead"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "minhash-far")
+
+    def open_buckets(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components so far, and the buckets that still hold several: with their size and their least one's component."""
+        known = save(components(links, "minhash-components"), "minhash-known")
+        now = far_placed.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        several = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n_reps"), F.min_by("component", "rep").alias("main"), F.min_by("rep", F.when(F.col("far") > 0, F.col("far"))).alias("pivot")).where("x <> y")
+        return known, save(now.join(several.drop("x", "y"), "bucket"), "minhash-apart")
+
+    # a second comparison, with the class nearest to the bucket's least one
+    known, apart = open_buckets(links)
+    second = apart.where((F.col("component") != F.col("main")) & (F.col("rep") != F.col("pivot")) & fits(F.col("n"), F.col("lead_n")))
+    second = second.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+    as_links = lambda df: df.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    known, apart = open_buckets(as_links(known).union(verified(second, sets, per_cent).where("linked").select("a", "b")))
+    # what is left: pairs in small buckets, blocks in large ones
     limit = 1 - per_cent / 100 + 1e-9
-    g, h = groups.alias("g"), groups.alias("h")
-    facing = g.join(h, (F.col("g.bucket") == F.col("h.bucket")) & (F.col("g.component") < F.col("h.component")) & (F.col("g.near") - F.col("h.far") <= limit) & (F.col("h.near") - F.col("g.far") <= limit)).select(F.col("g.bucket").alias("bucket"), F.col("g.component").alias("component"), F.col("h.component").alias("other"))
-    own = facing.join(apart.select("bucket", "component", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("far").alias("far_a")), ["bucket", "component"])
-    other = apart.select("bucket", F.col("component").alias("other"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("far").alias("far_b"))
-    rest = own.join(other, ["bucket", "other"]).where((F.abs(F.col("far_a") - F.col("far_b")) <= limit) & fits(F.col("n_a"), F.col("n_b")))
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = verified(save(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "minhash-rest"), docs, per_cent, id_col, text_col)
-    every = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where("linked").select("a", "b")).union(members)
+    small = apart.where(F.col("n_reps") <= PAIRED)
+    a = small.select("bucket", F.col("rep").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("far").alias("far_a"))
+    b = small.select("bucket", F.col("rep").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("far").alias("far_b"))
+    near = (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= limit) & fits(F.col("n_a"), F.col("n_b"))
+    rest = save(a.join(b, "bucket").where(near).select("a", "b").distinct(), "minhash-rest")
+    more = verified(rest, sets, per_cent).where("linked").select("a", "b")
+    blocks = block_links(apart.where(F.col("n_reps") > PAIRED), sets, per_cent)
+    every = as_links(known).union(more).union(blocks).union(members)
     found = components(every, "minhash-components")
     out = sketch.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
