@@ -42,6 +42,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of rows that a Python worker gets at once where rows are large.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of at most BATCH_BYTES (a larger row alone)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not (now and now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows as dictionaries, one in memory at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 # ----------------------------------------------------------------- bytes of a column of strings
 
 SLICE_BYTES = 4 << 20

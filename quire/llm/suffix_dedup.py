@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import _BYTE, _power_tables, mix, partitions, save, shared_dir, string_slices
+from quire.llm.common import _BYTE, _power_tables, bound_batches, mix, partitions, rows_of, save, shared_dir, string_slices
 
 #: Bytes of a window and of a gram; offsets of the gram up to SIDE belong to the right side.
 WINDOW, GRAM, SIDE = 50, 16, 17
@@ -139,7 +139,7 @@ class Run:
 
 def _send_prints(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             run = Run(row)
             code, of, times = run.buckets(n_buckets)
             bucket = (code >> np.uint64(32)).astype(np.int64)
@@ -250,7 +250,7 @@ def front_code(keys: np.ndarray) -> tuple[np.ndarray, bytes]:
 def _send_strings(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     names = ["bucket", "run", "lcp", "bytes", "docs"]
     for batch in batches:
-        for data in batch.to_pylist():
+        for data in rows_of(batch):
             run = Run(data)
             unit, _, _, row, keys, to = entries(run, data["answers"] or [], n_buckets)
             least = np.full(len(keys), _LAST)
@@ -410,7 +410,7 @@ def removed(run: Run, prints: list[dict], strings: list[dict], n_buckets: int) -
 def _cut(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     for batch in batches:
-        for data in batch.to_pylist():
+        for data in rows_of(batch):
             run = Run(data)
             gone = removed(run, data["answers"] or [], data["strings"] or [], n_buckets)
             rows = []
@@ -432,9 +432,9 @@ def dedup_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     name, n_files = f"suffix_runs_{uuid.uuid4().hex}", partitions(spark)
+    bound_batches(spark)  # a run is a row of megabytes: a Python worker holds a few at a time
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = source.mapInArrow(_runs, _RUN_SCHEMA)
-    # small batches of these large rows: what a Python worker holds is a few runs
     made.write.bucketBy(n_files, "run").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
     runs = spark.table(name)
     n_bytes = runs.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
