@@ -237,7 +237,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     sums = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
     before = sums(now)
     if not before["n"]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        least = now.select("v").distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least.select(F.col("v").alias("node"), F.col("v").alias("component")))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -251,4 +252,5 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if after == before:
             break
         before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    least = now.select("v").distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least.select(F.col("v").alias("node"), F.col("v").alias("component")))
