@@ -85,14 +85,13 @@ def is_table(text: str) -> bool:
 
 def pack(text: str, size: int, overlap: int) -> list[str]:
     """Paragraphs gathered up to a size; the next gathering starts with the last characters of the one before."""
-    out, held = [], ""
+    out, held = [], ""  # every paragraph held is followed by its blank line, which counts
     for para in filter(None, (p.strip() for p in text.split("\n\n"))):
         if held and len(held) + len(para) > size:
             out.append(held.strip())
             tail = held[-overlap:].strip() if overlap and not is_table(para) else ""
-            held = f"{tail}\n\n{para}" if tail else para
-        else:
-            held = f"{held}\n\n{para}" if held else para
+            held = f"{tail}\n\n" if tail else ""
+        held += f"{para}\n\n"
     return [*out, held.strip()] if held.strip() else out
 
 
