@@ -30,9 +30,9 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     as_double = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("x")).where("id is not null and size(x) > 0")
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     top = F.array_max(F.transform("x", F.abs))
-    scaled = as_double.where(~F.coalesce(bad, F.lit(True))).withColumn("x", F.transform("x", lambda c: c / top)).where(F.exists("x", lambda c: c != 0))
+    scaled = as_double.where(~F.coalesce(bad, F.lit(True)) & F.coalesce(top > 0, F.lit(False))).withColumn("x", F.transform("x", lambda c: F.try_divide(c, top)))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c))
-    return scaled.select("id", F.transform("x", lambda c: c / norm).alias("vec"))
+    return scaled.select("id", F.transform("x", lambda c: F.try_divide(c, norm)).alias("vec"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:

@@ -133,12 +133,14 @@ def line_dedup(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "do
     """
     docs = docs.drop("n_lines", "n_exact", "n_near")
     gone = judged_lines(docs, min_words=min_words, id_col=id_col, text_col=text_col).withColumnsRenamed({"id": "gone_id", "text_key": "gone_key"})
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (_text_key(F.col(text_col)) == F.col("gone_key")), "left")
+    # the rows travel as one column, so that no name of theirs meets one of ours
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = own.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (_text_key(F.col("text")) == F.col("gone_key")), "left")
     # the kept lines lie between the numbers that go, which are in order
-    split = F.split(F.col(text_col), "\n")
     edges = F.concat(F.array(F.lit(-1)), F.transform("gone", lambda g: g["line_no"]), F.array(F.size("all_lines")))
     runs = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda i: F.slice("all_lines", F.element_at("edges", i) + 2, F.element_at("edges", i + 1) - F.element_at("edges", i) - 1))
     count = lambda kind: F.coalesce(F.size(F.filter("gone", lambda g: g["goes"] == kind)), F.lit(0))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(runs), "\n"))
-    out = joined.withColumn("all_lines", split).withColumn("edges", edges)
-    return out.select(*[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns], F.greatest(F.size("all_lines"), F.lit(0)).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(count(1)).alias("n_exact"), F.when(F.col("gone").isNull(), 0).otherwise(count(2)).alias("n_near"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    out = joined.withColumn("all_lines", F.split("text", "\n")).withColumn("edges", edges)
+    counts = {"n_lines": F.greatest(F.size("all_lines"), F.lit(0)), "n_exact": F.when(F.col("gone").isNull(), 0).otherwise(count(1)), "n_near": F.when(F.col("gone").isNull(), 0).otherwise(count(2))}
+    return out.select(*[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns], *[v.alias(k) for k, v in counts.items()])

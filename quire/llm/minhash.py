@@ -43,7 +43,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     total = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         part = np.zeros(n, np.uint64)
-        part[: n - k] = h[k:]
+        part[: max(0, n - k)] = h[k:]
         part[np.arange(n) + k >= ends[row]] = 0  # words past the row's end
         total += part * _ORDER[k]
     full = np.arange(n) + SHINGLE <= ends[row]

@@ -129,9 +129,11 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     """
     names = ("size", "source_size", "target", "taken")
     own = docs.drop(*names)
+    kept = [c for c in own.columns if c != text_col]
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
-    sized = own.drop(text_col).withColumnRenamed(source_col, "source") if source_col != "source" else own
-    sized = save(sized.withColumns({"size": n_words(F.col(text_col)), "mix_key": key}).drop(text_col), "mix-sizes")
+    # the rows travel as one column, so that no name of theirs meets one of ours
+    sized = own.select(F.struct(*kept).alias("row"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("mix_key"))
+    sized = save(sized, "mix-sizes")
     counts = save(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
     sources = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = save(targets(sources, weights, share, most), "mix-targets")
@@ -154,12 +156,11 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     in_parts = planned.where("n is not null").groupBy("source", "size", "part").agg(F.count("*").alias("c"))
     ahead = in_parts.withColumn("ahead", F.sum("c").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     ahead = ahead.select(F.col("source").alias("a_source"), F.col("size").alias("a_size"), F.col("part").alias("a_part"), F.coalesce("ahead", F.lit(0)).alias("ahead"))
-    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("mix_key", id_col))
+    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("mix_key", F.col("row")[id_col]))
     picked = (
         planned.join(ahead, F.col("source").eqNullSafe(F.col("a_source")) & (F.col("size") == F.col("a_size")) & (F.col("part") == F.col("a_part")), "left")
         .withColumn("taken", F.col("size") * (F.coalesce("rounds", F.lit(0)) + F.when(place + F.col("ahead") <= F.col("more"), 1).otherwise(0)))
     )
     goal = goal.withColumnRenamed("source", "g_source")
     out = picked.join(goal, F.col("source").eqNullSafe(F.col("g_source")))
-    kept = [F.col("source").alias(source_col) if c == source_col else F.col(c) for c in own.columns if c != text_col]
-    return out.select(*kept, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -104,8 +104,10 @@ def token_counts(docs: DataFrame, model_path: str, *, text_col: str = "text", he
     least = at_least.agg(F.min("f").alias("f")).first()["f"]
     top = short.where(F.col("freq") >= (least or 1 << 62)).select("token", "pieces").toPandas()
     head = spark.sparkContext.broadcast(dict(zip(top["token"], top["pieces"].astype(int))))
-    keep = [c for c in docs.columns if c != text_col]
-    schema = T.StructType(docs.select(*keep).schema.fields).add("n_bytes", "long").add("head_tokens", "long")
+    others = [c for c in docs.columns if c != text_col]
+    # the other columns travel as one, so that no name of theirs meets one of ours
+    rows = docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("row"), F.col(text_col).alias("text"))
+    schema = T.StructType([rows.schema["row"]]).add("n_bytes", "long").add("head_tokens", "long")
     schema = schema.add("tail", T.ArrayType(T.StructType().add("token", "string").add("n", "long")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +115,7 @@ def token_counts(docs: DataFrame, model_path: str, *, text_col: str = "text", he
         pieces = head.value
         for batch in batches:
             n_bytes, sums, ends, tokens, times = [], [], [0], [], []
-            for text in batch.column(text_col).to_pylist():
+            for text in batch.column("text").to_pylist():
                 total, tail = 0, Counter()
                 for token in pre_tokens(text, pattern):
                     k = pieces.get(token)
@@ -127,10 +129,10 @@ def token_counts(docs: DataFrame, model_path: str, *, text_col: str = "text", he
                 times += tail.values()
                 ends.append(len(tokens))
             pairs = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(times, pa.int64())], ["token", "n"])
-            out = [batch.column(c) for c in keep] + [pa.array(n_bytes, pa.int64()), pa.array(sums, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
-            yield pa.RecordBatch.from_arrays(out, [*keep, "n_bytes", "head_tokens", "tail"])
+            out = [batch.column("row"), pa.array(n_bytes, pa.int64()), pa.array(sums, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+            yield pa.RecordBatch.from_arrays(out, ["row", "n_bytes", "head_tokens", "tail"])
 
-    counted = docs.select(*keep, text_col).mapInArrow(count, schema)
+    counted = rows.mapInArrow(count, schema)
     counted = save(counted.withColumn("row_key", F.monotonically_increasing_id()), "token-counts")
     rest = (
         counted.select("row_key", F.explode("tail").alias("t"))
@@ -139,4 +141,4 @@ def token_counts(docs: DataFrame, model_path: str, *, text_col: str = "text", he
         .groupBy("row_key")
         .agg(F.sum(F.col("n") * F.col("pieces")).alias("tail_tokens"))
     )
-    return counted.join(rest, "row_key", "left").select(*keep, "n_bytes", (F.col("head_tokens") + F.coalesce("tail_tokens", F.lit(0))).alias("n_tokens"))
+    return counted.join(rest, "row_key", "left").select(*[F.col("row")[c].alias(c) for c in others], "n_bytes", (F.col("head_tokens") + F.coalesce("tail_tokens", F.lit(0))).alias("n_tokens"))

@@ -106,16 +106,17 @@ def judge(pages: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, max_r
     The verdict is the rule's, without a rule the trees': block from the threshold on. If no URL is labelled, or all
     alike, the trees' verdict is that label, without any allow. Columns of these names in pages are replaced.
     """
-    clash = ("host", "path", "rule", "rule_verdict", "verdict", "score", "suffix", *FEATURES)
-    pages = pages.drop(*clash)
-    featured = save(features(pages, rules=rules, url_col=url_col), "url-features")
-    model = fit(featured, max_rows=max_rows, url_col=url_col)
+    pages = pages.drop("host", "path", "rule", "verdict", "score")
+    # the rows travel as one column, so that no name of theirs meets one of ours
+    rows = pages.select(F.struct(*pages.columns).alias("row"), F.col(url_col).alias("url"))
+    featured = save(features(rows, rules=rules), "url-features")
+    model = fit(featured, max_rows=max_rows)
     if model.trees is None:
         scored = featured.withColumn("score", F.lit(model.constant))
     else:
         scored = model.trees.transform(_assembled(featured)).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
-    return scored.select(*pages.columns, "host", "path", "rule", verdict.alias("verdict"), "score")
+    return scored.select(*[F.col("row")[c].alias(c) for c in pages.columns], "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def brute_rule(host: str, path: str, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[str, str] | None:
