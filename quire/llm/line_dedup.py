@@ -96,6 +96,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
     whole = F.when(longer("n", "i"), F.struct(F.col("n").alias("m"), F.col("i").alias("gap"), F.xxhash64("n", "i", before, F.col("behind")).alias("variant")))
     end = F.when((F.col("i") == F.col("n")) & longer("n", "n + 1"), F.struct(F.col("n").alias("m"), (F.col("n") + 1).alias("gap"), F.xxhash64("n", F.col("n") + 1, "upto", F.lit(0).cast("long")).alias("variant")))
     variants = sums.select(*_KEY, "first", F.explode(F.filter(F.array(without, whole, end), lambda x: x.isNotNull())).alias("v")).select(*_KEY, "first", "v.*")
+    variants = save(variants, "line-variants")  # read twice below: for the earliest of each key and for the way back
     earliest = variants.groupBy("variant").agg(F.min(F.struct("first", *_KEY)).alias("e"), F.count("*").alias("c")).where("c > 1").select("variant", F.col("e.first").alias("partner"), F.col("e.k1").alias("p1"), F.col("e.k2").alias("p2"))
     pairs = variants.join(earliest, "variant").where("partner < first").groupBy(*_KEY, "p1", "p2", "partner").agg(F.min(F.struct("m", "gap")).alias("at"))
     # the words themselves decide: the same before the gap and the same behind it
