@@ -89,11 +89,11 @@ query(
 
 @query(
     "page_time_stats",
-    """SELECT document_id, page_number, idx, n_pages, floor(a * 1e6 + 0.5) / 1e6 AS avg_s, mn AS min_s, mx AS max_s, floor(t * 1e6 + 0.5) / 1e6 AS total_s, CAST(floor(idx * 100 / n_pages) AS INTEGER) AS progress FROM (SELECT *, CAST(row_number() OVER w AS INTEGER) AS idx, count(*) OVER (PARTITION BY document_id) AS n_pages,
+    """SELECT document_id, page_number, idx, n_pages, floor(a * 1e6 + 0.501) / 1e6 AS avg_s, mn AS min_s, mx AS max_s, floor(t * 1e6 + 0.501) / 1e6 AS total_s, CAST(floor(idx * 100 / n_pages) AS INTEGER) AS progress FROM (SELECT *, CAST(row_number() OVER w AS INTEGER) AS idx, count(*) OVER (PARTITION BY document_id) AS n_pages,
       avg(elapsed) OVER w AS a, min(elapsed) OVER w AS mn, max(elapsed) OVER w AS mx, sum(elapsed) OVER w AS t FROM timings WINDOW w AS (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE idx % 10 = 0 OR idx = n_pages""",
 )
 def page_time_stats(c: Corpus) -> DataFrame:
-    return timing.page_time_stats(c.timings).withColumns({n: F.floor(F.col(n) * 1e6 + 0.5) / 1e6 for n in ("avg_s", "total_s")})
+    return timing.page_time_stats(c.timings).withColumns({n: F.floor(F.col(n) * 1e6 + 0.501) / 1e6 for n in ("avg_s", "total_s")})
 
 
 # -------------------------------------------------------------------------------------------------------- chunking
