@@ -235,23 +235,19 @@ def near_duplicates(docs: DataFrame, *, per_cent: int = 85, id_col: str = "doc_i
     sets = save(full_sets(placed.select("rep").distinct(), docs, id_col, text_col), "shingle-sets")
     first = placed.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     checked = save(verified(first, sets, per_cent), "minhash-verified")
-    links = checked.where("linked").select("a", "b")
-    far = checked.select(F.col("a").alias("rep"), F.col("b").alias("lead"), (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("far"))
-    far_placed = save(placed.join(far, ["rep", "lead"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "minhash-far")
-
-    def open_buckets(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components so far, and the buckets that still hold several: with their size and their least one's component."""
-        known = save(components(links, "minhash-components"), "minhash-known")
-        now = far_placed.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        several = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n_reps"), F.min_by("component", "rep").alias("main"), F.min_by("rep", F.when(F.col("far") > 0, F.col("far"))).alias("pivot")).where("x <> y")
-        return known, save(now.join(several.drop("x", "y"), "bucket"), "minhash-apart")
-
-    # a second comparison, with the class nearest to the bucket's least one
-    known, apart = open_buckets(links)
-    second = apart.where((F.col("component") != F.col("main")) & (F.col("rep") != F.col("pivot")) & fits(F.col("n"), F.col("lead_n")))
-    second = second.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+    far = checked.select(F.col("a").alias("rep"), F.col("b").alias("lead"), "linked", (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("far"))
+    placed = save(placed.join(far, ["rep", "lead"], "left").withColumns({"far": F.coalesce("far", F.lit(0.0)), "linked": F.coalesce("linked", F.lit(True))}), "minhash-far")
+    # a second comparison, of those left out with the class nearest to the bucket's least one
+    nearest = F.min_by("rep", F.when(F.col("linked") & (F.col("rep") != F.col("lead")), F.col("far")))
+    pivots = placed.groupBy("bucket").agg(nearest.alias("pivot"))
+    second = placed.where(~F.col("linked")).join(pivots.where("pivot is not null"), "bucket").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+    links = checked.where("linked").select("a", "b").union(verified(second, sets, per_cent).where("linked").select("a", "b"))
+    known = save(components(links, "minhash-components"), "minhash-known")
     as_links = lambda df: df.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    known, apart = open_buckets(as_links(known).union(verified(second, sets, per_cent).where("linked").select("a", "b")))
+    # the buckets that still hold several components: with their size and their least one's component
+    now = placed.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n_reps"), F.min_by("component", "rep").alias("main")).where("x <> y")
+    apart = save(now.join(several.drop("x", "y"), "bucket"), "minhash-apart")
     # what is left: pairs in small buckets, blocks in large ones
     limit = 1 - per_cent / 100 + 1e-9
     small = apart.where(F.col("n_reps") <= PAIRED)
