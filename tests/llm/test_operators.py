@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,6 +410,24 @@ def test_factors_learn_pairs():
     assert value(1, 3) > max(value(1, 4), value(2, 3), value(2, 4))
 
 
+def test_pairs_with_defaults():
+    """Toxic only where the insult and the group match, among 28 other words; either word alone says nothing."""
+    rng = np.random.default_rng(4)
+    word = lambda first: first + "".join(rng.choice(list("abcdefghijklmnopqrst"), 6))
+    other, insults, groups = [word("w") for _ in range(2000)], [word("i") for _ in range(6)], [word("g") for _ in range(6)]
+    texts, truth = [], []
+    for _ in range(6000):
+        a = rng.integers(6)
+        b = a if rng.random() < 0.5 else rng.integers(6)
+        texts.append(" ".join([*rng.choice(other, 28), insults[a], groups[b]]))
+        truth.append(int(a == b))
+    truth = np.array(truth)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4000)), "label": truth[:4000].tolist(), "text": texts[:4000]})
+    samples = [(np.array(t), y) for part in toxicity._features([batch], "doc_id") for t, y in zip(part.column("terms").to_pylist(), part.column("label").to_pylist())]
+    score, held = toxicity._score(toxicity.learn(samples), pa.array(texts[4000:])), truth[4000:] == 1
+    assert (score[held][:, None] > score[~held]).mean() >= 0.85
+
+
 # --------------------------------------------------------------------------------------------------------------- urls
 
 
