@@ -22,6 +22,8 @@ from quire.llm.common import components, save
 K, TABLES, MEET, BLOCK = 12, 8, 96, 768
 #: Rounds of local joins, before the audit and after each audit that finds too little; audited vectors; recall asked.
 ROUNDS, MORE_ROUNDS, AUDITED, RECALL = 2, 3, 256, 0.97
+#: Audited vectors that must have links.
+LINKED = 128
 _META = T.StructType().add("v", "long").add("u", "long").add("sim", "double")
 
 
@@ -172,9 +174,16 @@ def _dense(points: DataFrame, dense: DataFrame, threshold: float) -> DataFrame:
     return runs.mapInArrow(lambda batches: _counts(batches, threshold), "v long, links long").groupBy("v").agg(F.sum("links").alias("links"))
 
 
-def audit(points: DataFrame, links: DataFrame, dense: DataFrame, threshold: float, size: int = AUDITED) -> float:
-    """Share of the links of `size` vectors (a hash's least) that are known, by holding them against all vectors."""
-    chosen = points.orderBy(F.xxhash64("v"), "v").limit(size).select("v", "vec").collect()
+def _drawn(points: DataFrame, size: int, after: tuple | None) -> list:
+    """The next `size` vectors in order of a hash, after the place (hash, v)."""
+    placed = points.select("v", "vec", F.xxhash64("v").alias("h"))
+    if after:
+        placed = placed.where((F.col("h") > after[0]) | ((F.col("h") == after[0]) & (F.col("v") > after[1])))
+    return placed.orderBy("h", "v").limit(size).collect()
+
+
+def _shares(points: DataFrame, chosen: list, links: DataFrame, dense: DataFrame, threshold: float) -> list[float]:
+    """For each chosen vector that has links, the share of them that is known: all are held against all vectors."""
     by_dim: dict[int, tuple] = {}
     for d in {len(r["vec"]) for r in chosen}:
         some = [r for r in chosen if len(r["vec"]) == d]
@@ -190,15 +199,37 @@ def audit(points: DataFrame, links: DataFrame, dense: DataFrame, threshold: floa
                     rows = np.flatnonzero(sizes == d)
                     mat = lists.take(pa.array(rows)).flatten().to_numpy().reshape(-1, d)
                     of, q = sent.value[int(d)]
-                    i, j = np.nonzero(q @ mat.T >= threshold)
-                    v, u = of[i], ids[rows[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(v[v != u]), pa.array(u[v != u])], ["v", "u"])
+                    for k in range(0, len(of), AUDITED):
+                        i, j = np.nonzero(q[k : k + AUDITED] @ mat.T >= threshold)
+                        v, u = of[k + i], ids[rows[j]]
+                        yield pa.RecordBatch.from_arrays([pa.array(v[v != u]), pa.array(u[v != u])], ["v", "u"])
 
     true = points.select("v", "vec").mapInArrow(held, "v long, u long")
     in_dense = true.join(dense, "v", "left").join(dense.select(F.col("v").alias("u"), F.col("component").alias("other")), "u", "left")
     known = in_dense.join(links.select("v", "u", F.lit(1).alias("known")), ["v", "u"], "left")
-    got = known.agg(F.count("*").alias("n"), F.count(F.when(F.col("known").isNotNull() | (F.col("component") == F.col("other")), 1)).alias("k")).first()
-    return got["k"] / got["n"] if got["n"] else 1.0
+    hit = F.col("known").isNotNull() | F.coalesce(F.col("component") == F.col("other"), F.lit(False))
+    return [r["share"] for r in known.groupBy("v").agg(F.avg(hit.cast("double")).alias("share")).collect()]
+
+
+def audit(points: DataFrame, links: DataFrame, dense: DataFrame, threshold: float, size: int = AUDITED) -> float:
+    """Mean share of a vector's links that is known: the lesser of those outside and inside saturated components.
+
+    Vectors weigh alike, however many links they have. They are drawn until LINKED of them have links, or all are.
+    """
+    inside = dense.select("v")
+    means = []
+    for group in (points.join(inside, "v", "left_anti"), points.join(inside, "v", "left_semi")):
+        shares, after, draw = [], None, size
+        while len(shares) < LINKED:
+            chosen = _drawn(group, draw, after)
+            if chosen:
+                shares += _shares(points, chosen, links, dense, threshold)
+                after = chosen[-1]["h"], chosen[-1]["v"]
+            if len(chosen) < draw:
+                break
+            draw = min(4 * draw, 16 * size)
+        means += [sum(shares) / len(shares)] if shares else []
+    return min(means, default=1.0)
 
 
 def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11) -> DataFrame:

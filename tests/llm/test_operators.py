@@ -76,6 +76,23 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_audit_weighs_vectors(spark):
+    """A large saturated group doesn't hide that half of the single pairs are unknown; without links the audit draws on."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    group = unit(rng.normal(size=32) + rng.normal(size=(400, 32)) * 0.05)
+    first = unit(rng.normal(size=(200, 32)))
+    second = unit(first + rng.normal(size=(200, 32)) * 0.02)
+    vectors = np.concatenate([group, first, second])
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "v long, vec array<double>")
+    dense = spark.createDataFrame([(k, 0) for k in range(400)], "v long, component long")
+    known = [(400 + k, 600 + k) for k in range(0, 200, 2)]
+    links = spark.createDataFrame(known + [(b, a) for a, b in known], "v long, u long")
+    assert 0.3 < embedding_dedup.audit(points, links, dense, 0.9) < 0.7
+    single = points.where("v < 600 or v = 601").where("v >= 400")
+    assert embedding_dedup.audit(single, links.limit(0), dense.limit(0), 0.9, size=2) == 0.0
+
+
 # --------------------------------------------------------------------------------------------------------- passages
 
 
