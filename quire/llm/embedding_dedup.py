@@ -20,8 +20,10 @@ from quire.llm.common import components, save
 
 #: Length of the lists; bucket tables; members of a bucket or hub that meet at once; rows of a block.
 K, TABLES, MEET, BLOCK = 12, 8, 96, 768
-#: Rounds of local joins, before the audit and after each audit that finds too little; audited vectors; recall asked.
-ROUNDS, MORE_ROUNDS, AUDITED, RECALL = 2, 3, 256, 0.97
+#: Further hyperplanes for groups of more than MEET; how many times MEET a part of these may have.
+FINE, PART_MEETS = 20, 4
+#: Rounds of local joins before the audit; audited vectors; recall asked.
+ROUNDS, AUDITED, RECALL = 2, 256, 0.97
 #: Audited vectors that must have links.
 LINKED = 128
 _META = T.StructType().add("v", "long").add("u", "long").add("sim", "double")
@@ -102,13 +104,21 @@ def _compared(groups: DataFrame) -> DataFrame:
 
 
 def _salted(groups: DataFrame, key: str, seed: int) -> DataFrame:
-    """groups with g1, g2: groups larger than MEET members are dealt out by a hash of the member."""
-    sizes = groups.groupBy(key).agg(F.ceil(F.count("*") / MEET).alias("parts")).where("parts > 1")
-    return groups.join(sizes, key, "left").select(F.col(key).alias("g1"), F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v", F.lit(seed)), "parts")).cast("long").alias("g2"), "v", "last", "vec")
+    """groups with g1, g2: of groups of more than MEET members, those on the same sides of further hyperplanes meet.
 
+    Members of a group that lie alike stay together. Parts of more than PART_MEETS * MEET members, which lie alike on all
+    sides, are dealt out by a hash of the member.
+    """
+    sizes = groups.groupBy(key).agg(F.least(F.lit(FINE), F.ceil(F.log2(F.count("*") / MEET))).cast("int").alias("deep")).where("deep > 0")
+    deep = F.coalesce(F.col("deep"), F.lit(0))
+    coded = groups.join(sizes, key, "left").withColumn("part", F.col("fine").bitwiseAND(F.expr("shiftleft(1L, coalesce(deep, 0)) - 1")))
+    large = coded.where(deep > 0).groupBy(key, "part").agg(F.ceil(F.count("*") / (PART_MEETS * MEET)).cast("long").alias("parts")).where("parts > 1")
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v", F.lit(seed)), "parts")).cast("long")
+    return coded.join(large, [key, "part"], "left").select(F.col(key).alias("g1"), (F.shiftleft(salt, FINE) + F.col("part")).alias("g2"), "v", "last", "vec")
 
-def _buckets(points: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
-    """(g, v, last, vec): each vector in a bucket of each table, by the sides of random hyperplanes."""
+
+def _sides(points: DataFrame, tables: int, bits: int, seed: int, name: str) -> DataFrame:
+    """points (v, last, vec) with `name`, for each table the number of the sides of `bits` random hyperplanes."""
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,10 +133,21 @@ def _buckets(points: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
                 side = (mat @ planes > 0).reshape(len(rows), tables, bits)
                 codes[rows] = (side * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits) + (int(d) << 40)
             lists_out = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists_out], [*batch.schema.names, "codes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists_out], [*batch.schema.names, name])
+
+    schema = T.StructType(list(points.schema.fields)).add(name, T.ArrayType(T.LongType()))
+    return points.mapInArrow(sides, schema)
 
-    coded = points.select("v", "last", "vec").mapInArrow(sides, "v long, last double, vec array<double>, codes array<long>")
-    return coded.select(F.explode("codes").alias("g"), "v", "last", "vec")
+
+def _with_fine(points: DataFrame, seed: int) -> DataFrame:
+    """(v, last, vec, fine): fine has a bit for the side of each of FINE further hyperplanes."""
+    return _sides(points.select("v", "last", "vec"), 1, FINE, seed + 7919, "fines").select("v", "last", "vec", F.col("fines")[0].alias("fine"))
+
+
+def _buckets(points: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
+    """(g, v, last, vec, fine): each vector in a bucket of each table, by the sides of random hyperplanes."""
+    coded = _sides(_with_fine(points, seed), tables, bits, seed, "codes")
+    return coded.select(F.explode("codes").alias("g"), "v", "last", "vec", "fine")
 
 
 def _merged(lists: DataFrame | None, found: DataFrame) -> DataFrame:
@@ -145,7 +166,7 @@ def _with_last(points: DataFrame, lists: DataFrame) -> DataFrame:
 def _refined(points: DataFrame, lists: DataFrame, seed: int) -> DataFrame:
     """One round of neighbours of neighbours: all who name a vector, and all it names, meet at it."""
     at = lists.select(F.col("u").alias("c"), "v").unionByName(lists.select(F.col("v").alias("c"), F.col("u").alias("v"))).unionByName(lists.select(F.col("v").alias("c"), "v")).distinct()
-    groups = at.join(_with_last(points, lists), "v")
+    groups = at.join(_with_fine(_with_last(points, lists), seed), "v")
     return save(_merged(lists, _compared(_salted(groups, "c", seed))), "nn-lists")
 
 
@@ -239,7 +260,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "v
     the least id reachable over links; kept: whether it is the vector's own. Null vectors, zero vectors, empty ones
     and those with null or non-finite components have no links; only vectors of the same length are compared. Equal
     vectors (up to length) are one point with copies. Of several rows of an id the least vector counts. A null id has
-    one row without links. The neighbour graph is approximate: links not found are missing, none is wrong.
+    one row without links. The neighbour graph is approximate: links not found are missing, none is wrong. Rounds go on
+    until the audit knows RECALL of the links; where lists stop changing before that, RuntimeError names the recall.
     """
     one = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("raw")).groupBy("id").agg(F.min("raw").alias("raw"))
     unit = save(usable(one, "id", "raw"), "nn-unit")
@@ -250,8 +272,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "v
     bits = min(24, max(1, int(np.ceil(np.log2(max(2, n) / 24)))))
     bare = points.select("v", "last", "vec")
     lists = None
-    rounds, known, dense, linked = ROUNDS, None, None, None
-    for attempt in range(MORE_ROUNDS + 1):
+    rounds, attempt, before = ROUNDS, 0, None
+    while True:
         start = _buckets(bare if lists is None else _with_last(bare, lists), TABLES, bits, seed + attempt)
         lists = save(_merged(lists, _compared(_salted(start, "g", seed + attempt))), "nn-lists")
         for k in range(rounds):
@@ -262,9 +284,13 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "v
         saturated = known.join(full.select(F.col("v").alias("node")), "node").select("component").distinct()
         dense = save(known.join(saturated, "component").select(F.col("node").alias("v"), "component"), "nn-dense")
         linked = save(linked.select("v", "u").union(linked.select("u", "v")).distinct(), "nn-links")
-        if audit(bare, linked, dense, threshold) >= RECALL:
+        recall = audit(bare, linked, dense, threshold)
+        if recall >= RECALL:
             break
-        rounds = 1
+        sums = lists.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % (1 << 40))).first()
+        if sums == before:
+            raise RuntimeError(f"near vectors: lists no longer change after {attempt + 1} attempts, but the audit knows only {recall:.3f} of the links, under {RECALL}")
+        rounds, attempt, before = 1, attempt + 1, sums
     copies = points.select("v", "copies")
     sparse = linked.join(dense.select("v"), "v", "left_anti").join(copies.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.sum("copies").alias("links"))
     counted = sparse.unionByName(_dense(points.select("v", "copies", "vec"), dense, threshold))

@@ -93,6 +93,27 @@ def test_audit_weighs_vectors(spark):
     assert embedding_dedup.audit(single, links.limit(0), dense.limit(0), 0.9, size=2) == 0.0
 
 
+def test_hot_regions_meet(spark):
+    """Near copies in one large group lie on the same sides and share a part, however many parts there are."""
+    rng = np.random.default_rng(6)
+    topic = rng.normal(size=64)
+    first = topic * 1.4 + rng.normal(size=(2000, 64))
+    second = first + rng.normal(size=(2000, 64)) * 0.1
+    points = spark.createDataFrame([(k, -2.0, v.tolist()) for k, v in enumerate(np.concatenate([first, second]))], "v long, last double, vec array<double>")
+    dealt = embedding_dedup._salted(embedding_dedup._buckets(points, 1, 1, 3).withColumn("g", F.lit(0).cast("long")), "g", 3)
+    part = {r["v"]: r["g2"] for r in dealt.select("v", "g2").collect()}
+    sizes = np.unique(list(part.values()), return_counts=True)[1]
+    assert len(part) == 4000 and sizes.max() <= embedding_dedup.PART_MEETS * embedding_dedup.MEET * 1.3
+    assert np.mean([part[k] == part[2000 + k] for k in range(2000)]) > 0.5
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.5)
+    rows = [(k, np.random.default_rng(k).normal(size=8).tolist()) for k in range(10)]
+    with pytest.raises(RuntimeError, match="0.500"):
+        embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+
+
 # --------------------------------------------------------------------------------------------------------- passages
 
 
