@@ -97,7 +97,7 @@ def knn_columns(queries: DataFrame, entries: DataFrame, k: int = 5, metric: str
     return _ranked(both.select("query_id", "id", F.round(distance(F.col("embedding"), F.col("q"), metric), 6).alias("distance")), k)
 
 
-def knn_ann(queries: DataFrame, entries: DataFrame, k: int = 5, cells: int = 16, probes: int = 6, sample: int = 20_000, seed: int = 1) -> DataFrame:
+def knn_ann(queries: DataFrame, entries: DataFrame, k: int = 5, cells: int = 16, probes: int = 10, sample: int = 20_000, seed: int = 1) -> DataFrame:
     """Approximate k-NN: k-means cells of a sample, the nearest cells of each query, exact distances within them.
 
     A cell of many entries is searched by many tasks: entries stay where they are, the queries of a cell go to them.

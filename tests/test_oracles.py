@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 
 from quire.jobs import queries as Q
+from quire.operators import search
+from quire.sources.corpus import Corpus
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark conversations".split()
@@ -48,3 +50,11 @@ def test_same_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", [n for n in Q.QUERIES if n not in Q.oracle_sql()])
 def test_has_rows(spark, name):
     assert Q.queries()[name](spark, SF).count() > 0
+
+
+def test_registered_ann_recall(spark):
+    c = Corpus(spark, SF)
+    q = c.table("embeddings").where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding")
+    pairs = lambda df: {(r["query_id"], r["id"]) for r in df.select("query_id", "id").collect()}
+    exact = pairs(search.knn(q, c.collection))
+    assert len(exact & pairs(search.knn_ann(q, c.collection))) >= 0.9 * len(exact)
