@@ -70,12 +70,10 @@ def attach_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors.select("document_id", "chunk_index", "embedding"), ["document_id", "chunk_index"]).withColumn("embedding_dimension", F.size("embedding"))
 
 
-def pairwise_similarity(df: DataFrame, most: int = 1000) -> DataFrame:
-    """(a, b, similarity) of all pairs of a small chosen set; more than `most` rows are an error."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"pairwise similarity is for up to {most} rows; use a k-NN search")
+def pairwise_similarity(df: DataFrame) -> DataFrame:
+    """(a, b, similarity) of all pairs of a chosen set, of any size: no side is broadcast by force."""
     a, b = df.select(F.col("id").alias("a"), F.col("embedding").alias("va")), df.select(F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
 
 
 def item_neighbors(df: DataFrame, item: Column, k: int = 3) -> DataFrame:

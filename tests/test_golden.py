@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire.functions.chunkers import ChunkConfig, fixed, hybrid, is_table, pack, sections, semantic
 from quire.functions.filters import where
 from quire.functions.text import occurrences, slug
-from quire.operators import catalog, collection, context, conversations, layout, rerank, search, timing
+from quire.operators import catalog, collection, context, conversations, layout, rerank, search, timing, vectors
 
 PAGE = """<x_0.1><y_0.50>Body text<x_0.9><y_0.60><class_Text>
 <x_0.1><y_0.05>Intro<x_0.9><y_0.10><class_Section-header>
@@ -178,3 +178,10 @@ def test_ann_recall(spark):
     assert exact == {(r["query_id"], r["id"]) for r in search.knn_columns(q, e, 5).collect()}
     found = {(r["query_id"], r["id"]) for r in search.knn_ann(q, e, 5, cells=8, probes=5).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_pairs_of_many_rows(spark):
+    df = spark.range(1001).selectExpr("printf('e%04d', id) AS id", "array(CAST(1 AS FLOAT), CAST(id AS FLOAT)) AS embedding")
+    got = vectors.pairwise_similarity(df)
+    assert got.count() == 1001 * 1000 // 2
+    assert got.where("a = 'e0002' AND b = 'e0003'").first()["similarity"] == 7.0
