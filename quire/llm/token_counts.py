@@ -68,24 +68,26 @@ def count_pieces(tokens: list[str], model) -> list[int]:
 def vocabulary(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """(token, freq, pieces) of every distinct pre-token of all texts; tasks add up before the shuffle."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pattern = load(model_path)
         seen: Counter = Counter()
-        out = lambda: pd.DataFrame({"token": list(seen), "n": list(seen.values())})
+        # typed and cut, so that a task without rows and one with very many tokens alike hand over whole batches
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["token", "n"])
         for batch in batches:
-            for text in batch[text_col]:
-                seen.update(pre_tokens(text, pattern))
+            for text in batch.column(0):
+                seen.update(pre_tokens(text.as_py(), pattern))
                 if len(seen) > FLUSH:
                     yield out()
                     seen.clear()
-        yield out()
+        if seen:
+            yield out()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, _ = load(model_path)
         for batch in batches:
             yield batch.assign(pieces=count_pieces(list(batch["token"]), model))
 
-    counted = docs.select(text_col).mapInPandas(partial, "token string, n long").groupBy("token").agg(F.sum("n").alias("freq"))
+    counted = docs.select(text_col).mapInArrow(partial, "token string, n long").groupBy("token").agg(F.sum("n").alias("freq"))
     return counted.mapInPandas(encode, "token string, freq long, pieces long")
 
 
