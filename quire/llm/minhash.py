@@ -27,6 +27,8 @@ SHINGLE = 5
 BANDS, ROWS = 20, 6
 #: Buckets of up to so many classes are compared by pairs, larger ones in blocks of so many.
 PAIRED, BLOCK = 32, 256
+#: Pairs of one document that are compared in one place.
+DEALT = 256
 _ORDER = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -139,13 +141,43 @@ def full_sets(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     return texts.select("rep", "text").mapInArrow(_sets, schema)
 
 
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, shared, size_a, size_b) of rows (b, part, own, rep, shingles), b's own sets first in each part."""
+    last, held = None, []
+    for batch in batches:
+        b, part, own, rep = (batch.column(name).to_pylist() for name in ("b", "part", "own", "rep"))
+        lists = batch.column("shingles")
+        values, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+        out: list[tuple] = []
+        for i in range(batch.num_rows):
+            mine = values[ends[i] : ends[i + 1]]
+            if (b[i], part[i]) != last:
+                last, held = (b[i], part[i]), []
+            if own[i]:
+                held.append(mine.copy())
+                continue
+            for theirs in held:
+                at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+                out.append((rep[i], b[i], int((theirs[at] == mine).sum()), len(mine), len(theirs)))
+        kinds = (batch.schema.field("rep").type, batch.schema.field("b").type, pa.int64(), pa.int64(), pa.int64())
+        columns = zip(*out) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "b", "shared", "size_a", "size_b"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """(a, b, shared, size_a, size_b, linked): the exact comparison of the whole sets of each pair of ids.
 
-    Of several rows of an id the pair whose sets share most counts.
+    Each pair moves one set, a's, to where b is; b's own moves once for each DEALT pairs, between which many pairs of
+    one b are dealt. Of several rows of an id the pair whose sets share most counts.
     """
-    both = pairs.join(sets.withColumnsRenamed({"rep": "a", "shingles": "set_a"}), "a").join(sets.withColumnsRenamed({"rep": "b", "shingles": "set_b"}), "b")
-    counted = both.select("a", "b", F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
+    dealt = pairs.groupBy("b").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
+    asks = pairs.join(dealt, "b").select("b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.lit(0).alias("own"), F.col("a").alias("rep"))
+    own = dealt.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("own"), F.col("b").alias("rep"))
+    # written first, so that what moves is planned from its size
+    asks = save(asks.unionByName(own), "minhash-asks")
+    rows = asks.join(sets, "rep").select("b", "part", "own", "rep", "shingles").repartition("b", "part").sortWithinPartitions("b", "part", F.desc("own"))
+    schema = T.StructType([T.StructField("a", sets.schema["rep"].dataType), T.StructField("b", sets.schema["rep"].dataType)]).add("shared", "long").add("size_a", "long").add("size_b", "long")
+    counted = rows.mapInArrow(_compared, schema)
     share = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
     best = counted.groupBy("a", "b").agg(F.max_by(F.struct("shared", "size_a", "size_b"), share).alias("s")).select("a", "b", "s.*")
     return best.withColumn("linked", 100 * F.col("shared") >= per_cent * (F.col("size_a") + F.col("size_b") - F.col("shared")))
@@ -233,14 +265,16 @@ def near_duplicates(docs: DataFrame, *, per_cent: int = 85, id_col: str = "doc_i
     placed = save(bucket.join(least, "bucket"), "minhash-placed")
     fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * per_cent  # noqa: E731  else the sizes alone decide
     sets = save(full_sets(placed.select("rep").distinct(), docs, id_col, text_col), "shingle-sets")
-    first = placed.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    first = placed.where((F.col("rep") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     checked = save(verified(first, sets, per_cent), "minhash-verified")
+    # how far a class is from its bucket's least one; unknown where the sizes alone keep them apart
     far = checked.select(F.col("a").alias("rep"), F.col("b").alias("lead"), "linked", (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("far"))
-    placed = save(placed.join(far, ["rep", "lead"], "left").withColumns({"far": F.coalesce("far", F.lit(0.0)), "linked": F.coalesce("linked", F.lit(True))}), "minhash-far")
+    is_lead = F.col("rep") == F.col("lead")
+    placed = save(placed.join(far, ["rep", "lead"], "left").withColumns({"far": F.when(is_lead, 0.0).otherwise(F.col("far")), "linked": is_lead | F.coalesce("linked", F.lit(False))}), "minhash-far")
     # a second comparison, of those left out with the class nearest to the bucket's least one
-    nearest = F.min_by("rep", F.when(F.col("linked") & (F.col("rep") != F.col("lead")), F.col("far")))
-    pivots = placed.groupBy("bucket").agg(nearest.alias("pivot"))
-    second = placed.where(~F.col("linked")).join(pivots.where("pivot is not null"), "bucket").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+    nearest = F.min_by(F.struct("rep", "n"), F.when(F.col("linked") & ~is_lead, F.col("far")))
+    pivots = placed.groupBy("bucket").agg(nearest.alias("pivot")).where("pivot is not null").select("bucket", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
+    second = placed.where(~F.col("linked")).join(pivots, "bucket").where(fits(F.col("n"), F.col("pivot_n"))).select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
     links = checked.where("linked").select("a", "b").union(verified(second, sets, per_cent).where("linked").select("a", "b"))
     known = save(components(links, "minhash-components"), "minhash-known")
     as_links = lambda df: df.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -253,7 +287,7 @@ def near_duplicates(docs: DataFrame, *, per_cent: int = 85, id_col: str = "doc_i
     small = apart.where(F.col("n_reps") <= PAIRED)
     a = small.select("bucket", F.col("rep").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("far").alias("far_a"))
     b = small.select("bucket", F.col("rep").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("far").alias("far_b"))
-    near = (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= limit) & fits(F.col("n_a"), F.col("n_b"))
+    near = (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= limit, F.lit(True)) & fits(F.col("n_a"), F.col("n_b"))
     rest = save(a.join(b, "bucket").where(near).select("a", "b").distinct(), "minhash-rest")
     more = verified(rest, sets, per_cent).where("linked").select("a", "b")
     blocks = block_links(apart.where(F.col("n_reps") > PAIRED), sets, per_cent)
