@@ -135,8 +135,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, shingles) of every row of docs whose id is needed: the whole set."""
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(needed, "rep")
+    """(rep, shingles) of every row of docs whose id is needed: the whole set.
+
+    The ids grow with the corpus, so they are not broadcast at any size: texts move to them once, unsorted.
+    """
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(needed.hint("shuffle_hash"), "rep")
     schema = T.StructType([texts.schema["rep"]]).add("shingles", T.ArrayType(T.LongType()))
     return texts.select("rep", "text").mapInArrow(_sets, schema)
 
@@ -185,11 +188,11 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
 def _held_against(rows: pa.Table, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) of the asking rows to the rows of a block, one for each other component that a row meets."""
-    ask, own = rows["ask"].to_numpy(), rows["own"].to_numpy()
+    ask = rows["ask"].to_numpy()
     ids, group = rows["rep"].to_numpy(), rows["component"].to_numpy()
     column = rows["shingles"].combine_chunks()
     values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-    members = np.flatnonzero(own)
+    members = np.flatnonzero(~ask)
     sizes = np.diff(ends)
     held = np.concatenate([values[ends[i] : ends[i + 1]] for i in members]) if len(members) else values[:0]
     of = np.repeat(np.arange(len(members)), sizes[members])
@@ -219,11 +222,11 @@ def _block_links(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[p
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
-        key = batch.column("bucket").to_numpy(), batch.column("block").to_numpy()
-        new = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
+        key = np.stack([batch.column(name).to_numpy().astype(np.int64) for name in ("bucket", "block", "part")])
+        new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
         for x, y in zip([0, *new], [*new, batch.num_rows]):
             part = batch.slice(x, y - x)
-            if held and part.num_rows and (held[-1].column("bucket")[0], held[-1].column("block")[0]) != (part.column("bucket")[0], part.column("block")[0]):
+            if held and part.num_rows and any(held[-1].column(name)[0] != part.column(name)[0] for name in ("bucket", "block", "part")):
                 yield done()
                 held = []
             if part.num_rows:
@@ -235,15 +238,19 @@ def _block_links(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[p
 def block_links(apart: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """(a, b): links between components within large buckets (bucket, n_reps, main, rep, component).
 
-    A bucket's classes are dealt into blocks; those outside its main component are held against every block. What
-    comes out are links, at most one for a class and another component of a block.
+    A bucket's classes are dealt into blocks; those outside its main component, dealt into parts of the same size, are
+    held against every block. What comes out are links, at most one for a class and another component of a block.
     """
-    blocks = F.ceil(F.col("n_reps") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    to = F.when(F.col("component") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))
-    dealt = apart.select("bucket", "rep", "component", (F.col("component") != F.col("main")).alias("ask"), own.alias("home"), F.explode(to).alias("block"))
-    rows = dealt.join(sets, "rep").select("bucket", "block", "rep", "component", "ask", (F.col("home") == F.col("block")).alias("own"), "shingles")
-    rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    asks = F.col("component") != F.col("main")
+    shares = apart.groupBy("bucket").agg(F.ceil(F.count(F.when(asks, 1)) / BLOCK).cast("int").alias("parts"))
+    placed = apart.join(shares, "bucket").withColumn("blocks", F.ceil(F.col("n_reps") / BLOCK).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "rep"), n).cast("int")
+    own = placed.select("bucket", "rep", "component", F.lit(False).alias("ask"), one(1, "blocks").alias("block"), every("parts").alias("part"))
+    ask = placed.where(asks).select("bucket", "rep", "component", F.lit(True).alias("ask"), every("blocks").alias("block"), one(2, "parts").alias("part"))
+    dealt = save(own.unionByName(ask.select(*own.columns)), "minhash-blocks")
+    rows = dealt.join(sets, "rep").repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part")
+    rows = rows.select("bucket", "block", "part", "rep", "component", "ask", "shingles")
     schema = T.StructType([T.StructField("a", sets.schema["rep"].dataType), T.StructField("b", sets.schema["rep"].dataType)])
     return rows.mapInArrow(lambda batches: _block_links(batches, per_cent), schema)
 
