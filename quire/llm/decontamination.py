@@ -1,9 +1,13 @@
 """Benchmark decontamination: passages of documents within an edit distance of benchmark items.
 
 Texts are sequences of words. A random walk (CGK) embeds a sequence so that few edits become few differing
-coordinates; coordinates sampled several times, in several walks, are the hash keys in which an item and a window
-of its size meet; the exact edit distance decides. Windows are laid wherever one of an item's pieces stands in a
-text: an item within k edits of a passage has at least one of its k + 1 pieces unchanged in it.
+coordinates; a key is made of coordinates sampled from one walk, and a window of a text and an item with an equal key
+are candidates. The walk over a window of an item's size begins at every word of a text, and, backwards, ends at every
+word; the exact edit distance decides on what the keys bring together.
+
+Coordinates are sampled where the walk over an item still stands on words, and early, before many edits have put the
+two walks out of step. Walks repeat, half of them backwards, until the keys of a passage at the bound of edits meet
+with the recall that RECALL states.
 
 The benchmark is the query set. It is broadcast in blocks of bounded size, each held against all documents where
 they are read; documents are not shuffled.
@@ -20,137 +24,187 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import mix, string_slices, words
+from quire.llm.common import mix, save, string_slices, words
 
 #: A passage matches within this share of the item's words as edits (rounded down).
 EDITS = 0.2
-#: Walks, keys of each walk, coordinates of each key: a pair of which half the coordinates differ meets with
-#: probability 0.98, one of which 0.35 differ with 0.9999.
-WALKS, KEYS, SAMPLED = 4, 16, 4
+#: Items of fewer words are not looked for: they allow no edit and stand in ordinary speech.
+LEAST_WORDS = 5
+#: Walks in each direction, coordinates of a key, steps from which they are sampled at most.
+WALKS, SAMPLED, REACH = 8, 4, 12
+#: Share of the passages at the bound of edits, of any size from LEAST_WORDS on, that the keys find (tests measure it).
+RECALL = 0.95
 #: Bytes of item texts in one broadcast block.
 BLOCK_BYTES = 16 << 20
-#: Windows that are embedded or verified at once.
-AT_ONCE = 4096
+#: Cells of one row of the distance table that are computed at once.
+CELLS = 1 << 21
+#: Bits of a word's hash in the tables of words that may stand at a sampled place.
+_SEEN = 20
 _PIECE = np.uint64(0x9FB21C651E98DF25)
 _PAD = np.uint64(0)
 
 
+def places(reach: int, seed: int) -> np.ndarray:
+    """The sampled steps of one walk, one in each of SAMPLED equal stretches of its first `reach` steps."""
+    edges = np.linspace(0, reach, min(SAMPLED, reach) + 1).astype(int)
+    chance = mix(np.arange(len(edges) - 1, dtype=np.uint64) + np.uint64(seed * 1000 + reach))
+    return edges[:-1] + (chance % np.diff(edges).astype(np.uint64)).astype(int)
+
+
+def _seed(walk: int) -> np.uint64:
+    return mix(np.array([walk + 1], np.uint64))[0]
+
+
+def keys(h: np.ndarray, starts: np.ndarray, walk: int, sampled: np.ndarray, seen: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(start, key) of one walk from each of some places in a sequence of words.
+
+    At each step the walk stays or goes on to the next word, by a random bit of the word and the step; the key is
+    made of the words stood on at the sampled steps. With `seen`, a table of words for each of them, walks that stand
+    on another word are given up.
+    """
+    bits = mix(h ^ _seed(walk))
+    at, code = starts.copy(), np.zeros(len(starts), np.uint64)
+    last, step = len(h) - 1, 0
+    for n, place in enumerate(sampled):
+        for j in range(step, place):
+            at += ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(at.dtype)
+            np.minimum(at, last, out=at)
+        step = place
+        word = h[at]
+        if seen is not None:
+            held = np.flatnonzero(seen[n][word >> np.uint64(64 - _SEEN)])
+            starts, at, code, word = starts[held], at[held], code[held], word[held]
+        code = mix(code * _PIECE + word)
+    return starts, code
+
+
+@dataclass
+class Table:
+    """Keys of the items of one reach by one walk: sorted, with their items, and the words at the sampled places."""
+
+    walk: int
+    sampled: np.ndarray
+    known: np.ndarray
+    item: np.ndarray
+    seen: list[np.ndarray]
+
+
 @dataclass
 class Items:
-    """A block of items: words, allowed edits, pieces by number of words, and their hash keys."""
+    """A block of items: words one after the other, sizes, allowed edits, tables of keys forwards and backwards."""
 
     ids: list
+    tokens: np.ndarray
+    begins: np.ndarray
     sizes: np.ndarray
     edits: np.ndarray
-    tokens: np.ndarray  # item x word, padded
-    pieces: dict  # words -> (sorted hashes, item, offset)
-    keys: np.ndarray  # item x walk x key
+    tables: tuple[list[Table], list[Table]]
 
 
-def piece_hash(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` words from each place on where so many follow."""
-    n = len(h) - size + 1
-    total = np.zeros(max(0, n), np.uint64)
-    for k in range(size):
-        total = mix(total * _PIECE + h[k : k + n])
-    return total
-
-
-def walk(tokens: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """The embedding of padded sequences, three times as long as the longest: a coordinate is the word stood on.
-
-    After each coordinate the walk steps on to the next word or stays, by a random function of place and word.
-    """
-    n, width = tokens.shape
-    padded = np.concatenate([tokens, np.zeros((n, 1), np.uint64)], 1)
-    at, row = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((n, 3 * width), np.uint64)
-    for j in range(3 * width):
-        word = padded[row, at]
-        out[:, j] = word
-        step = (mix(word + np.uint64((seed << 32) + j * 2 + 1)) >> np.uint64(63)).astype(np.int64)
-        at = np.minimum(at + step, np.minimum(sizes, width))
-    return out
-
-
-def keys(tokens: np.ndarray, sizes: np.ndarray, of_size: np.ndarray) -> np.ndarray:
-    """Keys (row, walk, key) of padded sequences; the sampled coordinates depend on the size of the item alone."""
-    out = np.empty((len(tokens), WALKS, KEYS), np.uint64)
-    for w in range(WALKS):
-        y = walk(tokens, sizes, w + 1)
-        for k in range(KEYS):
-            code = np.zeros(len(tokens), np.uint64)
-            for s in range(SAMPLED):
-                share = int(mix(np.array([((w * KEYS + k) * SAMPLED + s) * 2 + 1], np.uint64))[0] >> np.uint64(32)) / 2.0**32
-                place = np.minimum((share * 3 * of_size).astype(np.int64), y.shape[1] - 1)
-                code = mix(code * _PIECE + y[np.arange(len(y)), place])
-            out[:, w, k] = code
-    return out
-
-
-def block(ids: list, texts: list[str], edits: float) -> Items:
+def block(ids: list, texts: list[str], edits: float, least_words: int = LEAST_WORDS) -> Items:
     token_lists = []
     for _, _, data, offsets in string_slices(pa.array(texts, pa.string())):
         h, _, counts = words(data, offsets)
         token_lists += np.split(h, np.cumsum(counts)[:-1])
-    keep = [i for i, t in enumerate(token_lists) if len(t)]
+    keep = [i for i, t in enumerate(token_lists) if len(t) >= max(1, least_words)]
     token_lists, ids = [token_lists[i] for i in keep], [ids[i] for i in keep]
     sizes = np.array([len(t) for t in token_lists], np.int64)
-    allowed = (sizes * edits + 1e-9).astype(np.int64)
-    tokens = np.zeros((len(ids), int(sizes.max(initial=1))), np.uint64)
-    found: dict[int, list] = {}
-    for i, t in enumerate(token_lists):
-        tokens[i, : len(t)] = t
-        cuts = np.linspace(0, len(t), int(allowed[i]) + 2).astype(int)
-        for a, b in zip(cuts, cuts[1:]):
-            found.setdefault(int(b - a), []).append((int(piece_hash(t[a:b], b - a)[0]), i, int(a)))
-    pieces = {}
-    for size, rows in found.items():
-        rows.sort()
-        pieces[size] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-    return Items(ids, sizes, allowed, tokens, pieces, keys(tokens, sizes, sizes))
-
-
-def windows(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    begins = np.cumsum(sizes) - sizes
+    tables: tuple[list[Table], list[Table]] = ([], [])
+    reach = np.minimum(sizes, REACH)
+    for back in (0, 1):
+        tokens = np.concatenate([t[::-1] if back else t for t in token_lists]) if token_lists else np.zeros(0, np.uint64)
+        for r in np.unique(reach):
+            own = np.flatnonzero(reach == r)
+            for k in range(WALKS):
+                walk = 2 * k + back
+                sampled = places(int(r), walk)
+                # the words at each sampled place: those of the keys of one place more each time
+                seen = []
+                for n in range(len(sampled)):
+                    flags = np.zeros(1 << _SEEN, bool)
+                    flags[stood(tokens, begins[own], walk, int(sampled[n])) >> np.uint64(64 - _SEEN)] = True
+                    seen.append(flags)
+                _, code = keys(tokens, begins[own], walk, sampled)
+                order = np.argsort(code, kind="stable")
+                tables[back].append(Table(walk, sampled, code[order], own[order], seen))
+    tokens = np.concatenate(token_lists) if token_lists else np.zeros(0, np.uint64)
+    return Items(ids, tokens, begins, sizes, (sizes * edits + 1e-9).astype(np.int64), tables)
+
+
+def stood(h: np.ndarray, starts: np.ndarray, walk: int, step: int) -> np.ndarray:
+    """The words that walks from `starts` stand on after so many steps."""
+    bits, at = mix(h ^ _seed(walk)), starts.copy()
+    for j in range(step):
+        at += ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(at.dtype)
+        np.minimum(at, len(h) - 1, out=at)
+    return h[at]
+
+
+def candidates(h: np.ndarray, row: np.ndarray, items: Items) -> np.ndarray:
+    """Sorted distinct (row, item, start): windows of some texts that share a key with an item of their size."""
+    found = [np.zeros((0, 3), np.int64)]
+    n = len(h)
+    for back, tables in enumerate(items.tables):
+        own = np.ascontiguousarray(h[::-1]) if back else h
+        every = np.arange(n, dtype=np.int64)
+        for t in tables:
+            start, code = keys(own, every, t.walk, t.sampled, t.seen)
+            if not len(start):
+                continue
+            low, high = np.searchsorted(t.known, code), np.searchsorted(t.known, code, "right")
+            times = high - low
+            which = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            item, at = t.item[which], np.repeat(start, times)
+            if back:  # the window ends where the walk backwards began
+                at = n - 1 - at
+                found.append(np.stack([row[at], item, at - items.sizes[item] + 1], 1))
+            else:
+                found.append(np.stack([row[at], item, at], 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def windows(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Padded words of h from each start to each end, and how many."""
     sizes = ends - starts
+    width = int(sizes.max(initial=1))
     place = starts[:, None] + np.arange(width)
     inside = np.arange(width) < sizes[:, None]
     return np.where(inside, h[np.minimum(place, len(h) - 1)], _PAD), sizes
 
 
 def distances(item: np.ndarray, item_sizes: np.ndarray, region: np.ndarray, region_sizes: np.ndarray) -> np.ndarray:
-    """Least edit distance of each item to any run of words of its region."""
+    """Least edit distance of each item to any run of words of its region; rows of the table one after the other."""
     n, width = region.shape
     steps = np.arange(width + 1)
     row = np.zeros((n, width + 1), np.int32)
-    best = np.where(item_sizes == 0, 0, 0).astype(np.int32)
+    best = np.zeros(n, np.int32)
     outside = steps > region_sizes[:, None]
     for i in range(item.shape[1]):
         step = np.empty_like(row)
         step[:, 0] = row[:, 0] + 1
         step[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (region != item[:, i : i + 1]))
-        row = np.minimum.accumulate(step - steps, 1) + steps
+        row = (np.minimum.accumulate(step - steps, 1) + steps).astype(np.int32)
         done = item_sizes == i + 1
         if done.any():
             best[done] = np.where(outside, 1 << 20, row)[done].min(1)
     return best
 
 
-def _hits(h: np.ndarray, row: np.ndarray, items: Items) -> np.ndarray:
-    """Sorted distinct (row, item, start) where a piece of an item stands in a text; start is where the item would."""
-    found = []
-    for size, (known, item, offset) in items.pieces.items():
-        if len(h) < size:
-            continue
-        code = piece_hash(h, size)
-        lo = np.searchsorted(known, code)
-        at = np.flatnonzero((known[np.minimum(lo, len(known) - 1)] == code) & (row[: len(code)] == row[size - 1 :]))
-        hi = np.searchsorted(known, code[at], "right")
-        times = hi - lo[at]
-        which = np.repeat(lo[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        found.append(np.stack([np.repeat(row[at], times), item[which], np.repeat(at, times) - offset[which]], 1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+def _merged(hits: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """The first start of each run of starts of one row and item that lie within the item's edits, and the last one."""
+    if not len(hits):
+        return hits, np.zeros(0, np.int64)
+    near = items.edits[hits[:, 1]]
+    new = np.ones(len(hits), bool)
+    new[1:] = (hits[1:, :2] != hits[:-1, :2]).any(1) | (hits[1:, 2] - hits[:-1, 2] > near[1:])
+    # a run of many starts is cut after each stretch of the allowed edits, so that no region grows
+    group = np.cumsum(new) - 1
+    first = hits[new][group, 2]
+    stretch = (hits[:, 2] - first) // (near + 1)
+    new[1:] |= stretch[1:] != stretch[:-1]
+    at = np.flatnonzero(new)
+    return hits[at], hits[np.append(at[1:], len(hits)) - 1, 2]
 
 
 def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> np.ndarray:
@@ -160,21 +214,20 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> np.ndarray:
         return np.zeros((0, 4), np.int64)
     ends = np.cumsum(counts)
     begins = ends - counts
-    hits = _hits(h, row, items)
-    out = []
-    for a in range(0, len(hits), AT_ONCE):
-        r, item, start = hits[a : a + AT_ONCE].T
+    hits, last = _merged(candidates(h, row, items), items)
+    order = np.argsort(items.sizes[hits[:, 1]], kind="stable")  # like sizes together: little is padded
+    hits, last = hits[order], last[order]
+    width = items.sizes[hits[:, 1]] + 3 * items.edits[hits[:, 1]] + 1
+    out, a = [], 0
+    while a < len(hits):
+        b = a + max(1, int(np.searchsorted(np.arange(1, len(hits) - a + 1) * width[a:], CELLS, "right")))
+        r, item, start = hits[a:b].T
         size, edits = items.sizes[item], items.edits[item]
-        low, high = begins[r], ends[r]
-        start = np.maximum(start, low)
-        tokens, sizes = windows(h, start, np.minimum(start + size, high), int(size.max()))
-        met = (keys(tokens, sizes, size) == items.keys[item]).any((1, 2))
-        r, item, start, size, edits, low, high = (x[met] for x in (r, item, start, size, edits, low, high))
-        if len(r):
-            region, region_sizes = windows(h, np.maximum(start - edits, low), np.minimum(start + size + edits, high), int((size + 2 * edits).max()))
-            d = distances(items.tokens[item][:, : int(size.max())], size, region, region_sizes)
-            near = d <= edits
-            out.append(np.stack([r, item, d, start - low], 1)[near])
+        region, region_sizes = windows(h, np.maximum(start - edits, begins[r]), np.minimum(last[a:b] + size + edits, ends[r]))
+        tokens, _ = windows(items.tokens, items.begins[item], items.begins[item] + size)
+        d = distances(tokens, size, region, region_sizes)
+        out.append(np.stack([r, item, d, np.maximum(start - begins[r], 0)], 1)[d <= edits])
+        a = b
     if not out:
         return np.zeros((0, 4), np.int64)
     found = np.concatenate(out)
@@ -184,13 +237,17 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> np.ndarray:
     return found[first]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, least_words: int = LEAST_WORDS, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> DataFrame:
     """Every row of docs with `leaks`, an array of (item, distance, start), one for each item found.
 
     distance is the least number of words put in, left out or replaced that turns the item into a passage near
     `start` (a word's number, from 0), at most `edits` times the item's words; words are compared in lower case
-    (A-Z). Null or empty texts have no leaks; items without words are never found; items of the same text are found
-    together. A column `leaks` of docs is replaced. An empty benchmark leaves every array empty.
+    (A-Z). The keys find a share of at least RECALL of the passages at the bound, nearly all that are nearer, and all
+    that are equal. Null or empty texts have no leaks; items of fewer than `least_words` words are never found (they
+    would mark nearly every document); items of the same text are found together. Repeated rows have the same leaks
+    each. A text or an item of any length is compared whole, one table row at a time. A column `leaks` of docs is
+    replaced. An empty benchmark leaves every array empty. A benchmark of several blocks is read in several passes,
+    each written before the next.
     """
     spark = docs.sparkSession
     docs = docs.drop("leaks")
@@ -216,6 +273,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS
 
     for k in range(n_blocks):  # one, for a benchmark of up to block_bytes
         rows = some.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k).orderBy("id", "text").collect()
-        sent = spark.sparkContext.broadcast(block([r["id"] for r in rows], [r["text"] for r in rows], edits))
+        sent = spark.sparkContext.broadcast(block([r["id"] for r in rows], [r["text"] for r in rows], edits, least_words))
         found = found.mapInArrow(held_against(sent), schema)
+        if k + 1 < n_blocks:
+            found = save(found, "leaks")
     return found

@@ -531,3 +531,30 @@ def test_leaks(spark, texts, block_bytes):
     assert sum(got[i][k] == want[i][k] for i, k in found) >= 0.95 * len(found)
     assert len(got) == len(rows) and decontamination.contamination(df.limit(0), bench).count() == 0
     assert decontamination.contamination(df, bench.limit(0)).where(F.size("leaks") > 0).count() == 0
+
+
+def test_keys_reach_their_recall():
+    """Passages with as many random edits as an item allows: the keys find the share that RECALL states."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    for n in (5, 10, 24, 50, 100):
+        items = [[word() for _ in range(n)] for _ in range(150)]
+        texts = []
+        for item in items:
+            w = list(item)
+            for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+                rng.choice([lambda: w.__setitem__(at, word()), lambda: w.insert(at, word()), lambda: w.__delitem__(at)])()
+            texts.append(" ".join([word() for _ in range(8)] + w + [word() for _ in range(8)]))
+        held = decontamination.block(list(range(150)), [" ".join(w) for w in items], 0.2)
+        blob = [t.encode() for t in texts]
+        data, offsets = np.frombuffer(b"".join(blob), np.uint8), np.cumsum([0, *map(len, blob)])
+        assert sum(r == i for r, i, _, _ in decontamination.matches(data, offsets, held)) >= (decontamination.RECALL - 0.03) * 150
+
+
+def test_long_and_short_items(spark):
+    long = [f"w{k * 7919 % 5003}" for k in range(20000)]
+    copy = [w for k, w in enumerate(long) if k % 50]
+    docs = [(1, " ".join(["x"] * 9 + copy + ["y"])), (2, "one two three four"), (3, " ".join(long[:9000])), (4, "a" * 300_000)]
+    items = [(7, " ".join(long)), (8, "one"), (9, "one two three four"), (10, None)]
+    found = decontamination.contamination(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: [(x["item"], x["distance"]) for x in r["leaks"]] for r in found.collect()} == {1: [(7, 400)], 2: [], 3: [], 4: []}
