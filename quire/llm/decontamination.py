@@ -38,8 +38,8 @@ RECALL = 0.95
 BLOCK_BYTES = 16 << 20
 #: Cells of one row of the distance table that are computed at once.
 CELLS = 1 << 21
-#: Bits of a word's hash in the tables of words that may stand at a sampled place.
-_SEEN = 20
+#: The table of the words that may stand at a sampled place has so many places for each item, and at most 2 ** 20.
+_SPREAD = 64
 _PIECE = np.uint64(0x9FB21C651E98DF25)
 _PAD = np.uint64(0)
 
@@ -51,6 +51,11 @@ def places(reach: int, seed: int) -> np.ndarray:
     return edges[:-1] + (chance % np.diff(edges).astype(np.uint64)).astype(int)
 
 
+def _slot(word: np.ndarray, size: int) -> np.ndarray:
+    """The place of a word's hash in a table of a power of two."""
+    return word >> np.uint64(65 - size.bit_length())
+
+
 def _seed(walk: int) -> np.uint64:
     return mix(np.array([walk + 1], np.uint64))[0]
 
@@ -72,7 +77,7 @@ def keys(h: np.ndarray, starts: np.ndarray, walk: int, sampled: np.ndarray, seen
         step = place
         word = h[at]
         if seen is not None:
-            held = np.flatnonzero(seen[n][word >> np.uint64(64 - _SEEN)])
+            held = np.flatnonzero(seen[n][_slot(word, len(seen[n]))])
             starts, at, code, word = starts[held], at[held], code[held], word[held]
         code = mix(code * _PIECE + word)
     return starts, code
@@ -119,11 +124,10 @@ def block(ids: list, texts: list[str], edits: float, least_words: int = LEAST_WO
             for k in range(WALKS):
                 walk = 2 * k + back
                 sampled = places(int(r), walk)
-                # the words at each sampled place: those of the keys of one place more each time
                 seen = []
                 for n in range(len(sampled)):
-                    flags = np.zeros(1 << _SEEN, bool)
-                    flags[stood(tokens, begins[own], walk, int(sampled[n])) >> np.uint64(64 - _SEEN)] = True
+                    flags = np.zeros(min(1 << 20, 1 << (_SPREAD * len(own)).bit_length()), bool)
+                    flags[_slot(stood(tokens, begins[own], walk, int(sampled[n])), len(flags))] = True
                     seen.append(flags)
                 _, code = keys(tokens, begins[own], walk, sampled)
                 order = np.argsort(code, kind="stable")

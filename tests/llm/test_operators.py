@@ -84,13 +84,35 @@ def test_audit_weighs_vectors(spark):
     first = unit(rng.normal(size=(200, 32)))
     second = unit(first + rng.normal(size=(200, 32)) * 0.02)
     vectors = np.concatenate([group, first, second])
-    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "v long, vec array<double>")
+    points = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(vectors)], "v long, copies long, vec array<double>")
     dense = spark.createDataFrame([(k, 0) for k in range(400)], "v long, component long")
-    known = [(400 + k, 600 + k) for k in range(0, 200, 2)]
-    links = spark.createDataFrame(known + [(b, a) for a, b in known], "v long, u long")
-    assert 0.3 < embedding_dedup.audit(points, links, dense, 0.9) < 0.7
+    near = (vectors @ vectors.T >= 0.9).sum(1) - 1
+    known = [(k, int(near[k])) for k in range(400)] + [(k, 1) for k in range(400, 800, 2)]
+    counted = spark.createDataFrame(known, "v long, links long")
+    assert 0.3 < embedding_dedup.audit(points, counted, dense, 0.9) < 0.7
     single = points.where("v < 600 or v = 601").where("v >= 400")
-    assert embedding_dedup.audit(single, links.limit(0), dense.limit(0), 0.9, size=2) == 0.0
+    assert embedding_dedup.audit(single, counted.where("v < 0"), dense.where("v < 0"), 0.9) == 0.0
+
+
+@pytest.mark.parametrize("block", [embedding_dedup.BLOCK, 64])
+def test_dense_group_and_chain(spark, monkeypatch, block):
+    """A third of the vectors near each other, and a long chain of which only neighbours are near: exact counts."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    group = rng.normal(size=24) + rng.normal(size=(300, 24)) * 0.12
+    angle = np.arange(400) * np.arccos(0.9) * 0.3
+    chain = np.zeros((400, 24))
+    chain[:, 0], chain[:, 1], chain[:, 2] = np.cos(angle), np.sin(angle), angle / 40
+    x = np.concatenate([group, chain, rng.normal(size=(200, 24))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(k, 1 + k % 2, v.tolist()) for k, v in enumerate(x)], "v long, copies long, vec array<double>")
+    dense = spark.createDataFrame([(k, 0 if k < 300 else 300) for k in range(700)], "v long, component long")
+    got = {r["v"]: r["links"] for r in embedding_dedup._dense(points, dense, 0.9, 1).collect()}
+    copies = 1 + np.arange(len(x)) % 2
+    for lo, hi in ((0, 300), (300, 700)):
+        near = x[lo:hi] @ x[lo:hi].T >= 0.9
+        np.fill_diagonal(near, False)
+        assert [got.get(k, 0) for k in range(lo, hi)] == (near @ copies[lo:hi]).tolist()
 
 
 def test_hot_regions_meet(spark):
