@@ -1,6 +1,8 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
-The URLs that rules judge are the labelled ones; from them trees learn what the others look like.
+The URLs that rules judge are the labelled ones; from them trees learn what the others look like. URLs are dealt into
+folds by a hash; labels count in a URL's suffix statistics only if they are of other folds, so that no feature holds
+the label it is to predict, and one fold is left out of learning altogether, to measure by.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from quire.llm.common import save
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: URLs learned from: at most MAX_ROWS, chosen by a hash of the URL.
 MAX_ROWS = 20_000
+#: Folds of URLs; the first is held out.
+FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("f_length", "f_host_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_secure", "f_fragment", "f_suffix_pages", "f_suffix_blocked")
 
@@ -75,8 +79,8 @@ def _assembled(df: DataFrame) -> DataFrame:
 
 
 def fit(featured: DataFrame, *, max_rows: int = MAX_ROWS, url_col: str = "url", seed: int = 3) -> Model:
-    """Learn from at most max_rows of the URLs that rules judge."""
-    known = featured.where("rule_verdict is not null").select(*FEATURES, (F.col("rule_verdict") == "block").cast("double").alias("label"), F.xxhash64(url_col).alias("order"))
+    """Learn from at most max_rows of the URLs that rules judge and that are not held out."""
+    known = featured.where("rule_verdict is not null and fold > 0").select(*FEATURES, (F.col("rule_verdict") == "block").cast("double").alias("label"), F.xxhash64(url_col).alias("order"))
     sample = save(known.orderBy("order").limit(max_rows).drop("order"), "url-sample").repartition(8)
     found = sample.agg(F.min("label").alias("least"), F.max("label").alias("most")).first()
     if found["least"] is None or found["least"] == found["most"]:
@@ -86,27 +90,33 @@ def fit(featured: DataFrame, *, max_rows: int = MAX_ROWS, url_col: str = "url",
 
 
 def features(pages: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, url_col: str = "url") -> DataFrame:
-    """Every row of pages with host, path, rule, rule_verdict and the features.
+    """Every row of pages with host, path, rule, rule_verdict, fold and the features.
 
     A suffix is the last two labels of a host; its statistics are the number of its pages and the smoothed share of
-    blocks among its judged ones, over all pages. Tasks add up before the shuffle; the way back is a join.
+    blocks among its judged ones of other folds, over all pages. Tasks add up before the shuffle; the way back is a
+    join.
     """
     named = pages.withColumns(parts(F.col(url_col)))
     named = named.withColumns(judged(F.col("host"), F.col("path"), rules))
-    named = named.withColumn("suffix", F.substring_index("host", ".", -2))
-    blocked = F.when(F.col("rule_verdict") == "block", 1.0)
-    stats = named.groupBy("suffix").agg(F.count("*").alias("n"), F.count("rule_verdict").alias("known"), F.count(blocked).alias("blocked"))
-    stats = stats.select("suffix", F.log1p("n").alias("f_suffix_pages"), ((F.col("blocked") + 1) / (F.col("known") + 2)).alias("f_suffix_blocked"))
-    return named.withColumns(lexical(F.col(url_col))).join(stats, "suffix").drop("suffix")
+    named = named.withColumns({"suffix": F.substring_index("host", ".", -2), "fold": F.pmod(F.xxhash64(F.lit(41), url_col), F.lit(FOLDS)).cast("int")})
+    in_fold = lambda k, said: F.sum(F.when((F.col("fold") == k) & said, 1).otherwise(0))
+    known, blocked = F.col("rule_verdict").isNotNull(), F.coalesce(F.col("rule_verdict") == "block", F.lit(False))
+    stats = named.groupBy("suffix").agg(F.count("*").alias("n"), F.array(*[in_fold(k, known) for k in range(FOLDS)]).alias("known"), F.array(*[in_fold(k, blocked) for k in range(FOLDS)]).alias("blocked"))
+    joined = named.withColumns(lexical(F.col(url_col))).join(stats, "suffix")
+    others = lambda name: F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + x) - F.get(name, F.col("fold"))
+    share = {"f_suffix_pages": F.log1p("n"), "f_suffix_blocked": (others("blocked") + 1) / (others("known") + 2)}
+    return joined.withColumns(share).drop("suffix", "n", "known", "blocked")
 
 
 def judge(pages: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, max_rows: int = MAX_ROWS, threshold: float = 0.5, url_col: str = "url") -> DataFrame:
-    """Every row of pages with host, path, rule, verdict and score (the trees' probability of a block).
+    """Every row of pages with host, path, rule, verdict, score (the trees' probability of a block) and held_out.
 
     The verdict is the rule's, without a rule the trees': block from the threshold on. If no URL is labelled, or all
-    alike, the trees' verdict is that label, without any allow. Columns of these names in pages are replaced.
+    alike, the trees' verdict is that label, without any allow. The trees never saw the labels of held_out rows, a
+    fold of the URLs. A null URL has no host, no path and no rule; URLs of any length count whole; rows that repeat
+    are judged alike; an empty table gives an empty one. Columns of these names in pages are replaced.
     """
-    pages = pages.drop("host", "path", "rule", "verdict", "score")
+    pages = pages.drop("host", "path", "rule", "verdict", "score", "held_out")
     # the rows travel as one column, so that no name of theirs meets one of ours
     rows = pages.select(F.struct(*pages.columns).alias("row"), F.col(url_col).alias("url"))
     featured = save(features(rows, rules=rules), "url-features")
@@ -116,7 +126,7 @@ def judge(pages: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, max_r
     else:
         scored = model.trees.transform(_assembled(featured)).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
-    return scored.select(*[F.col("row")[c].alias(c) for c in pages.columns], "host", "path", "rule", verdict.alias("verdict"), "score")
+    return scored.select(*[F.col("row")[c].alias(c) for c in pages.columns], "host", "path", "rule", verdict.alias("verdict"), "score", (F.col("fold") == 0).alias("held_out"))
 
 
 def brute_rule(host: str, path: str, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[str, str] | None:

@@ -508,10 +508,23 @@ def test_urls(spark):
         r = got[k]
         assert (r["host"], r["path"], r["rule"]) == (host, path, best and best[1])
         assert r["verdict"] == best[0] if best else r["verdict"] in ("allow", "block")
-    assert url_filter.judge(df.limit(0)).count() == 0
+    again = url_filter.judge(df.union(df))
+    assert again.select("page_id", "host", "path", "rule", "verdict", "score").distinct().count() == len(urls)
     assert {r["verdict"] for r in url_filter.judge(df.where("page_id in (0, 1, 12)")).collect()} == {"allow"}
 
 
+def test_urls_held_out(spark):
+    """Trees find labels that they never saw, from the looks of a URL; a suffix's own labels are no feature of it."""
+    rows = [(k, f"http://h{k}.{'com/de' if k % 2 else 'net.org/x'}/{'9' * (k % 2 * 12)}{k}") for k in range(600)] + [(1000, "http://a.org/" + "x" * 200_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_filter.judge(df).collect()
+    held = [r for r in got if r["held_out"]]
+    assert 60 < len(held) < 200 and len(got) == 601
+    assert sum((r["score"] >= 0.5) == (r["verdict"] == "block") for r in held) >= 0.95 * len(held)
+    lone = spark.createDataFrame([(1, "http://one.org/de/"), (2, "http://two.com/de/")], "page_id long, url string")
+    assert {r["f_suffix_blocked"] for r in url_filter.features(lone).collect()} == {0.5}
+
+
 # -------------------------------------------------------------------------------------------------------- benchmark
 
 
