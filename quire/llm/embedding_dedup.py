@@ -20,11 +20,11 @@ from pyspark.sql import types as T
 from quire.llm.common import components, save
 
 #: Length of the lists; bucket tables; members of a bucket or hub that meet at once; rows of a block.
-K, TABLES, MEET, BLOCK = 12, 8, 96, 4096
+K, TABLES, MEET, BLOCK = 12, 16, 96, 4096
 #: Further hyperplanes for groups of more than MEET; how many times MEET a part of these may have.
 FINE, PART_MEETS = 20, 4
 #: Rounds of local joins before the audit; recall asked, and the least that is given out when lists stop changing.
-ROUNDS, RECALL, LEAST_RECALL = 2, 0.97, 0.9
+ROUNDS, RECALL, LEAST_RECALL = 1, 0.97, 0.9
 #: Audited vectors of those that have links, inside and outside saturated components, and of those that have none.
 LINKED, AUDITED = 256, 1024
 #: Rows of a product of a block with another.
@@ -91,7 +91,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, c = np.nonzero(got > last[:, None])
         v.append(ids[r])
         u.append(ids[near[r, c]])
-        s.append(got[r, c])
+        s.append(got[r, c].astype(np.float64))
         n += len(r)
         if n > 100_000:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (v, u, s)], _META.names)
@@ -166,9 +166,22 @@ def _with_last(points: DataFrame, lists: DataFrame) -> DataFrame:
     return points.drop("last").join(last, "v", "left").select("v", F.coalesce("last", F.lit(-2.0)).alias("last"), "vec")
 
 
-def _refined(points: DataFrame, lists: DataFrame, seed: int) -> DataFrame:
-    """One round of neighbours of neighbours: all who name a vector, and all it names, meet at it."""
-    at = lists.select(F.col("u").alias("c"), "v").unionByName(lists.select(F.col("v").alias("c"), F.col("u").alias("v"))).unionByName(lists.select(F.col("v").alias("c"), "v")).distinct()
+def _decided(lists: DataFrame, points: DataFrame, threshold: float, error: float) -> DataFrame:
+    """(v, u) of the pairs of the lists whose cosine in doubles reaches the threshold; sim may be off by `error`."""
+    open_ = lists.where(F.abs(F.col("sim") - threshold) <= error)
+    both = open_.join(points.select("v", F.col("vec").alias("a")), "v").join(points.select(F.col("v").alias("u"), F.col("vec").alias("b")), "u")
+    cosine = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return lists.where(F.col("sim") > threshold + error).select("v", "u").unionByName(both.where(cosine >= threshold).select("v", "u"))
+
+
+def _refined(points: DataFrame, lists: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """One round of neighbours of neighbours: all who name a vector, and all it names, meet at it.
+
+    Two vectors within the threshold's angle, one of them so near to a common neighbour, are within twice the angle
+    of it; neighbours farther away don't take part.
+    """
+    close = lists.where(F.col("sim") >= 2 * threshold * threshold - 1)
+    at = close.select(F.col("u").alias("c"), "v").unionByName(close.select(F.col("v").alias("c"), F.col("u").alias("v"))).unionByName(close.select(F.col("v").alias("c"), "v")).distinct()
     groups = at.join(_with_fine(_with_last(points, lists), seed), "v")
     return save(_merged(lists, _compared(_salted(groups, "c", seed))), "nn-lists")
 
@@ -292,7 +305,9 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "v
     points = save(members.groupBy(*same).agg(F.min("id").alias("v"), F.count("*").alias("copies"), F.min_by("vec", "id").alias("vec")).withColumn("last", F.lit(-2.0)), "nn-points")
     n = points.count()
     bits = min(24, max(1, int(np.ceil(np.log2(max(2, n) / 24)))))
-    bare, weighed = points.select("v", "last", "vec"), points.select("v", "copies", "vec")
+    # the graph is built in single precision, which halves what moves; pairs that this leaves open are decided in doubles
+    bare, weighed = points.select("v", "last", F.col("vec").cast("array<float>").alias("vec")), points.select("v", "copies", "vec")
+    widest = points.agg(F.max(F.size("vec"))).first()[0] or 0
     copies = points.select(F.col("v").alias("u"), "copies")
     lists = None
     rounds, attempt, before = ROUNDS, 0, None
@@ -300,8 +315,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "v
         start = _buckets(bare if lists is None else _with_last(bare, lists), TABLES, bits, seed + attempt)
         lists = save(_merged(lists, _compared(_salted(start, "g", seed + attempt))), "nn-lists")
         for k in range(rounds):
-            lists = _refined(bare, lists, seed + 100 * attempt + k)
-        linked = lists.where(F.col("sim") >= threshold)
+            lists = _refined(bare, lists, threshold, seed + 100 * attempt + k)
+        linked = save(_decided(lists, weighed, threshold, 2e-7 * (widest + 64)), "nn-linked")
         known = save(components(linked.select(F.col("v").alias("a"), F.col("u").alias("b")), "nn-components"), "nn-known")
         full = linked.groupBy("v").count().where(F.col("count") >= K).select("v")
         saturated = known.join(full.select(F.col("v").alias("node")), "node").select("component").distinct()
