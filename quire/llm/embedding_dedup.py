@@ -23,7 +23,7 @@ from quire.llm.common import components, save
 K, TABLES, MEET, BLOCK = 12, 16, 96, 4096
 #: Further hyperplanes for groups of more than MEET; how many times MEET a part of these may have.
 FINE, PART_MEETS = 20, 4
-#: Rounds of local joins before the audit; recall asked, and the least that is given out when lists stop changing.
+#: Rounds of local joins before the audit; recall asked, and the least that is given out when no further links come up.
 ROUNDS, RECALL, LEAST_RECALL = 1, 0.97, 0.9
 #: Audited vectors of those that have links, inside and outside saturated components, and of those that have none.
 LINKED, AUDITED = 256, 1024
@@ -91,7 +91,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, c = np.nonzero(got > last[:, None])
         v.append(ids[r])
         u.append(ids[near[r, c]])
-        s.append(got[r, c].astype(np.float64))
+        s.append(np.round(got[r, c].astype(np.float64), 6))  # a pair that meets again has the same number
         n += len(r)
         if n > 100_000:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (v, u, s)], _META.names)
@@ -294,7 +294,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "v
     and those with null or non-finite components have no links; only vectors of the same length are compared. Equal
     vectors (up to length) are one point with copies. Of several rows of an id the least vector counts. A null id has
     one row without links. An empty table gives an empty one. The neighbour graph is approximate: links not found are
-    missing, none is wrong. Rounds go on until the audit knows RECALL of the links or lists stop changing; under
+    missing, none is wrong. Rounds go on until the audit knows RECALL of the links or no further links come up; under
     LEAST_RECALL RuntimeError names the recall, else it stands in every row.
     """
     one = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("raw")).groupBy("id").agg(F.min("raw").alias("raw"))
@@ -316,7 +316,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "v
         lists = save(_merged(lists, _compared(_salted(start, "g", seed + attempt))), "nn-lists")
         for k in range(rounds):
             lists = _refined(bare, lists, threshold, seed + 100 * attempt + k)
-        linked = save(_decided(lists, weighed, threshold, 2e-7 * (widest + 64)), "nn-linked")
+        linked_pairs = linked = save(_decided(lists, weighed, threshold, 1e-6 + 2e-7 * (widest + 64)), "nn-linked")
         known = save(components(linked.select(F.col("v").alias("a"), F.col("u").alias("b")), "nn-components"), "nn-known")
         full = linked.groupBy("v").count().where(F.col("count") >= K).select("v")
         saturated = known.join(full.select(F.col("v").alias("node")), "node").select("component").distinct()
@@ -327,12 +327,12 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "v
         recall = audit(weighed, counted, dense, threshold)
         if recall >= RECALL:
             break
-        sums = lists.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % (1 << 40))).first()
-        if sums == before:
+        n_linked = linked_pairs.count()
+        if before is not None and n_linked <= before:
             if recall >= LEAST_RECALL:
                 break
-            raise RuntimeError(f"near vectors: lists no longer change after {attempt + 1} attempts, but the audit knows only {recall:.3f} of the links, under {LEAST_RECALL}")
-        rounds, attempt, before = 1, attempt + 1, sums
+            raise RuntimeError(f"near vectors: no further links came up in {attempt + 1} attempts, but the audit knows only {recall:.3f} of the links, under {LEAST_RECALL}")
+        rounds, attempt, before = 1, attempt + 1, n_linked
     at_point = points.select(*same, "v", "copies").join(known.select(F.col("node").alias("v"), "component"), "v", "left").join(counted, "v", "left")
     found = members.select("id", *same).join(at_point, list(same)).select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "v").alias("component_id"))
     out = one.select("id").join(found, "id", "left")
