@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 PAGE_MARK = re.compile(r"## Página (\d+)")
 PAGE_LINE = re.compile(r"\n## Página (\d+)\n")
 HEADING = re.compile(r"(#{2,})\s+(.+)$")
-RULE_ROW = re.compile(r"^\s*\|?[\s:|-]*-[\s:|-]*\|[\s:|-]*$")
+RULE_ROW = re.compile(r"^\s*\|[\s:|-]+\|\s*$")
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,15 @@ class ChunkConfig:
     def kind(self) -> str:
         return {"fixed": "fixed", "fixed_size": "fixed", "semantic": "semantic"}.get(self.strategy, "hybrid")
 
+    @classmethod
+    def preset(cls, name: str, chunk_size: int | None = None) -> ChunkConfig:
+        """Sizes of named runs (fixed values): web takes a size and derives its bounds."""
+        if name == "web":
+            size = chunk_size or 1000
+            return cls(chunk_size=size, overlap=min(200, size - 1), min_size=200, max_size=4 * size)
+        sizes = {"run": (1200, 200, 300, 2500, "hybrid"), "site": (1200, 150, 100, 2000, "semantic")}[name]
+        return cls(**dict(zip(("chunk_size", "overlap", "min_size", "max_size", "strategy"), sizes)))
+
     @classmethod
     def for_tokens(cls, tokens: int, **more) -> ChunkConfig:
         """A size from a token budget: four characters a token, a fifth in reserve."""
@@ -77,7 +86,7 @@ def sections(text: str) -> list[tuple[str | None, str]]:
 
 def is_table(text: str) -> bool:
     """A markdown table (a rule row among the first three lines) or a LaTeX tabular, of two lines or more."""
-    lines = text.split("\n")
+    lines = text.strip().split("\n")
     if len(lines) < 2:
         return False
     return any(RULE_ROW.match(x) for x in lines[:3]) or "\\begin{tabular}" in text or "\\end{tabular}" in text

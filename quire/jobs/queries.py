@@ -129,8 +129,10 @@ query(
     GROUP BY document_id, section HAVING trim(string_agg(line, ''), ' ' || chr(9) || chr(13)) <> ''""",
 )(lambda c: chunking.sections(c.markdown))
 query("pack_paragraphs")(lambda c: chunking.pack_paragraphs(chunking.sections(c.markdown), 400, 80))
-query("is_table", "SELECT doc_id, strpos(text, chr(10)) > 0 AND len(list_filter((string_split(text, chr(10)))[1:3], lambda x: regexp_matches(x, '^\\s*\\|?[\\s:|-]*-[\\s:|-]*\\|[\\s:|-]*$'))) > 0 AS is_table FROM documents")(
-    lambda c: c.table("documents").select("doc_id", chunking.is_table(F.col("text")).alias("is_table"))
+_TABLED = "CASE WHEN document_id % 3 = 0 THEN '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| 1 | 2 |' WHEN document_id % 3 = 1 THEN 'a | b' || chr(10) || '--- | ---' ELSE markdown END"
+query("is_table", f"""SELECT document_id, len(lines) >= 2 AND len(list_filter(lines[1:3], lambda x: regexp_matches(x, '^\\|[\\s:|-]+\\|$'))) > 0 AS is_table
+    FROM (SELECT document_id, list_transform(string_split(regexp_replace({_TABLED}, '^\\s+|\\s+$', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS lines FROM markdown)""")(
+    lambda c: c.markdown.select("document_id", chunking.is_table(F.expr(_TABLED.replace("chr(10)", "char(10)"))).alias("is_table"))
 )
 query("chunk_stats", "SELECT count(*) AS n_chunks, round(avg(length), 6) AS avg_length, min(length) AS min_length, max(length) AS max_length, CAST(sum(length) AS BIGINT) AS total_length FROM chunks")(
     lambda c: chunking.chunk_stats(c.chunks).withColumn("avg_length", F.round("avg_length", 6))
@@ -174,13 +176,15 @@ def attach_embeddings(c: Corpus) -> DataFrame:
     return vectors.attach_embeddings(c.chunks, made).select("document_id", "chunk_index", "embedding_dimension", "length")
 
 
-query("pairwise_similarity", "SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 6) AS similarity FROM (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM entries WHERE vec_id % 50 = 0) a JOIN (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM entries WHERE vec_id % 50 = 0) b ON a.id < b.id")(
-    lambda c: vectors.pairwise_similarity(c.collection.where("vec_id % 50 = 0"))
+query("pairwise_similarity", "SELECT q.vec_id AS query_id, e.id, round(list_dot_product(q.v, e.v), 6) AS similarity FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM entries WHERE vec_id % 20 = 0) q JOIN (SELECT id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM entries) e ON q.vec_id <> e.vec_id WHERE round(list_dot_product(q.v, e.v), 6) >= 0.25")(
+    lambda c: search.similar_entries(c.queries, c.collection, 0.25).where(F.col("id") != F.concat(F.lit("doc_"), "query_id", F.lit("_chunk_0")))
 )
 query("item_neighbors", "SELECT 'doc_5_chunk_0' AS item, id, round(list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM entries WHERE vec_id = 5)), 6) AS similarity FROM entries WHERE vec_id <> 5 ORDER BY similarity DESC, id LIMIT 3")(
     lambda c: vectors.item_neighbors(c.collection, F.lit("doc_5_chunk_0"))
 )
-query("embedding_run_stats", "SELECT count(*) AS num_chunks, CAST(max(len(embedding)) AS INTEGER) AS embedding_dimension, 'hash' AS model, true AS normalized FROM entries")(lambda c: vectors.embedding_run_stats(c.collection, "hash"))
+query("embedding_run_stats", "SELECT count(*) AS num_chunks, CAST(max(len(embedding)) AS INTEGER) AS embedding_dimension, 'hash' AS model, true AS normalized, 'demo' AS alias, 'columns' AS backend, 1.5 :: DOUBLE AS seconds, '2026-01-01 00:00:00' AS timestamp FROM entries")(
+    lambda c: vectors.embedding_run_stats(c.collection, "hash", alias="demo", backend="columns", seconds=1.5, timestamp="2026-01-01 00:00:00")
+)
 
 # ---------------------------------------------------------------------------------------------------------- search
 
@@ -288,7 +292,7 @@ def _results(c: Corpus) -> DataFrame:
 
 
 def _asked(c: Corpus) -> DataFrame:
-    return c.collection.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.array_join(F.slice(F.split("document", " "), 1, 6), " ").alias("text"))
+    return c.collection.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("document").alias("text"))
 
 
 def _reranked(c: Corpus, top_k: int | None = None) -> DataFrame:
@@ -302,6 +306,9 @@ query("rerank_movement", "SELECT query_id, count(*) FILTER (WHERE rank_change >
     lambda c: rerank.rerank_movement(_reranked(c))
 )
 query("rerank_improvement", "SELECT query_id, round(avg(rerank_score - original_score), 6) AS mean_gain, round(max(rerank_score - original_score), 6) AS best_gain FROM reranked GROUP BY query_id")(lambda c: rerank.rerank_improvement(_reranked(c)))
+query("rerank_top_moves", """SELECT query_id, kind, place, id, amount FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, kind ORDER BY amount DESC, rank) AS INTEGER) AS place FROM (
+    SELECT query_id, id, rank, 'riser' AS kind, CAST(rank_change AS DOUBLE) AS amount FROM reranked UNION ALL SELECT query_id, id, rank, 'faller', CAST(-rank_change AS DOUBLE) FROM reranked
+    UNION ALL SELECT query_id, id, rank, 'gain', round(rerank_score - original_score, 6) FROM reranked) WHERE amount > 0) WHERE place <= 3""")(lambda c: rerank.rerank_top_moves(_reranked(c)))
 query("selective_rerank", "SELECT query_id, id, final_rank FROM (SELECT *, CASE WHEN max(similarity) OVER (PARTITION BY query_id) < 0.7 THEN new_rank ELSE rank END AS final_rank FROM reranked) WHERE final_rank <= 5")(
     lambda c: rerank.selective_rerank(_reranked(c)).select("query_id", "id", "final_rank")
 )
@@ -341,6 +348,25 @@ query("context_tables", f"SELECT f.query_id, f.document_id, t.asset_id FROM (SEL
 query("context_images", f"SELECT DISTINCT f.query_id, f.document_id, i.asset_id FROM (SELECT query_id, document_id, 1 AS page FROM found WHERE rank <= 3) f JOIN (SELECT document_id, page_number, {_ASSET} FROM elements WHERE class IN ('Picture', 'Figure')) i ON i.document_id = f.document_id AND i.page_number = f.page")(
     lambda c: context.context_images(_found(c).withColumn("page", F.coalesce("page", F.lit(1))), _assets(c, "Picture", "Figure"))
 )
+
+
+def _listed(c: Corpus) -> DataFrame:
+    """The tables of the first chunks' documents and the images of their pages, with captions."""
+    captions = layout.nearest_caption(_elements(c)).select((F.col("document_id") * 1000000 + F.col("page_number") * 1000 + F.col("ord")).alias("asset_id"), "caption")
+    found = _found(c).withColumn("page", F.coalesce("page", F.lit(1)))
+    tables = context.context_tables(found, _assets(c, "Table")).withColumn("kind", F.lit("table"))
+    images = context.context_images(found, _assets(c, "Picture", "Figure")).withColumn("kind", F.lit("image"))
+    return tables.unionByName(images).join(captions, "asset_id").select("query_id", "kind", "asset_id", "caption")
+
+
+query(
+    "context_assets",
+    f"""SELECT c.query_id, context || coalesce(chr(10) || chr(10) || 'Available tables:' || chr(10) || t.lines, '') || coalesce(chr(10) || chr(10) || 'Available images:' || chr(10) || i.lines, '') AS context FROM ({_CONTEXT}) c
+    LEFT JOIN (SELECT query_id, string_agg('- TABLA_' || asset_id || ': ' || caption, chr(10) ORDER BY asset_id) AS lines FROM (SELECT DISTINCT query_id, document_id FROM found WHERE rank <= 3) h
+      JOIN (SELECT document_id, caption, {_ASSET} FROM near_caps WHERE class = 'Table') n USING (document_id) GROUP BY query_id) t USING (query_id)
+    LEFT JOIN (SELECT query_id, string_agg('- IMAGEN_' || asset_id || ': ' || caption, chr(10) ORDER BY asset_id) AS lines FROM (SELECT DISTINCT query_id, document_id FROM found WHERE rank <= 3) h
+      JOIN (SELECT document_id, caption, {_ASSET} FROM near_caps WHERE class IN ('Picture', 'Figure') AND page_number = 1) n USING (document_id) GROUP BY query_id) i USING (query_id)""",
+)(lambda c: context.with_assets(context.build_context(_found(c), c.documents), _listed(c)))
 query(
     "asset_captions",
     f"""SELECT {_E}, CASE WHEN caption = '' OR starts_with(caption, 'Tabla ') OR starts_with(caption, 'Imagen ') THEN 'doc ' || document_id || ' p' || page_number ELSE caption END AS caption FROM (SELECT {_E}, CASE WHEN ord % 3 = 0 THEN 'Tabla 3' ELSE caption END AS caption FROM near_caps)""",
@@ -355,15 +381,24 @@ def _answers(c: Corpus) -> DataFrame:
 
 
 def _captioned(c: Corpus) -> DataFrame:
-    """Assets of benchmark items: numbered captions, some of two figures."""
+    """Assets of benchmark items: numbers in captions and in file names."""
     i = F.col("item_id")
-    return c.table("benchmark").select(i.alias("asset_id"), F.lit("table").alias("kind"), F.concat(F.lit("Table "), i % 11 + 1, F.lit("-"), F.floor(i / 11) % 12 + 1, F.lit(" "), F.left("text", F.lit(20))).alias("caption"))
+    caption = F.concat(F.lit("Table "), i % 11 + 1, F.lit("-"), F.floor(i / 11) % 12 + 1, F.lit(" "), F.left("text", F.lit(20)))
+    name = F.concat(F.lit("tab_"), i % 7 + 1, F.lit("-"), i % 5 + 1, F.lit(".png"))
+    return c.table("benchmark").select(i.alias("asset_id"), F.lit("table").alias("kind"), caption.alias("caption"), name.alias("file_name"), F.concat(F.lit("extracted_tables/"), name).alias("path"))
 
 
 query("marker_links", "SELECT conv_id * 1000 + turn AS answer_id, 'TABLA_' || (conv_id % 20) AS marker, item_id AS asset_id FROM conversations JOIN benchmark ON item_id = conv_id % 20 WHERE role = 'assistant'")(lambda c: context.marker_links(_answers(c), _captioned(c)))
-query("reference_links", "SELECT conv_id * 1000 + turn AS answer_id, (conv_id % 9 + 1) || '-' || (turn % 9 + 1) AS ref, item_id AS asset_id FROM conversations JOIN benchmark ON item_id % 11 = conv_id % 9 AND (item_id // 11) % 12 = turn % 9 WHERE role = 'assistant'")(
-    lambda c: context.reference_links(_answers(c), _captioned(c))
-)
+_NUMBERED = """SELECT DISTINCT conv_id * 1000 + turn AS answer_id, (conv_id % 9 + 1) || '-' || (turn % 9 + 1) AS ref, item_id AS asset_id FROM conversations JOIN benchmark
+    ON (item_id % 11 = conv_id % 9 AND (item_id // 11) % 12 = turn % 9) OR (item_id % 7 = conv_id % 9 AND item_id % 5 = turn % 9) WHERE role = 'assistant'"""
+query("reference_links", _NUMBERED)(lambda c: context.reference_links(_answers(c), _captioned(c)))
+query(
+    "answer_blocks",
+    f"""WITH blocks AS (SELECT item_id AS asset_id, chr(10) || chr(10) || '![Table ' || (item_id % 11 + 1) || '-' || ((item_id // 11) % 12 + 1) || ' ' || left(text, 20) || '](extracted_tables/tab_' || (item_id % 7 + 1) || '-' || (item_id % 5 + 1) || '.png)' || chr(10) || chr(10) AS block FROM benchmark),
+    given AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id % 20 AS marked, text || ' see Table ' || (conv_id % 9 + 1) || '-' || (turn % 9 + 1) || ' and TABLA_' || (conv_id % 20) AS text FROM conversations WHERE role = 'assistant'),
+    behind AS (SELECT answer_id, string_agg(block, '' ORDER BY asset_id) AS b FROM ({_NUMBERED}) JOIN blocks USING (asset_id) JOIN given USING (answer_id) WHERE asset_id <> marked GROUP BY answer_id)
+    SELECT answer_id, CASE WHEN k.block IS NULL THEN text ELSE replace(text, 'TABLA_' || marked, k.block) END || coalesce(b, '') AS text FROM given LEFT JOIN blocks k ON k.asset_id = marked LEFT JOIN behind USING (answer_id)""",
+)(lambda c: context.answer_blocks(_answers(c), _captioned(c)))
 
 # --------------------------------------------------------------------------------------------------- conversations
 

@@ -60,9 +60,9 @@ def pack_paragraphs(parts: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def is_table(c: Column) -> Column:
-    """A markdown or LaTeX table of two lines or more."""
-    lines = F.split(c, "\n")
-    rule = F.exists(F.slice(lines, 1, 3), lambda x: x.rlike(r"^\s*\|?[\s:|-]*-[\s:|-]*\|[\s:|-]*$"))
+    """A markdown or LaTeX table of two lines or more: among the first three a rule with a pipe at either end."""
+    lines = F.split(strip(c), "\n")
+    rule = F.exists(F.slice(lines, 1, 3), lambda x: strip(x).rlike(r"^\|[\s:|-]+\|$"))
     return (F.size(lines) >= 2) & (rule | c.contains("\\begin{tabular}") | c.contains("\\end{tabular}"))
 
 

@@ -9,7 +9,8 @@ from quire.functions.text import ordered_join, strip, word_count
 
 #: A reference such as Table 1-2: the words for it, and hyphens that may stand between the numbers. Fixed values.
 TABLE_WORDS, IMAGE_WORDS = "tabla|table", "imagen|image|figura|figure"
-_REF = "(?i)(?:{}) ([0-9]+)[-‑]([0-9]+)"
+_REF = r"(?i)\b(?:{})\s+([0-9]+)[-‑]([0-9]+)\b"
+_NUMBERS = r"([0-9]+)[-‑]([0-9]+)"
 
 
 def retrieve_chunks(results: DataFrame, chunks: DataFrame, first: int = 10, least: int = 100) -> DataFrame:
@@ -24,6 +25,21 @@ def build_context(found: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(ordered_join(F.col("rank"), block, "\n\n").alias("context"))
 
 
+def with_assets(contexts: DataFrame, assets: DataFrame) -> DataFrame:
+    """Contexts (query_id, context) with the lists of the tables and images that an answer may show.
+
+    assets are (query_id, kind, asset_id, caption), kind table or image; each stands under the marker that
+    marker_links and answer_blocks look for, in the order of the ids.
+    """
+    out = contexts
+    for kind, word, name in (("table", "TABLA_", "tables"), ("image", "IMAGEN_", "images")):
+        line = F.concat(F.lit(f"- {word}"), "asset_id", F.lit(": "), F.coalesce("caption", F.lit("")))
+        listed = assets.where(F.col("kind") == kind).groupBy("query_id").agg(ordered_join(F.col("asset_id"), line, "\n").alias("listed"))
+        more = F.coalesce(F.concat(F.lit(f"\n\nAvailable {name}:\n"), "listed"), F.lit(""))
+        out = out.join(listed, "query_id", "left").select("query_id", F.concat("context", more).alias("context"))
+    return out
+
+
 def build_prompt(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     """(query_id, prompt); queries without a context get the other form."""
     rows = queries.join(contexts, "query_id", "left")
@@ -75,19 +91,41 @@ def marker_links(answers: DataFrame, assets: DataFrame) -> DataFrame:
     return found.join(keyed, "marker").select("answer_id", "marker", "asset_id")
 
 
-def _refs(text: Column, words: str) -> Column:
-    pattern = _REF.format(words)
+def _refs(text: Column, pattern: str) -> Column:
+    """Distinct N-M of a text, the hyphens made alike."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.concat(F.regexp_extract(m, pattern, 1), F.lit("-"), F.regexp_extract(m, pattern, 2))))
 
 
 def reference_links(answers: DataFrame, assets: DataFrame) -> DataFrame:
-    """(answer_id, ref, asset_id): numbered references of answers to assets whose caption has the same number.
+    """(answer_id, ref, asset_id): numbered references of answers to assets that have the number.
 
-    Numbers are compared whole, so 1-1 is not found in 11-12. assets are (asset_id, kind, caption).
+    An asset has the numbers N-M of its caption and of its file name, whatever stands before them. Numbers are
+    compared whole, so 1-1 is not found in 11-12. assets are (asset_id, kind, caption) and may have a file_name.
     """
+    name = F.coalesce("file_name", F.lit("")) if "file_name" in assets.columns else F.lit("")
+    numbers = F.explode(_refs(F.concat_ws(" ", "caption", name), _NUMBERS)).alias("ref")
+
     def side(kind: str, words: str) -> DataFrame:
-        a = answers.select("answer_id", F.explode(_refs(F.col("text"), words)).alias("ref"))
-        b = assets.where(F.col("kind") == kind).select("asset_id", F.explode(_refs(F.col("caption"), words)).alias("ref"))
-        return a.join(b, "ref").select("answer_id", "ref", "asset_id")
+        a = answers.select("answer_id", F.explode(_refs(F.col("text"), _REF.format(words))).alias("ref"))
+        return a.join(assets.where(F.col("kind") == kind).select("asset_id", numbers), "ref").select("answer_id", "ref", "asset_id")
 
     return side("table", TABLE_WORDS).unionByName(side("image", IMAGE_WORDS))
+
+
+def answer_blocks(answers: DataFrame, assets: DataFrame) -> DataFrame:
+    """(answer_id, text): answers with the blocks of the assets that they name.
+
+    A marker TABLA_n or IMAGEN_n becomes the asset's block; assets that are only named by a number are shown behind
+    the text, in the order of their ids. A block is a markdown image: caption and path (assets: asset_id, kind,
+    caption, path). Longer markers are replaced first, so none is taken for the beginning of another.
+    """
+    block = F.concat(F.lit("\n\n!["), F.coalesce("caption", F.lit("")), F.lit("]("), "path", F.lit(")\n\n")).alias("block")
+    blocks = assets.select("asset_id", block)
+    marked = marker_links(answers, assets)
+    named = reference_links(answers, assets).select("answer_id", "asset_id").distinct().join(marked, ["answer_id", "asset_id"], "left_anti")
+    by_length = F.struct(-F.length("marker"), F.col("marker"), F.col("block"))
+    swaps = marked.join(blocks, "asset_id").groupBy("answer_id").agg(F.array_sort(F.collect_list(by_length)).alias("swaps"))
+    behind = named.join(blocks, "asset_id").groupBy("answer_id").agg(ordered_join(F.col("asset_id"), F.col("block"), "").alias("behind"))
+    rows = answers.select("answer_id", "text").join(swaps, "answer_id", "left").join(behind, "answer_id", "left")
+    swapped = F.when(F.col("swaps").isNull(), F.col("text")).otherwise(F.aggregate("swaps", F.col("text"), lambda t, x: F.replace(t, x["marker"], x["block"])))
+    return rows.select("answer_id", F.concat(swapped, F.coalesce("behind", F.lit(""))).alias("text"))

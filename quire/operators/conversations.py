@@ -21,9 +21,13 @@ def get_or_create_sessions(sessions: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def conversation_recency(messages: DataFrame) -> DataFrame:
-    """Sessions with their last message, the latest first by `recency`."""
+    """Sessions with their last message, the latest first by `recency`.
+
+    Only the distinct last places, as many as turns of the longest session, are ranked in one task.
+    """
     last = messages.groupBy("session_id").agg(F.max("seq").alias("last_seq"), F.count("*").alias("n_messages"))
-    return last.withColumn("recency", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("last_seq"))))
+    places = last.select(F.col("last_seq").alias("place")).distinct().withColumn("recency", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("place"))))
+    return last.join(places, F.col("last_seq").eqNullSafe(F.col("place"))).drop("place")
 
 
 def chunk_usage(bridge: DataFrame) -> DataFrame:

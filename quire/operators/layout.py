@@ -136,13 +136,22 @@ def page_asset_counts(elements: DataFrame) -> DataFrame:
     return elements.groupBy(*_PAGE).agg(count(*FIGURES).alias("n_figures"), count("Table").alias("n_tables"), count(*PADDING).alias("n_boxes"))
 
 
-def asset_page_link(assets: DataFrame, pages: DataFrame) -> DataFrame:
+#: Folders of assets by kind. Fixed values.
+ASSET_FOLDERS = {"image": "extracted_images", "table": "extracted_tables", "page": "annotated_pages"}
+
+
+def asset_path(kind: str, document: Column, name: Column) -> Column:
+    """The path of an image, a table or an annotated page below the root of all assets."""
+    return F.concat_ws("/", F.lit(ASSET_FOLDERS[kind]), document, name)
+
+
+def asset_page_link(assets: DataFrame, pages: DataFrame, kind: str = "image") -> DataFrame:
     """Assets (document_id, name) with the page that their name tells, null if there is none, and their position."""
     told = F.expr("try_cast(nullif(regexp_extract(name, '_p([0-9]+)_', 1), '') as int)")
     position = F.row_number().over(Window.partitionBy("document_id").orderBy("name")) - 1
     rows = assets.withColumns({"told": told, "position": position})
     known = pages.select("document_id", F.col("page_number").alias("told"), F.col("page_number").alias("linked_page")).distinct()
-    return rows.join(known, ["document_id", "told"], "left").select("document_id", "name", "position", "linked_page", F.concat_ws("/", F.lit("extracted_images"), F.col("document_id"), "name").alias("path"))
+    return rows.join(known, ["document_id", "told"], "left").select("document_id", "name", "position", "linked_page", asset_path(kind, F.col("document_id"), F.col("name")).alias("path"))
 
 
 def latex_table_md(c: Column) -> Column:

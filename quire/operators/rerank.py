@@ -40,7 +40,7 @@ def score_pairs(pairs: DataFrame, score_fn: ScoreFn | None = None, batch_size: i
 
 def rerank(results: DataFrame, queries: DataFrame, score_fn: ScoreFn | None = None, top_k: int | None = None) -> DataFrame:
     """Results by score, equal ones as before, with original_score and rank_change (places won); then cut to top_k."""
-    scored = score_pairs(results.join(F.broadcast(queries.select("query_id", "text")), "query_id"), score_fn)
+    scored = score_pairs(results.join(queries.select("query_id", "text"), "query_id"), score_fn)
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     out = scored.withColumns({"new_rank": F.row_number().over(order), "original_score": F.coalesce(*[F.col(c) for c in ("similarity", "distance") if c in results.columns], F.lit(0.0))})
     out = out.withColumn("rank_change", F.col("rank") - F.col("new_rank"))
@@ -60,6 +60,19 @@ def rerank_movement(reranked: DataFrame) -> DataFrame:
     return reranked.groupBy("query_id").agg(F.count_if(change > 0).alias("up"), F.count_if(change < 0).alias("down"), F.count_if(change == 0).alias("same"), F.max(F.abs(change)).alias("largest"))
 
 
+def rerank_top_moves(reranked: DataFrame, k: int = 3) -> DataFrame:
+    """Of each query the k that rose most, fell most and gained most in score: (query_id, kind, place, id, amount).
+
+    Only rows that really rose, fell or gained count; equal ones in the order of their former ranks.
+    """
+    gain = F.round(F.col("rerank_score") - F.col("original_score"), 6)
+    kinds = (("riser", F.col("rank_change").cast("double")), ("faller", -F.col("rank_change").cast("double")), ("gain", gain))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("kind"), amount.alias("amount")) for name, amount in kinds])).alias("m")
+    rows = reranked.select("query_id", "id", "rank", each).select("query_id", "id", "rank", "m.kind", "m.amount").where("amount > 0")
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.desc("amount"), "rank")))
+    return placed.where(F.col("place") <= k).select("query_id", "kind", "place", "id", "amount")
+
+
 def rerank_improvement(reranked: DataFrame) -> DataFrame:
     gain = F.col("rerank_score") - F.col("original_score")
     return reranked.groupBy("query_id").agg(F.round(F.avg(gain), 6).alias("mean_gain"), F.round(F.max(gain), 6).alias("best_gain"))
@@ -74,7 +87,7 @@ def selective_rerank(reranked: DataFrame, least: float = 0.7, k: int = 5) -> Dat
 
 def subquery_fusion(reranked: DataFrame, groups: DataFrame, per_query: int = 3, k: int = 5) -> DataFrame:
     """Reranked results of the sub-queries of a group in one: the best score by id."""
-    top = reranked.where(F.col("new_rank") <= per_query).join(F.broadcast(groups), "query_id")
+    top = reranked.where(F.col("new_rank") <= per_query).join(groups, "query_id")
     best = top.groupBy("group_id", "id").agg(F.max("rerank_score").alias("rerank_score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("rerank_score"), "id"))).where(F.col("rank") <= k)
 
@@ -82,5 +95,5 @@ def subquery_fusion(reranked: DataFrame, groups: DataFrame, per_query: int = 3,
 def rerank_dedup(results: DataFrame, queries: DataFrame, score_fn: ScoreFn | None = None) -> DataFrame:
     """Rerank once for each distinct query text: queries of one text share the results of the least id."""
     first = queries.groupBy("text").agg(F.min("query_id").alias("first_id"))
-    once = rerank(results.join(F.broadcast(first.select(F.col("first_id").alias("query_id"))), "query_id", "left_semi"), queries, score_fn)
+    once = rerank(results.join(first.select(F.col("first_id").alias("query_id")), "query_id", "left_semi"), queries, score_fn)
     return queries.join(first, "text").join(once.withColumnRenamed("query_id", "first_id").drop("text"), "first_id").select("query_id", "id", "rerank_score", "new_rank")

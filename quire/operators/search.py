@@ -21,6 +21,8 @@ from quire.operators.vectors import EmbedFn, dot, embed, hash_embed, norm
 METRICS = ("cosine", "l2", "ip")
 #: Queries sent to the executors at once, in numbers of a matrix; more are searched in turns.
 QUERY_NUMBERS = 4_000_000
+#: Distances computed at once by a task; words of queries that are looked for in a text at once.
+CELLS, WORDS = 4_000_000, 512
 
 
 def distance(a: Column, b: Column, metric: str) -> Column:
@@ -38,40 +40,77 @@ def _ranked(rows: DataFrame, k: int | None, by: str = "query_id") -> DataFrame:
     return out.withColumn("similarity", F.round(1 - F.col("distance"), 6))
 
 
-def _nearest(entries: DataFrame, queries: list, k: int, metric: str) -> DataFrame:
-    """(query_id, id, distance): each partition's k nearest of each query, by block products."""
-    ids = [q["query_id"] for q in queries]
+def _blocks(queries: DataFrame, size: Column, most: int) -> Iterator[DataFrame]:
+    """The queries in blocks of about `most` in all of `size`, by a hash of their ids; nothing but a sum is collected."""
+    total = queries.agg(F.sum(size).alias("n")).first()["n"] or 0
+    n = max(1, -(-int(total) // most))
+    for k in range(n):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) if n > 1 else queries
+
+
+def _least(rows: np.ndarray, d: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (row, distance, key) the k least of each row, by distance, then by key."""
+    order = np.lexsort((keys, d, rows))
+    rows, d, keys = rows[order], d[order], keys[order]
+    first = np.searchsorted(rows, rows)
+    some = np.arange(len(rows)) - first < k
+    return rows[some], d[some], keys[some]
+
+
+def _products(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Distances, rounded to six places, of each row of q to each row of x."""
+    if metric == "ip":
+        d = 1 - q @ x.T
+    elif metric == "l2":
+        d = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T
+    else:
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        d = 1 - unit(q) @ unit(x).T
+    return np.round(d, 6)
+
+
+def _nearest(entries: DataFrame, queries: list, k: int | None, metric: str, most: float | None = None) -> DataFrame:
+    """(query_id, id, distance): each partition's k nearest of each query, or all up to a distance, by block products."""
+    ids = np.array([q["query_id"] for q in queries], np.int64)
     mat = np.array([q["embedding"] for q in queries], np.float64).reshape(len(ids), -1)
     sent = entries.sparkSession.sparkContext.broadcast((ids, mat))
 
+    def out(rows, d, keys):
+        return pa.RecordBatch.from_arrays([pa.array(sent.value[0][rows]), pa.array(keys.tolist(), pa.string()), pa.array(d)], ["query_id", "id", "distance"])
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = sent.value
-        unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        best: tuple[np.ndarray, np.ndarray] | None = None
+        best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
         for batch in batches:
-            keys = np.array(batch.column("id").to_pylist(), object)
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            keys = np.array([*batch.column("id").to_pylist(), None], object)[:-1]
             if not len(keys) or not len(names):
                 continue
-            x = x.reshape(len(keys), -1)
-            if metric == "ip":
-                d = 1 - q @ x.T
-            elif metric == "l2":
-                d = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T
-            else:
-                d = 1 - unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            d, key = np.round(d, 6), np.broadcast_to(keys, d.shape)
-            if best is not None:
-                d, key = np.concatenate([best[0], d], 1), np.concatenate([best[1], key], 1)
-            order = np.array([np.lexsort((key[i], d[i]))[:k] for i in range(len(d))])
-            best = np.take_along_axis(d, order, 1), np.take_along_axis(key, order, 1)
-        if best is not None:
-            d, key = best
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, d.shape[1])), pa.array(key.ravel().tolist()), pa.array(d.ravel())], ["query_id", "id", "distance"])
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+            step = max(1, CELLS // len(keys))
+            for at in range(0, len(names), step):
+                d = _products(q[at : at + step], x, metric)
+                limit = np.partition(d, k - 1, 1)[:, k - 1 : k] if most is None and d.shape[1] > k else np.inf if most is None else most
+                r, c = np.nonzero(d <= limit)
+                if most is not None:
+                    yield out(r + at, d[r, c], keys[c])
+                    continue
+                new = _least(r + at, d[r, c], keys[c], k)
+                mine = (best[0] >= at) & (best[0] < at + step)
+                merged = _least(*(np.concatenate([old[mine], now]) for old, now in zip(best, new)), k)
+                best = tuple(np.concatenate([old[~mine], now]) for old, now in zip(best, merged))
+        yield out(*best)
 
     return entries.select("id", "embedding").mapInArrow(blocks, "query_id long, id string, distance double")
 
 
+def _held_against(queries: DataFrame, entries: DataFrame, k: int | None, metric: str, most: float | None = None) -> DataFrame:
+    found = None
+    for block in _blocks(queries.select("query_id", "embedding"), F.size("embedding"), QUERY_NUMBERS):
+        part = _nearest(entries, block.collect(), k, metric, most)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def knn(queries: DataFrame, entries: DataFrame, k: int = 5, metric: str = "cosine", where_spec: dict | None = None, document_spec: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The k nearest entries of each query. Filters come first; of the entries only vectors and ids are read.
 
@@ -80,21 +119,24 @@ def knn(queries: DataFrame, entries: DataFrame, k: int = 5, metric: str = "cosin
     chosen = entries.where(where(where_spec, entries.columns))
     if document_spec:
         chosen = chosen.where(where_document(document_spec, F.col("document")))
-    rows = queries.select("query_id", "embedding").orderBy("query_id").collect()
-    at_once = max(1, QUERY_NUMBERS // max(1, len(rows[0]["embedding"]))) if rows else 1
-    found = None
-    for a in range(0, max(1, len(rows)), at_once):
-        part = _nearest(chosen, rows[a : a + at_once], k, metric)
-        found = part if found is None else found.unionByName(part)
-    ranked = _ranked(found, k)
+    ranked = _ranked(_held_against(queries, chosen, k, metric), k)
     return ranked.join(entries.select("id", *keep), "id") if keep else ranked
 
 
+def similar_entries(queries: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """(query_id, id, similarity): the entries whose product with a query's vector is `least` or more, block by block."""
+    found = _held_against(queries, entries, None, "ip", round(1 - least, 6))
+    return found.select("query_id", "id", F.round(1 - F.col("distance"), 6).alias("similarity"))
+
+
 def knn_columns(queries: DataFrame, entries: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
-    """The same by columns alone, for small query sets: queries are broadcast to the entries."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    both = entries.select("id", "embedding").join(F.broadcast(q))
-    return _ranked(both.select("query_id", "id", F.round(distance(F.col("embedding"), F.col("q"), metric), 6).alias("distance")), k)
+    """The same by columns alone: blocks of queries of bounded size are broadcast; each task ranks before rows move."""
+    found = None
+    for block in _blocks(queries.select("query_id", F.col("embedding").alias("q")), F.size("q"), QUERY_NUMBERS // 4):
+        both = entries.select("id", "embedding").join(F.broadcast(block))
+        part = _ranked(both.select("query_id", "id", F.round(distance(F.col("embedding"), F.col("q"), metric), 6).alias("distance")), k)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def knn_ann(queries: DataFrame, entries: DataFrame, k: int = 5, cells: int = 16, probes: int = 10, sample: int = 20_000, seed: int = 1) -> DataFrame:
@@ -144,19 +186,27 @@ def hybrid_search(queries: DataFrame, entries: DataFrame, words: list[str], firs
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, rank, id, score): times that the query's words occur in a text, repeated words counted again.
 
-    queries (query_id, text) are a stated set and go to the chunks (id, content); a query's score is one expression
-    over its words, so nothing is exploded.
+    queries (query_id, text) are a stated set. Each distinct word of theirs is counted once in each text, in lists of
+    about WORDS; what was found meets the queries that have the word.
     """
-    q = queries.select("query_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words"))
+    words = queries.select("query_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word"))
+    asked = words.groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    distinct = asked.select("word").distinct()
+    n_lists = max(1, -(-distinct.count() // WORDS))
+    lists = distinct.groupBy(F.pmod(F.xxhash64("word"), F.lit(n_lists)).alias("list")).agg(F.collect_list("word").alias("words"))
     low = chunks.select("id", F.lower("content").alias("c"))
-    score = F.aggregate("words", F.lit(0), lambda s, w: s + occurrences(F.col("c"), w))
-    found = low.join(F.broadcast(q)).select("query_id", "id", score.alias("score")).where("score > 0")
+    counted = None
+    for nth in range(n_lists):  # one list at a time is sent to the texts
+        hits = F.filter(F.transform("words", lambda w: F.struct(w.alias("word"), occurrences(F.col("c"), w).alias("n"))), lambda x: x["n"] > 0)
+        part = low.join(F.broadcast(lists.where(F.col("list") == nth))).select("id", F.explode(hits).alias("h")).select("id", "h.word", "h.n")
+        counted = part if counted is None else counted.unionByName(part)
+    found = counted.join(asked, "word").groupBy("query_id", "id").agg(F.sum(F.col("n") * F.col("times")).cast("int").alias("score"))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
 def multi_query_fusion(results: DataFrame, groups: DataFrame, per_query: int = 2, k: int = 5) -> DataFrame:
     """Results of several queries of a group (group_id, query_id) in one: best similarity by id, and who found it."""
-    top = results.where(F.col("rank") <= per_query).join(F.broadcast(groups), "query_id")
+    top = results.where(F.col("rank") <= per_query).join(groups, "query_id")
     best = top.groupBy("group_id", "id").agg(F.max("similarity").alias("similarity"), F.array_sort(F.collect_set("query_id")).alias("queries"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
 

@@ -83,5 +83,8 @@ def item_neighbors(df: DataFrame, item: Column, k: int = 3) -> DataFrame:
     return near.select("item", "id", "similarity").orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def embedding_run_stats(df: DataFrame, model: str, normalized: bool = True) -> DataFrame:
-    return df.agg(F.count("*").alias("num_chunks"), F.max(F.size("embedding")).alias("embedding_dimension")).withColumns({"model": F.lit(model), "normalized": F.lit(normalized)})
+def embedding_run_stats(df: DataFrame, model: str, normalized: bool = True, *, alias: str | None = None, backend: str | None = None, seconds: float | None = None, timestamp: str | None = None) -> DataFrame:
+    """One row that describes a run: what the vectors show, and what the caller knows of the model and the time."""
+    given = {"model": (model, "string"), "normalized": (normalized, "boolean"), "alias": (alias, "string"), "backend": (backend, "string"), "seconds": (seconds, "double"), "timestamp": (timestamp, "string")}
+    shown = df.agg(F.count("*").alias("num_chunks"), F.max(F.size("embedding")).alias("embedding_dimension"))
+    return shown.withColumns({name: F.lit(value).cast(kind) for name, (value, kind) in given.items()})

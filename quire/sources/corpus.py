@@ -80,12 +80,12 @@ class Corpus:
 
     @cached_property
     def queries(self) -> DataFrame:
-        return self.table("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+        return self.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
     @cached_property
     def questions(self) -> DataFrame:
-        """(query_id, text): the first three words of benchmark items."""
-        return self.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("text"))
+        """(query_id, text) of benchmark items."""
+        return self.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
     @cached_property
     def logs(self) -> DataFrame:
@@ -131,11 +131,11 @@ SQL = {
         TIMESTAMP '2026-01-01' + to_seconds(doc_id * 60 + 30) AS started_at, CASE WHEN doc_id % 7 = 5 THEN TIMESTAMP '2026-01-01' + to_seconds(doc_id * 60 + 30 + n_chars % 600) END AS completed_at FROM documents""",
     "entries": """SELECT 'c' || (label % 3) AS collection, 'doc_' || vec_id || '_chunk_0' AS id, vec_id, embedding, coalesce(text, '') AS document, label, lang, source, n_chars AS length FROM embeddings LEFT JOIN documents ON doc_id = vec_id""",
     "sims": """SELECT q.vec_id AS query_id, e.*, round(1 - list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) AS distance, round(list_dot_product(list_transform(list_zip(q.v, e.v), lambda z: z[1] - z[2]), list_transform(list_zip(q.v, e.v), lambda z: z[1] - z[2])), 6) AS l2,
-        round(1 - list_dot_product(q.v, e.v), 6) AS ip FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0) q, (SELECT *, CAST(embedding AS DOUBLE[]) AS v FROM entries) e""",
+        round(1 - list_dot_product(q.v, e.v), 6) AS ip FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT *, CAST(embedding AS DOUBLE[]) AS v FROM entries) e""",
     "knn20": "SELECT *, round(1 - distance, 6) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM sims) WHERE rank <= 20",
-    "questions": "SELECT item_id AS query_id, array_to_string((string_split(text, ' '))[1:3], ' ') AS text FROM benchmark",
+    "questions": "SELECT item_id AS query_id, text FROM benchmark",
     "results": "SELECT query_id, rank, id, vec_id AS document_id, 0 AS chunk_index, similarity, document FROM knn20 WHERE rank <= 10",
-    "asked": "SELECT DISTINCT query_id, lang_words AS text FROM (SELECT vec_id AS query_id, array_to_string((string_split(document, ' '))[1:6], ' ') AS lang_words FROM entries WHERE vec_id % 50 = 0)",
+    "asked": "SELECT vec_id AS query_id, document AS text FROM entries WHERE vec_id % 20 = 0",
     "reranked": """SELECT *, rank - new_rank AS rank_change, similarity AS original_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS INTEGER) AS new_rank FROM (
         SELECT r.*, a.text, round(CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_filter(w, lambda x: list_contains(string_split(lower(r.document), ' '), x))) / len(w) END, 6) AS rerank_score
         FROM results r JOIN (SELECT *, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS w FROM asked) a USING (query_id)))""",

@@ -59,3 +59,17 @@ def write_embeddings(embedded: DataFrame, path: str) -> DataFrame:
 def write_collection(entries: DataFrame, path: str) -> None:
     """Entries by collection; only the collections written are replaced. The path must not be one that entries reads."""
     entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+
+
+def rewrite_collection(entries: DataFrame, path: str, staging: str) -> None:
+    """write_collection for entries that were read from `path` itself: written to `staging` first, then swapped in.
+
+    If the job stops in between, the staged entries are whole and the path is as it was or is written again from them.
+    """
+    entries.write.mode("overwrite").parquet(staging)
+    write_collection(entries.sparkSession.read.schema(entries.schema).parquet(staging), path)
+
+
+def append_logs(logs: DataFrame, path: str) -> None:
+    """Processing steps (document_id, log_id, stage, level, message, created_at) behind those that are there."""
+    logs.write.mode("append").parquet(path)

@@ -58,3 +58,18 @@ def test_stream(spark, tmp_path):
         (source / name).write_text(f"# {name}\n\ntext {turn}")
         ingest_stream(spark, str(source), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert latest_entries(spark, str(tmp_path / "out")).count() == 2
+
+
+def test_collection_written_back(spark, tmp_path):
+    """A collection is loaded, changed and written back in one job; other collections stay; logs are appended."""
+    path, staging = str(tmp_path / "collection"), str(tmp_path / "staging")
+    first = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y"), ("b", "1", "z")], "collection string, id string, document string")
+    files.write_collection(first, path)
+    loaded = spark.read.schema(first.schema).parquet(path).where("collection = 'a'")
+    files.rewrite_collection(loaded.withColumn("document", F.concat("document", F.lit("!"))), path, staging)
+    spark.catalog.refreshByPath(path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select(*first.columns).collect()) == [("a", "1", "x!"), ("a", "2", "y!"), ("b", "1", "z")]
+    log = spark.createDataFrame([(1, 1, "parsing", "info", "m")], "document_id long, log_id long, stage string, level string, message string")
+    for _ in range(2):
+        files.append_logs(log, str(tmp_path / "logs"))
+    assert spark.read.parquet(str(tmp_path / "logs")).count() == 2

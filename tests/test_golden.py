@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire.functions.chunkers import ChunkConfig, fixed, hybrid, is_table, pack, sections, semantic
 from quire.functions.filters import where
 from quire.functions.text import occurrences, slug
-from quire.operators import catalog, collection, context, conversations, layout, rerank, search, timing, vectors
+from quire.operators import catalog, chunking, collection, context, conversations, layout, rerank, search, timing, vectors
 
 PAGE = """<x_0.1><y_0.50>Body text<x_0.9><y_0.60><class_Text>
 <x_0.1><y_0.05>Intro<x_0.9><y_0.10><class_Section-header>
@@ -130,6 +130,51 @@ def test_references(spark):
     assert [r["asset_id"] for r in context.reference_links(a, b).collect()] == [5]
 
 
+def test_reference_by_file_name(spark):
+    a = spark.createDataFrame([(1, "tabla  3-2 and TABLA_1, TABLA_12"), (2, "figure 4-4 stable 3-2"), (3, None)], "answer_id long, text string")
+    rows = [(1, "table", "x", "a.png", "p/1"), (12, "table", None, "b.png", "p/12"), (7, "table", "none", "tab_3-2.png", "p/7"), (8, "image", "Fig 4-4", "c.png", "p/8")]
+    b = spark.createDataFrame(rows, "asset_id long, kind string, caption string, file_name string, path string")
+    assert sorted((r["answer_id"], r["asset_id"]) for r in context.reference_links(a, b).collect()) == [(1, 7), (2, 8)]
+    got = {r["answer_id"]: r["text"] for r in context.answer_blocks(a, b).collect()}
+    block = lambda caption, path: f"\n\n![{caption}]({path})\n\n"
+    assert got == {1: f"tabla  3-2 and {block('x', 'p/1')}, {block('', 'p/12')}{block('none', 'p/7')}", 2: f"figure 4-4 stable 3-2{block('Fig 4-4', 'p/8')}", 3: None}
+    assets = spark.createDataFrame([(1, "table", 4, "T"), (1, "table", 3, None), (2, "image", 5, "I")], "query_id long, kind string, asset_id long, caption string")
+    listed = context.with_assets(spark.createDataFrame([(1, "c"), (2, "d"), (3, "e")], "query_id long, context string"), assets)
+    assert {r["query_id"]: r["context"] for r in listed.collect()} == {1: "c\n\nAvailable tables:\n- TABLA_3: \n- TABLA_4: T", 2: "d\n\nAvailable images:\n- IMAGEN_5: I", 3: "e"}
+
+
+def test_top_moves(spark):
+    rows = [(1, f"d{k}", k, n, k - n, s, 0.5) for k, n, s in ((1, 4, 0.1), (2, 1, 0.9), (3, 3, 0.5), (4, 2, 0.8), (5, 5, 0.0))]
+    df = spark.createDataFrame(rows, "query_id long, id string, rank int, new_rank int, rank_change int, rerank_score double, original_score double")
+    got = sorted(tuple(r) for r in rerank.rerank_top_moves(df, 1).collect())
+    assert got == [(1, "faller", 1, "d1", 3.0), (1, "gain", 1, "d2", 0.4), (1, "riser", 1, "d4", 2.0)]
+
+
+def test_presets_and_tables(spark):
+    run, web = ChunkConfig.preset("run"), ChunkConfig.preset("web", 500)
+    assert (run.chunk_size, run.overlap, run.min_size, run.max_size, run.kind) == (1200, 200, 300, 2500, "hybrid")
+    assert (web.min_size, web.max_size, ChunkConfig.preset("site").kind) == (200, 2000, "semantic")
+    texts = ["\n| a | b |\n |---|:-:| \n", "a | b\n--- | ---", "|---|", "x\ny\nz\n|--|--|", "\\begin{tabular}\nx", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r["x"] for r in df.select("k", chunking.is_table(F.col("t")).alias("x")).orderBy("k").collect()]
+    assert got == [True, False, False, False, True, None] and [is_table(t) for t in texts[:5]] == got[:5]
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """Queries and products in several blocks, equal distances by id: the same as one block."""
+    rows = [(k, f"d{k:03}", [float(k % 7), float(k % 5), 1.0]) for k in range(200)]
+    e = spark.createDataFrame(rows, "vec_id long, id string, embedding array<float>").repartition(3)
+    q = e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding")
+    take = lambda f: sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in f(q, e, 4).collect())
+    whole = take(search.knn)
+    monkeypatch.setattr(search, "QUERY_NUMBERS", 12)
+    monkeypatch.setattr(search, "CELLS", 100)
+    assert take(search.knn) == whole == take(search.knn_columns)
+    pairs = {(r["query_id"], r["id"]) for r in search.similar_entries(q, e, 20.0).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert pairs == {(k, i) for k, _, a in rows if k % 20 == 0 for _, i, b in rows if dot(a, b) >= 20}
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(400,), (600,), (None,)], "length long").withColumn("extra", F.create_map(F.lit("k"), F.lit("3")))
     got = lambda spec: sorted(r["length"] or 0 for r in df.where(where(spec, df.columns)).collect())
