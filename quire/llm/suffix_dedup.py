@@ -34,8 +34,9 @@ WINDOW, GRAM, SIDE = 50, 16, 17
 SPAN = WINDOW - GRAM
 #: Bytes of a run; one bucket of fingerprints or strings for so many bytes of text.
 RUN_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
-#: A fingerprint that a run has so often is spread: its windows are sorted one by one, over all buckets.
-HOT = 256
+#: A fingerprint around which so many different strings stand, over all runs, is spread: its windows are sorted one by
+#: one, over all buckets. Runs with one string each are told apart by a byte of its hash; so many bytes count as hot.
+HOT, HOT_BYTES = 256, 224
 _LAST = (1 << 63) - 1
 _UNITS = np.dtype([("at", "<i4"), ("low", "u1"), ("high", "u1")])
 
@@ -129,6 +130,26 @@ class Run:
         code = (self.prints >> np.uint64(32)) % np.uint64(n) << np.uint64(32) | self.prints & np.uint64(0xFFFFFFFF)
         return np.unique(code, return_inverse=True, return_counts=True)
 
+    def strings(self, row: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many different strings, 255 at most, and a byte of the least one's hash) of each distinct print."""
+        total, down = _prefix_sums(self.data)
+        at = self.units["at"].astype(np.int64)
+        begin, end = at - self.units["high"], at - self.units["low"] + WINDOW
+        whole = mix((total[end] - total[begin]) * down[begin])
+        count, byte = np.ones(len(times), np.int64), np.zeros(len(times), np.uint8)
+        byte[row] = (whole >> np.uint64(56)).astype(np.uint8)
+        some = np.flatnonzero(times[row] > 1)
+        order = some[np.lexsort((whole[some], row[some]))]
+        if len(order):
+            first = np.ones(len(order), bool)
+            first[1:] = row[order[1:]] != row[order[:-1]]
+            new = first.copy()
+            new[1:] |= whole[order[1:]] != whole[order[:-1]]
+            many = np.bincount(row[order[new]], minlength=len(times))
+            count = np.where(many > 0, many, count)
+            byte[row[order[first]]] = (whole[order[first]] >> np.uint64(56)).astype(np.uint8)
+        return np.minimum(count, 255).astype(np.uint8), byte
+
     def several(self, row: np.ndarray, n: int) -> np.ndarray:
         """Which of the distinct prints more than one document of the run has."""
         least, most = np.full(n, _LAST), np.full(n, -_LAST)
@@ -145,9 +166,9 @@ def _send_prints(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[
             bucket = (code >> np.uint64(32)).astype(np.int64)
             edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
             some = np.flatnonzero(np.diff(edges))
-            blobs = [code[edges[b] : edges[b + 1]].astype("<u4").tobytes() for b in some]
-            flags = [np.packbits(times[edges[b] : edges[b + 1]] >= HOT).tobytes() for b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), run.run)), pa.array(blobs, pa.binary()), pa.array(flags, pa.binary())], ["bucket", "run", "prints", "hot"])
+            blobs = lambda x, kind: pa.array([x[edges[b] : edges[b + 1]].astype(kind).tobytes() for b in some], pa.binary())
+            count, byte = run.strings(of, times)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), run.run)), blobs(code, "<u4"), blobs(count, "u1"), blobs(byte, "u1")], ["bucket", "run", "prints", "counts", "bytes"])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -164,14 +185,17 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _answer_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each run's prints of a bucket: which another run has, and which some run has often."""
+    """Of each run's prints of a bucket: which another run has, and around which very many strings stand."""
     for rows in _by_bucket(batches):
         lists = [np.frombuffer(r["prints"], "<u4") for r in rows]
-        every = np.concatenate(lists)
-        hot = np.concatenate([np.unpackbits(np.frombuffer(r["hot"], np.uint8), count=len(x)) for r, x in zip(rows, lists)]).astype(bool)
-        code, of, times = np.unique(every, return_inverse=True, return_counts=True)
-        often = np.zeros(len(code), bool)
-        often[of[hot]] = True
+        gathered = lambda name: np.concatenate([np.frombuffer(r[name], np.uint8) for r in rows])
+        count, byte = gathered("counts"), gathered("bytes")
+        code, of, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        strings = np.bincount(of, np.where(count > 1, count, 0), len(code))
+        # the different bytes of the prints that many runs have
+        some = np.flatnonzero(times[of] >= min(HOT, HOT_BYTES))
+        seen = np.unique(of[some] << 8 | byte[some]) >> 8
+        often = (strings >= HOT) | (np.bincount(seen, minlength=len(code)) >= HOT_BYTES)
         shared, often = times[of] > 1, often[of]
         at = np.cumsum([0, *map(len, lists)])
         packed = lambda x: pa.array([np.packbits(x[a:b]).tobytes() for a, b in zip(at, at[1:])], pa.binary())
@@ -441,7 +465,7 @@ def dedup_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     n_buckets = max(1, -(-int(n_bytes) // BUCKET_BYTES))
     dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     gathered = lambda df, to: df.groupBy("run").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "run"])).alias(to))
-    prints = runs.mapInArrow(lambda b: _send_prints(b, n_buckets), "bucket long, run long, prints binary, hot binary")
+    prints = runs.mapInArrow(lambda b: _send_prints(b, n_buckets), "bucket long, run long, prints binary, counts binary, bytes binary")
     prints = save(dealt(prints).mapInArrow(_answer_prints, "run long, bucket long, shared binary, often binary"), "suffix-prints")
     with_prints = runs.join(gathered(prints, "answers"), "run", "left")
     strings = with_prints.mapInArrow(lambda b: _send_strings(b, n_buckets), "bucket long, run long, lcp binary, bytes binary, docs binary")

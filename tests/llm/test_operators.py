@@ -169,12 +169,33 @@ def test_passages(spark, texts):
 def test_spread_passages(spark, texts, monkeypatch):
     rows = texts + [(5000 + k, f"{sentence(2)} this passage stands in very many documents of this corpus, with other words around {sentence(2)}") for k in range(60)]
     monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 1)
     runs = [r for b in suffix_dedup_runs(rows) for r in [suffix_dedup.Run(b)]]
     removed = plain_through_runs(runs, 3)
     want = {r[0]: r[2] for r in plain_passages(rows)}
     assert removed == want
 
 
+def test_hot_prints_over_runs():
+    """A passage among other words in very many documents is hot, in one run or over many; a group of copies isn't."""
+    passage = "this passage stands in very many documents of the corpus "
+    around = lambda k: f"{random.Random(k).random():.16f} {passage}{random.Random(-k).random():.16f}"
+
+    def often(parts):
+        sent = []
+        for n, part in enumerate(parts):
+            run = next(suffix_dedup_runs(part))
+            row = {"run": n, **{k: v for k, v in run.items() if k != "run"}}
+            sent += [r for b in suffix_dedup._send_prints(iter([pa.RecordBatch.from_pylist([row])]), 1) for r in b.to_pylist()]
+        answers = [r for b in suffix_dedup._answer_prints(iter([pa.RecordBatch.from_pylist(sent)])) for r in b.to_pylist()]
+        return sum(np.unpackbits(np.frombuffer(r["often"], np.uint8)).any() for r in answers)
+
+    few_runs = [[(200 * n + k, around(200 * n + k)) for k in range(200)] for n in range(4)]  # every other row makes the run
+    many_runs = [[(k, around(k)), (k, "")] for k in range(2000)]
+    copies = [[(k, around(5)), (k, around(5))] for k in range(600)]
+    assert often(few_runs) == 4 and often(many_runs) == 2000 and often(copies) == 0
+
+
 def suffix_dedup_runs(rows):
     """Two runs of rows, without Spark."""
     import pyarrow as pa
