@@ -36,7 +36,7 @@ SPAN = WINDOW - GRAM
 RUN_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: A fingerprint around which so many different strings stand, over all runs, is spread: its windows are sorted one by
 #: one, over all buckets. Runs with one string each are told apart by a byte of its hash; so many bytes count as hot.
-HOT, HOT_BYTES = 256, 224
+HOT, HOT_BYTES = 4096, 224
 _LAST = (1 << 63) - 1
 _UNITS = np.dtype([("at", "<i4"), ("low", "u1"), ("high", "u1")])
 
@@ -132,6 +132,8 @@ class Run:
 
     def strings(self, row: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(how many different strings, 255 at most, and a byte of the least one's hash) of each distinct print."""
+        if not len(times):
+            return np.zeros(0, np.uint8), np.zeros(0, np.uint8)
         total, down = _prefix_sums(self.data)
         at = self.units["at"].astype(np.int64)
         begin, end = at - self.units["high"], at - self.units["low"] + WINDOW

@@ -176,8 +176,9 @@ def test_spread_passages(spark, texts, monkeypatch):
     assert removed == want
 
 
-def test_hot_prints_over_runs():
+def test_hot_prints_over_runs(monkeypatch):
     """A passage among other words in very many documents is hot, in one run or over many; a group of copies isn't."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 256)
     passage = "this passage stands in very many documents of the corpus "
     around = lambda k: f"{random.Random(k).random():.16f} {passage}{random.Random(-k).random():.16f}"
 
