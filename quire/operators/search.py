@@ -186,20 +186,24 @@ def hybrid_search(queries: DataFrame, entries: DataFrame, words: list[str], firs
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, rank, id, score): times that the query's words occur in a text, repeated words counted again.
 
-    queries (query_id, text) are a stated set. Each distinct word of theirs is counted once in each text, in lists of
-    about WORDS; what was found meets the queries that have the word.
+    queries (query_id, text) are a stated set. A word has no white space, so all its occurrences lie within tokens of
+    a text: it is looked for in the distinct tokens of all texts, in lists of about WORDS words, and texts are only
+    counted into tokens. Tokens found meet the queries that have the word.
     """
-    words = queries.select("query_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word"))
-    asked = words.groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    split = lambda c: F.explode(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+    asked = queries.select("query_id", split("text").alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
     distinct = asked.select("word").distinct()
     n_lists = max(1, -(-distinct.count() // WORDS))
     lists = distinct.groupBy(F.pmod(F.xxhash64("word"), F.lit(n_lists)).alias("list")).agg(F.collect_list("word").alias("words"))
-    low = chunks.select("id", F.lower("content").alias("c"))
-    counted = None
-    for nth in range(n_lists):  # one list at a time is sent to the texts
-        hits = F.filter(F.transform("words", lambda w: F.struct(w.alias("word"), occurrences(F.col("c"), w).alias("n"))), lambda x: x["n"] > 0)
-        part = low.join(F.broadcast(lists.where(F.col("list") == nth))).select("id", F.explode(hits).alias("h")).select("id", "h.word", "h.n")
-        counted = part if counted is None else counted.unionByName(part)
+    tokens = chunks.select("id", split("content").alias("token")).groupBy("id", "token").agg(F.count("*").alias("freq"))
+    vocabulary = tokens.select("token").distinct()
+    holding = None
+    for nth in range(n_lists):  # one list at a time is sent to the tokens
+        held = F.filter("words", lambda w: F.contains(F.col("token"), w))
+        part = vocabulary.join(F.broadcast(lists.where(F.col("list") == nth))).select("token", F.explode(held).alias("word"))
+        holding = part if holding is None else holding.unionByName(part)
+    holding = holding.select("token", "word", occurrences(F.col("token"), F.col("word")).alias("n"))
+    counted = tokens.join(holding, "token").groupBy("id", "word").agg(F.sum(F.col("freq") * F.col("n")).alias("n"))
     found = counted.join(asked, "word").groupBy("query_id", "id").agg(F.sum(F.col("n") * F.col("times")).cast("int").alias("score"))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
