@@ -194,13 +194,13 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFra
     asked = queries.select("query_id", split("text").alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
     distinct = asked.select("word").distinct()
     n_lists = max(1, -(-distinct.count() // WORDS))
-    lists = distinct.groupBy(F.pmod(F.xxhash64("word"), F.lit(n_lists)).alias("list")).agg(F.collect_list("word").alias("words"))
     tokens = chunks.select("id", split("content").alias("token")).groupBy("id", "token").agg(F.count("*").alias("freq"))
-    vocabulary = tokens.select("token").distinct()
+    # few bytes but much work for each token, so the tokens are dealt over all tasks
+    vocabulary = tokens.select("token").distinct().repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
     holding = None
     for nth in range(n_lists):  # one list at a time is sent to the tokens
-        held = F.filter("words", lambda w: F.contains(F.col("token"), w))
-        part = vocabulary.join(F.broadcast(lists.where(F.col("list") == nth))).select("token", F.explode(held).alias("word"))
+        part = distinct.where(F.pmod(F.xxhash64("word"), F.lit(n_lists)) == nth)
+        part = vocabulary.join(F.broadcast(part), F.contains(F.col("token"), F.col("word"))).select("token", "word")
         holding = part if holding is None else holding.unionByName(part)
     holding = holding.select("token", "word", occurrences(F.col("token"), F.col("word")).alias("n"))
     counted = tokens.join(holding, "token").groupBy("id", "word").agg(F.sum(F.col("freq") * F.col("n")).alias("n"))
