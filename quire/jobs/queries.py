@@ -99,8 +99,49 @@ def page_time_stats(c: Corpus) -> DataFrame:
 # -------------------------------------------------------------------------------------------------------- chunking
 
 HYBRID = ChunkConfig(chunk_size=400, overlap=80, max_size=1000)
-query("chunk_hybrid")(lambda c: chunking.chunk_documents(c.markdown, HYBRID))
-query("chunk_semantic")(lambda c: chunking.chunk_documents(c.markdown, ChunkConfig(chunk_size=400, overlap=80, max_size=1000, strategy="semantic")))
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\pZ\\x0b\\x1c-\\x1f\\x{{85}}]+|[\\s\\pZ\\x0b\\x1c-\\x1f\\x{{85}}]+$', '', 'g')"
+
+
+_BLANK = "chr(10) || chr(10)"
+
+
+def _parts_sql(mark: str) -> str:
+    """Sections of the pages that a mark parts: (document_id, source_file, part, page, section, title, body)."""
+    return f"""SELECT document_id, source_file, part, page, CAST(section AS INTEGER) AS section, max(h) FILTER (WHERE h <> '') AS title, string_agg(line, chr(10) ORDER BY pos) || chr(10) AS body FROM (
+      SELECT *, sum(CAST(h <> '' AS INTEGER)) OVER (PARTITION BY document_id, part ORDER BY pos) AS section FROM (
+        SELECT *, regexp_extract(line, '^#{{2,}}\\s+(.+)$', 1) AS h FROM (
+          SELECT document_id, source_file, part, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM (
+            SELECT document_id, source_file, unnest(string_split_regex(markdown, '{mark}')) AS text, generate_subscripts(string_split_regex(markdown, '{mark}'), 1) - 1 AS part,
+              unnest(list_prepend(NULL, list_transform(regexp_extract_all(markdown, '{mark}', 1), lambda x: CAST(x AS INTEGER)))) AS page FROM markdown))))
+      GROUP BY ALL HAVING {_strip("body")} <> ''"""
+
+
+def _packed_sql(parts: str, size: int = 400, overlap: int = 80) -> str:
+    """The bodies of parts as pieces (document_id, part, section, piece, content), a paragraph for each step."""
+    rule = f"len(string_split(p, chr(10))) >= 2 AND (len(list_filter(string_split(p, chr(10))[1:3], lambda x: regexp_matches(x, '^\\s*\\|[\\s:|-]+\\|\\s*$'))) > 0 OR contains(p, '\\begin{{tabular}}') OR contains(p, '\\end{{tabular}}'))"
+    return f"""SELECT document_id, part, section, CAST(row_number() OVER (PARTITION BY document_id, part, section ORDER BY i) - 1 AS INTEGER) AS piece, content FROM (
+      WITH RECURSIVE packing AS (
+        SELECT document_id, part, section, list_filter(list_transform(string_split(body, {_BLANK}), lambda x: {_strip("x")}), lambda x: x <> '') AS ps, 0 AS i, '' AS held, CAST(NULL AS VARCHAR) AS content FROM ({parts})
+        UNION ALL
+        SELECT document_id, part, section, ps, i + 1, CASE WHEN NOT ends THEN held WHEN {rule} OR {_strip(f"right(held, {overlap})")} = '' THEN '' ELSE {_strip(f"right(held, {overlap})")} || {_BLANK} END || p || {_BLANK}, CASE WHEN ends THEN {_strip("held")} END
+        FROM (SELECT *, ps[i + 1] AS p, held <> '' AND (i = len(ps) OR length(held) + length(ps[i + 1]) > {size}) AS ends FROM packing WHERE i <= len(ps))
+      ) SELECT * FROM packing WHERE content IS NOT NULL)"""
+
+
+def _chunks_sql(mark: str, whole: str, split: str, largest: int = 1000) -> str:
+    """Sections of pages, those over the largest size in pieces."""
+    parts = _parts_sql(mark)
+    return f"""SELECT document_id, chunk_index, printf('chunk_%04d', chunk_index) AS chunk_id, content, CAST(length(content) AS INTEGER) AS length, page, title AS section_title, strategy, CAST(NULL AS INTEGER) AS start_pos, CAST(NULL AS INTEGER) AS end_pos, source_file, total_chunks FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY part, section, piece) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY document_id) AS INTEGER) AS total_chunks FROM (
+        SELECT document_id, source_file, part, page, section, title, 0 AS piece, body AS content, '{whole}' AS strategy FROM ({parts}) WHERE length(body) <= {largest} UNION ALL
+        SELECT document_id, source_file, part, page, section, title, piece, content, '{split}' FROM ({_packed_sql(f"SELECT * FROM ({parts}) WHERE length(body) > {largest}")}) JOIN ({parts}) USING (document_id, part, section)))"""
+
+
+query("chunk_hybrid", _chunks_sql("## Página (\\d+)", "hybrid_semantic", "hybrid_split"))(lambda c: chunking.chunk_documents(c.markdown, HYBRID))
+query("chunk_semantic", _chunks_sql("\\n## Página (\\d+)\\n", "semantic", "semantic_split"))(lambda c: chunking.chunk_documents(c.markdown, ChunkConfig(chunk_size=400, overlap=80, max_size=1000, strategy="semantic")))
 FIXED = ChunkConfig(strategy="fixed")
 
 
@@ -122,13 +163,11 @@ def chunk_fixed(c: Corpus) -> DataFrame:
     return chunking.chunk_documents(docs, FIXED).select("document_id", "chunk_index", "start_pos", "end_pos", "length", "content")
 
 
-query(
-    "sections",
-    """SELECT document_id, CAST(section AS INTEGER) AS section, max(h) FILTER (WHERE h <> '') AS title, string_agg(line, chr(10) ORDER BY pos) || chr(10) AS body FROM (SELECT *, sum(CAST(h <> '' AS INTEGER)) OVER (PARTITION BY document_id ORDER BY pos) AS section FROM (
+_SECTIONS = """SELECT document_id, CAST(section AS INTEGER) AS section, max(h) FILTER (WHERE h <> '') AS title, string_agg(line, chr(10) ORDER BY pos) || chr(10) AS body FROM (SELECT *, sum(CAST(h <> '' AS INTEGER)) OVER (PARTITION BY document_id ORDER BY pos) AS section FROM (
       SELECT *, regexp_extract(line, '^#{2,}\\s+(.+)$', 1) AS h FROM (SELECT document_id, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS pos FROM markdown)))
-    GROUP BY document_id, section HAVING trim(string_agg(line, ''), ' ' || chr(9) || chr(13)) <> ''""",
-)(lambda c: chunking.sections(c.markdown))
-query("pack_paragraphs")(lambda c: chunking.pack_paragraphs(chunking.sections(c.markdown), 400, 80))
+    GROUP BY document_id, section HAVING trim(string_agg(line, ''), ' ' || chr(9) || chr(13)) <> ''"""
+query("sections", _SECTIONS)(lambda c: chunking.sections(c.markdown))
+query("pack_paragraphs", f"SELECT document_id, section, piece, content FROM ({_packed_sql(f'SELECT 0 AS part, * FROM ({_SECTIONS})')})")(lambda c: chunking.pack_paragraphs(chunking.sections(c.markdown), 400, 80))
 _TABLED = "CASE WHEN document_id % 3 = 0 THEN '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| 1 | 2 |' WHEN document_id % 3 = 1 THEN 'a | b' || chr(10) || '--- | ---' ELSE markdown END"
 query("is_table", f"""SELECT document_id, len(lines) >= 2 AND len(list_filter(lines[1:3], lambda x: regexp_matches(x, '^\\|[\\s:|-]+\\|$'))) > 0 AS is_table
     FROM (SELECT document_id, list_transform(string_split(regexp_replace({_TABLED}, '^\\s+|\\s+$', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS lines FROM markdown)""")(
