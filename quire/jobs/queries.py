@@ -140,7 +140,8 @@ def _chunks_sql(mark: str, whole: str, split: str, largest: int = 1000) -> str:
         SELECT document_id, source_file, part, page, section, title, piece, content, '{split}' FROM ({_packed_sql(f"SELECT * FROM ({parts}) WHERE length(body) > {largest}")}) JOIN ({parts}) USING (document_id, part, section)))"""
 
 
-query("chunk_hybrid", _chunks_sql("## Página (\\d+)", "hybrid_semantic", "hybrid_split"))(lambda c: chunking.chunk_documents(c.markdown, HYBRID))
+_HYBRID_SQL = _chunks_sql("## Página (\\d+)", "hybrid_semantic", "hybrid_split")
+query("chunk_hybrid", _HYBRID_SQL)(lambda c: chunking.chunk_documents(c.markdown, HYBRID))
 query("chunk_semantic", _chunks_sql("\\n## Página (\\d+)\\n", "semantic", "semantic_split"))(lambda c: chunking.chunk_documents(c.markdown, ChunkConfig(chunk_size=400, overlap=80, max_size=1000, strategy="semantic")))
 FIXED = ChunkConfig(strategy="fixed")
 
@@ -200,7 +201,23 @@ query(
 
 # --------------------------------------------------------------------------------------------------------- vectors
 
-query("embed_chunks")(lambda c: vectors.embed(chunking.chunk_documents(c.markdown, HYBRID), "content").select("document_id", "chunk_index", "embedding"))
+
+def _embedded_sql(rows: str, keys: str) -> str:
+    """Rows (keys, text) with the vectors of vectors.hash_embed, in single precision."""
+    return f"""SELECT {keys}, list(CAST(CASE WHEN n IS NULL THEN 0 ELSE n / CAST(CAST(norm AS FLOAT) AS DOUBLE) END AS FLOAT) ORDER BY d) AS embedding FROM (SELECT {keys}, unnest(range(64)) AS d FROM ({rows})) LEFT JOIN (
+      SELECT *, sqrt(sum(n * n) OVER (PARTITION BY {keys})) AS norm FROM (SELECT {keys}, CAST('0x' || left(h, 4) AS INTEGER) % 64 AS d, CAST(sum(CASE WHEN h[5] >= '8' THEN 1 ELSE -1 END) AS DOUBLE) AS n FROM (
+        SELECT {keys}, md5(w) AS h FROM (SELECT {keys}, unnest(string_split_regex(lower(text), '[\\s\\pZ\\x0b\\x1c-\\x1f\\x{{85}}]+')) AS w FROM ({rows})) WHERE w <> '') GROUP BY ALL HAVING n <> 0)) USING ({keys}, d) GROUP BY ALL"""
+
+
+def _text_near_sql(entries: str, shown: str = "") -> str:
+    """The three nearest of entries (id, text) to each benchmark text; distances of vectors without words are 1."""
+    asked = _embedded_sql("SELECT query_id, text FROM questions", "query_id")
+    return f"""SELECT query_id, rank, id, distance, round(1 - distance, 6) AS similarity{", text AS document" if shown else ""} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM (
+      SELECT query_id, id, round(1 - CASE WHEN list_dot_product(q, q) = 0 OR list_dot_product(e, e) = 0 THEN 0 ELSE list_dot_product(q, e) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(e, e))) END, 6) AS distance
+      FROM (SELECT query_id, CAST(embedding AS DOUBLE[]) AS q FROM ({asked})), (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM ({_embedded_sql(entries, "id")})))) JOIN ({entries}) USING (id) WHERE rank <= 3"""
+
+
+query("embed_chunks", _embedded_sql(f"SELECT document_id, chunk_index, content AS text FROM ({_HYBRID_SQL})", "document_id, chunk_index"))(lambda c: vectors.embed(chunking.chunk_documents(c.markdown, HYBRID), "content").select("document_id", "chunk_index", "embedding"))
 _DOUBLE = "CAST(embedding AS DOUBLE[])"
 query("normalize_vectors", f"SELECT id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) AS embedding FROM (SELECT id, {_DOUBLE} AS v FROM entries)")(
     lambda c: vectors.normalize_vectors(c.collection).select("id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
@@ -241,7 +258,7 @@ query("knn_l2", _near_sql("l2"))(_near("l2"))
 query("knn_ip", _near_sql("ip"))(_near("ip"))
 query("knn_columns", _near_sql("distance"))(lambda c: search.knn_columns(c.queries, c.collection).select("query_id", "rank", "id", "distance", "similarity"))
 query("knn_ann")(lambda c: search.knn_ann(c.queries, c.collection))
-query("search_text")(lambda c: search.search_text(c.questions, vectors.embed(c.collection, "document"), k=3))
+query("search_text", _text_near_sql("SELECT id, document AS text FROM entries"))(lambda c: search.search_text(c.questions, vectors.embed(c.collection, "document"), k=3))
 WHERE = {"$and": [{"length": {"$gt": 500}}, {"lang": {"$in": ["en", "de"]}}], "half": "0"}
 query("knn_where", _near_sql("distance", "WHERE length > 500 AND lang IN ('en', 'de') AND vec_id % 2 = 0"))(lambda c: search.knn(c.queries, c.collection, 5, where_spec=WHERE).select("query_id", "rank", "id", "distance", "similarity"))
 query("knn_where_document", _near_sql("distance", "WHERE contains(document, 'the') AND NOT contains(document, 'Th')"))(
@@ -524,7 +541,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn(asked, entries, 3, keep=("document",))
 
 
-query("rag_flow")(lambda c: flagship(c.spark, c.sf_dir))
+query("rag_flow", _text_near_sql(f"SELECT 'doc_' || document_id || '_chunk_' || chunk_index AS id, content AS text FROM ({_HYBRID_SQL})", "document"))(lambda c: flagship(c.spark, c.sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
