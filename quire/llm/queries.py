@@ -35,6 +35,30 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+#: Every pair with a shingle in common is counted, components are reached step by step; for tables of the tests' size.
+OP3_SQL = f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter._UPPER}', '{url_filter._LOWER}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words) - 4))) AS i FROM worded WHERE len(words) > 0)
+), sets AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT DISTINCT a AS doc_id, a AS other FROM both_ways UNION SELECT doc_id, b FROM reached JOIN both_ways ON a = other
+), components AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sets USING (doc_id) LEFT JOIN components USING (doc_id)
+"""
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.line_dedup(docs)
@@ -83,6 +107,28 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6's result that SQL can say: sizes and targets."""
+    return op6_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+#: Sources in the order of limit by weight; those before the first whose limit the level of the rest doesn't reach are full.
+MIX_TARGETS_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents
+), weighed AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight FROM sized GROUP BY source
+), levels AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT arg_min(level, 2 * source_size / weight) AS level FROM levels WHERE 2 * source_size >= level * weight
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(least(2.0 :: DOUBLE * source_size, weight * level), 4) AS target
+FROM sized JOIN weighed ON sized.source IS NOT DISTINCT FROM weighed.source, level
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -94,6 +140,26 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8's result that SQL can say: what rules judge; rule_verdict is null where trees do."""
+    judged = F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict")
+    return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", judged)
+
+
+_RULES_SQL = ", ".join(f"('{said}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for said, rule in url_filter.RULES)
+URL_RULES_SQL = f"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), named AS (
+  SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{url_filter._UPPER}', '{url_filter._LOWER}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM rests
+), fitting AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(said, length(rule)) AS rule_verdict
+  FROM named JOIN (VALUES {_RULES_SQL}) AS rules(said, rule, site, start) ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page_id
+)
+SELECT page_id, host, path, rule, rule_verdict FROM named LEFT JOIN fitting USING (page_id)
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -108,9 +174,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_embedding_dedup, op2_suffix_dedup, op3_minhash_dedup, op4_line_dedup, op5_token_counts, op6_mix_sources, op7_toxicity, op8_url_filter, op9_decontamination, op10_quality)
+    every = (op1_embedding_dedup, op2_suffix_dedup, op3_minhash_dedup, op4_line_dedup, op5_token_counts, op6_mix_sources, op7_toxicity, op8_url_filter, op9_decontamination, op10_quality, mix_targets, url_rules)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op3_minhash_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "mix_targets": MIX_TARGETS_SQL, "url_rules": URL_RULES_SQL}
