@@ -83,7 +83,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
     chosen = there.select("x.w.*", normal(F.col("x.line")).alias("norm")).where(F.xxhash64("norm") == F.col("k1")).dropDuplicates(list(_KEY))
     chosen = save(chosen, "line-candidates")
 
-    words = chosen.select(*_KEY, "first", "s0", "s1", "s2", "s3", F.posexplode(F.split("norm", " ")).alias("pos", "word"), F.size(F.split("norm", " ")).alias("n"))
+    # a line is split once; only the number of its words goes with each of them
+    split = chosen.select(*_KEY, "first", "s0", "s1", "s2", "s3", F.split("norm", " ").alias("words")).withColumn("n", F.size("words"))
+    words = split.select(*_KEY, "first", "s0", "s1", "s2", "s3", "n", F.posexplode("words").alias("pos", "word"))
     value = lambda place: F.shiftrightunsigned(F.xxhash64("word", place), 30)
     words = words.withColumns({"i": F.col("pos") + 1, "left": value(F.col("pos")), "right": value(F.col("pos") - F.col("n"))})
     line = Window.partitionBy(*_KEY).orderBy("i")
