@@ -136,8 +136,8 @@ def line_dedup(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "do
     """
     docs = docs.drop("n_lines", "n_exact", "n_near")
     gone = judged_lines(docs, min_words=min_words, id_col=id_col, text_col=text_col).withColumnsRenamed({"id": "gone_id", "text_key": "gone_key"})
-    # the rows travel as one column, so that no name of theirs meets one of ours
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # the rows travel as one column beside their text, so that no name of theirs meets one of ours
+    own = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     joined = own.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (_text_key(F.col("text")) == F.col("gone_key")), "left")
     # the kept lines lie between the numbers that go, which are in order
     edges = F.concat(F.array(F.lit(-1)), F.transform("gone", lambda g: g["line_no"]), F.array(F.size("all_lines")))
