@@ -18,8 +18,8 @@ from quire.llm.common import save
 
 #: Documents of one source and size are ranked in groups of about so many.
 RANKED = 200
-#: The last words of a budget are fitted exactly by dynamic programming over at most so many words and sizes.
-FITTED_WORDS, FITTED_SIZES = 1 << 15, 256
+#: The last words of a budget are fitted by dynamic programming over so many words; over more while a sum could be nearer.
+FITTED_WORDS = (1 << 15, 1 << 18, 1 << 21)
 
 
 def n_words(text: Column) -> Column:
@@ -31,48 +31,64 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     """How many documents of each size to take so that the words come near the budget, never above it.
 
     Every size gives its even share, rounded down; then the largest sizes that still fit, until the rest is small;
-    then a bounded knapsack over the rest finds the fullest sum. Sizes are positive and distinct.
+    then a bounded knapsack over the rest, with documents of all sizes, finds the fullest sum. While a nearer sum is
+    possible, more of the shares is given back and the knapsack runs over more words. No sum lies nearer for budgets
+    up to the last of FITTED_WORDS, nor where less is left than all sizes' common divisor. Sizes are positive and
+    distinct.
     """
     total = int((sizes * counts).sum())
     budget = max(0, min(int(budget), total))
     if budget == total:
         return counts.copy()
-    take = np.minimum(counts, (counts * (budget / total)).astype(np.int64))
+    shares = np.minimum(counts, (counts * (budget / total)).astype(np.int64))
+    divisor = int(np.gcd.reduce(sizes[counts > 0]))
+    best, least = shares, budget + 1
+    for width in FITTED_WORDS:
+        take = _fitted(sizes, counts, shares, budget, width)
+        left = budget - int((sizes * take).sum())
+        if left < least:
+            best, least = take, left
+        if least < divisor or width >= budget:
+            break
+    return best
+
+
+def _fitted(sizes: np.ndarray, counts: np.ndarray, shares: np.ndarray, budget: int, width: int) -> np.ndarray:
+    """The shares, with their last `width` words fitted to the budget."""
+    take = shares.copy()
     rest = budget - int((sizes * take).sum())
     order = np.argsort(-sizes)
     for i in order:
-        if rest <= FITTED_WORDS:
+        if rest <= width:
             break
-        k = min(int(counts[i] - take[i]), (rest - FITTED_WORDS // 2) // int(sizes[i]))
+        k = min(int(counts[i] - take[i]), (rest - width // 2) // int(sizes[i]))
         if k > 0:
             take[i] += k
             rest -= k * int(sizes[i])
     # the knapsack may also give back some of what the shares took, so few sizes reach nearly every sum
-    usable = [i for i in order[::-1] if sizes[i] <= FITTED_WORDS]
-    picked = usable[:: max(1, len(usable) // FITTED_SIZES)][:FITTED_SIZES] if usable else []
-    back = min(int((sizes[picked] * take[picked]).sum()), FITTED_WORDS) if len(picked) else 0
-    for i in picked[::-1]:
-        if back <= 0 or rest >= FITTED_WORDS:
-            break
-        k = min(int(take[i]), back // int(sizes[i]), (FITTED_WORDS - rest) // int(sizes[i]))
-        take[i] -= k
-        back -= k * int(sizes[i])
-        rest += k * int(sizes[i])
-    rest_max = rest
-    left = (counts - take)[picked] if len(picked) else np.zeros(0, np.int64)
-    items = [(j, m) for j, c in enumerate(left) for m in _binary(min(int(c), rest_max // max(1, int(sizes[picked[j]]))))]
-    reach = np.full(rest_max + 1, -1, np.int32)  # the last item that first reached each sum
+    back = width - rest
+    for i in order:
+        k = min(int(take[i]), back // int(sizes[i]))
+        if k > 0:
+            take[i] -= k
+            back -= k * int(sizes[i])
+            rest += k * int(sizes[i])
+    free = counts - take
+    items = [(i, m) for i in order[::-1] if sizes[i] <= rest for m in _binary(min(int(free[i]), rest // int(sizes[i])))]
+    reach = np.full(rest + 1, -1, np.int32)  # the item that first reached each sum
     reach[0] = len(items)
-    for n, (j, m) in enumerate(items):
-        w = m * int(sizes[picked[j]])
-        if w <= rest_max:
-            new = (reach[w:] < 0) & (reach[: rest_max + 1 - w] >= 0)
+    for n, (i, m) in enumerate(items):
+        if reach[rest] >= 0:
+            break
+        w = m * int(sizes[i])
+        if w <= rest:
+            new = (reach[w:] < 0) & (reach[: rest + 1 - w] >= 0)
             reach[w:][new] = n
     at = int(np.flatnonzero(reach >= 0)[-1])
     while at:
-        j, m = items[reach[at]]
-        take[picked[j]] += m
-        at -= m * int(sizes[picked[j]])
+        i, m = items[reach[at]]
+        take[i] += m
+        at -= m * int(sizes[i])
     return take
 
 

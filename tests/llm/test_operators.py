@@ -419,7 +419,18 @@ def test_fit_budget():
         if (sizes * counts).sum() < 20000:
             for s, c in zip(sizes, counts):
                 reach = {r + s * k for r in reach for k in range(c + 1) if r + s * k <= budget}
-            assert budget - (sizes * take).sum() <= budget - max(reach) + 0.02 * budget + sizes.min()
+            assert (sizes * take).sum() == max(reach)
+
+
+def test_fit_budget_many_sizes():
+    """Thousands of sizes, sizes with a common divisor, documents longer than the first table of words."""
+    sizes = np.arange(2, 9002, 2)
+    take = mixing.fit_budget(sizes, np.full(len(sizes), 3), 7_000_001)
+    assert (sizes * take).sum() == 7_000_000
+    sizes, counts = np.array([40_000, 70_001, 90_007]), np.array([4, 3, 2])
+    reach = {40_000 * a + 70_001 * b + 90_007 * c for a in range(5) for b in range(4) for c in range(3)}
+    for budget in (39_999, 150_000, 333_333, 549_000):
+        assert (sizes * mixing.fit_budget(sizes, counts, budget)).sum() == max(r for r in reach if r <= budget)
 
 
 def test_mix(spark):
