@@ -26,12 +26,12 @@ CELLS, WORDS = 4_000_000, 512
 
 
 def distance(a: Column, b: Column, metric: str) -> Column:
-    """cosine: 1 - cos; l2: the squared distance; ip: 1 - product. Other names mean cosine."""
+    """cosine: 1 - cos, 1 for a zero vector; l2: the squared distance; ip: 1 - product. Other names mean cosine."""
     if metric == "ip":
         return 1 - dot(a, b)
     if metric == "l2":
         return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return 1 - dot(a, b) / (norm(a) * norm(b))
+    return 1 - dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-300))
 
 
 def _ranked(rows: DataFrame, k: int | None, by: str = "query_id") -> DataFrame:
@@ -139,35 +139,69 @@ def knn_columns(queries: DataFrame, entries: DataFrame, k: int = 5, metric: str
     return found
 
 
-def knn_ann(queries: DataFrame, entries: DataFrame, k: int = 5, cells: int = 16, probes: int = 10, sample: int = 20_000, seed: int = 1) -> DataFrame:
-    """Approximate k-NN: k-means cells of a sample, the nearest cells of each query, exact distances within them.
-
-    A cell of many entries is searched by many tasks: entries stay where they are, the queries of a cell go to them.
-    """
+def _centers(entries: DataFrame, cells: int, sample: int, seed: int) -> np.ndarray:
+    """Centers of k-means cells of at most `sample` entries, chosen by a hash of the id."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     train = entries.orderBy(F.xxhash64("id")).limit(sample).select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    centers = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(train).clusterCenters())
-    sent = entries.sparkSession.sparkContext.broadcast(centers)
-
-    def nearest(n: int):
-        def cell(batches):
-            for batch in batches:
-                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                c = sent.value
-                d = (c * c).sum(1) - 2 * x @ c.T if len(x) else np.zeros((0, len(c)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.argsort(d, 1)[:, :n].tolist(), pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
-
-        return cell
-
-    placed = lambda df, n: df.mapInArrow(nearest(n), T.StructType(list(df.schema.fields)).add("cells", T.ArrayType(T.IntegerType())))
-    e = placed(entries.select("id", "embedding"), 1).withColumn("cell", F.col("cells")[0])
-    q = placed(queries.select("query_id", "embedding"), probes).select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
+    return np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(train).clusterCenters())
+
+
+def _placed(df: DataFrame, centers: np.ndarray, n: int) -> DataFrame:
+    """df with `cells`, the n cells nearest to its embedding."""
+    sent = df.sparkSession.sparkContext.broadcast(centers)
+
+    def place(batches):
+        for batch in batches:
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            c = sent.value
+            d = (c * c).sum(1) - 2 * x @ c.T if len(x) else np.zeros((0, len(c)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.argsort(d, 1)[:, :n].tolist(), pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+
+    return df.mapInArrow(place, T.StructType(list(df.schema.fields)).add("cells", T.ArrayType(T.IntegerType())))
+
+
+def _entry_cells(entries: DataFrame, centers: np.ndarray) -> DataFrame:
+    return _placed(entries.select("id", "embedding"), centers, 1).select("id", "embedding", F.col("cells")[0].alias("cell"))
+
+
+def _query_cells(queries: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
+    return _placed(queries.select("query_id", "embedding"), centers, probes).select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
+
+
+def _within_cells(q: DataFrame, e: DataFrame, k: int) -> DataFrame:
     found = e.join(q, "cell").select("query_id", "id", F.round(distance(F.col("embedding"), F.col("q"), "cosine"), 6).alias("distance"))
     return _ranked(found, k)
 
 
+def knn_ann(queries: DataFrame, entries: DataFrame, k: int = 5, cells: int = 16, probes: int = 10, sample: int = 20_000, seed: int = 1) -> DataFrame:
+    """Approximate k-NN: k-means cells of a sample, the nearest cells of each query, exact distances within them.
+
+    A cell of many entries is searched by many tasks: entries stay where they are, the queries of a cell go to them.
+    """
+    centers = _centers(entries, cells, sample, seed)
+    return _within_cells(_query_cells(queries, centers, probes), _entry_cells(entries, centers), k)
+
+
+def write_ann_index(entries: DataFrame, path: str, cells: int = 16, sample: int = 20_000, seed: int = 1, files: int = 8) -> None:
+    """The cells of knn_ann as a table, a folder for each cell in about `files` files, and their centers beside it."""
+    centers = _centers(entries, cells, sample, seed)
+    rows = [(i, c.tolist()) for i, c in enumerate(centers)]
+    entries.sparkSession.createDataFrame(rows, "cell int, center array<double>").write.mode("overwrite").parquet(f"{path}/centers")
+    dealt = _entry_cells(entries, centers).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(files)))
+    dealt.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/entries")
+
+
+def knn_index(queries: DataFrame, path: str, k: int = 5, probes: int = 10) -> DataFrame:
+    """k-NN over what write_ann_index wrote, nothing fitted again; only the cells near a query are read."""
+    spark = queries.sparkSession
+    centers = np.array([r["center"] for r in spark.read.parquet(f"{path}/centers").orderBy("cell").collect()])
+    q = _query_cells(queries, centers, probes)
+    near = [r["cell"] for r in q.select("cell").distinct().collect()]  # as many as there are cells, at most
+    return _within_cells(q, spark.read.parquet(f"{path}/entries").where(F.col("cell").isin(near)), k)
+
+
 def search_text(queries: DataFrame, entries: DataFrame, embed_fn: EmbedFn | None = hash_embed, k: int = 5, **filters) -> DataFrame:
     """k-NN of texts (query_id, text)."""
     if embed_fn is None:

@@ -39,14 +39,19 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT_JSON).json(path, multiLine=True).select(F.posexplode("results").alias("rank", "r")).select((F.col("rank") + 1).alias("rank"), "r.*")
 
 
-def write_chunk_json(chunks: DataFrame, path: str) -> None:
-    """Chunks as lines of JSON, by document."""
-    chunks.write.partitionBy("document_id").json(path)
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
 
 
-def write_chunk_text(exported: DataFrame, path: str) -> None:
-    """Rows (document_id, value) of the text export, by document."""
-    exported.select("document_id", "value").write.partitionBy("document_id").text(path)
+def write_chunk_json(chunks: DataFrame, path: str, buckets: int = 64, files: int = 4) -> None:
+    """Chunks as lines of JSON; documents share `buckets` folders by a hash of their id, each of about `files` files."""
+    _bucketed(chunks, buckets).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(files))).write.partitionBy("bucket").json(path)
+
+
+def write_chunk_text(exported: DataFrame, path: str, buckets: int = 64) -> None:
+    """Rows (document_id, value) of the text export; lines carry no id, so each document has its folder in its bucket."""
+    rows = _bucketed(exported.select("document_id", "value"), buckets).repartition("bucket", "document_id")
+    rows.write.partitionBy("bucket", "document_id").text(path)
 
 
 def write_embeddings(embedded: DataFrame, path: str) -> DataFrame:

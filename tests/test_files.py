@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.chunkers import ChunkConfig
 from quire.jobs.index import build_index, chunk_path, embed_path
+from quire.operators import search
 from quire.operators.chunking import chunk_documents
 from quire.sources import files
 from quire.streaming.ingest import ingest_stream, latest_entries
@@ -37,6 +38,13 @@ def test_chunks_written(spark, tmp_path):
     assert chunks.count() == 4 or chunks.count() == 3
     files.write_chunk_json(chunks, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == chunks.count()
+    many = spark.range(300).select((F.col("id") % 30).alias("document_id"), F.format_string("chunk_%04d", "id").alias("chunk_id"), F.concat(F.lit("t"), "id").alias("value"))
+    files.write_chunk_json(many, str(tmp_path / "many"), buckets=4, files=2)
+    back = spark.read.json(str(tmp_path / "many"))
+    assert sorted(map(tuple, back.select(*many.columns).collect())) == sorted(map(tuple, many.collect())) and back.select("bucket").distinct().count() <= 4
+    files.write_chunk_text(many, str(tmp_path / "text"), buckets=4)
+    back = spark.read.text(str(tmp_path / "text"))
+    assert sorted(map(tuple, back.select("document_id", "value").collect())) == sorted(map(tuple, many.select("document_id", "value").collect()))
 
 
 def test_partitions_do_not_matter(spark):
@@ -60,6 +68,20 @@ def test_stream(spark, tmp_path):
     assert latest_entries(spark, str(tmp_path / "out")).count() == 2
 
 
+def test_ann_index(spark, tmp_path):
+    """A written index gives the rows of the search that fits its cells anew, and reads the cells near the queries."""
+    entries = spark.range(400).select(F.concat(F.lit("e"), "id").alias("id"), F.array(*[F.sin(F.col("id") * (i + 1)).cast("float") for i in range(6)]).alias("embedding"))
+    queries = entries.limit(9).select(F.monotonically_increasing_id().alias("query_id"), "embedding")
+    queries = spark.createDataFrame(queries.collect(), queries.schema)
+    search.write_ann_index(entries, str(tmp_path / "index"), cells=8, files=2)
+    state = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id", "distance").collect()))
+    assert state(search.knn_index(queries, str(tmp_path / "index"), k=3, probes=3)) == state(search.knn_ann(queries, entries, k=3, cells=8, probes=3))
+    assert state(search.knn_index(queries, str(tmp_path / "index"), k=3, probes=8)) == state(search.knn(queries, entries, 3))
+    search.write_ann_index(entries.limit(40), str(tmp_path / "index"), cells=2)
+    assert spark.read.parquet(str(tmp_path / "index" / "entries")).count() == 40
+    assert search.knn_index(queries.limit(0), str(tmp_path / "index")).count() == 0
+
+
 def test_collection_written_back(spark, tmp_path):
     """A collection is loaded, changed and written back in one job; other collections stay; logs are appended."""
     path, staging = str(tmp_path / "collection"), str(tmp_path / "staging")
