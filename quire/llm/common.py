@@ -208,7 +208,9 @@ def learned(sample: DataFrame, id_col: str, learn):
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
-        model = learn(pa.Table.from_batches(rows).sort_by(id_col) if rows else None)
+        sample = pa.Table.from_batches(rows).sort_by(id_col) if rows else None
+        rows.clear()
+        model = learn(sample)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     made = [row["model"] for row in sample.repartition(1).mapInArrow(one, "model binary").collect()]

@@ -22,6 +22,8 @@ from quire.llm.common import held_out, labelled_sample, learned, list_views, str
 BITS, MAX_ROWS = 20, 20_000
 #: Lengths in bytes of the beginnings of words; length of the vectors.
 PREFIXES, FACTORS = (4, 5, 6), 4
+#: Texts are taken apart in runs of about so many bytes; the arrays of a run are some fifty times as large.
+RUN_BYTES = 1 << 20
 #: From this score a document is rejected.
 THRESHOLD = 0.7
 
@@ -44,7 +46,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _features(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, end, data, offsets in string_slices(batch.column("text")):
+        for first, end, data, offsets in string_slices(batch.column("text"), RUN_BYTES):
             term, row = terms(data, offsets)
             code = np.unique(row << BITS | term.astype(np.int64))
             ends = np.searchsorted(code >> BITS, np.arange(end - first + 1))
@@ -69,7 +71,7 @@ def learn(samples: list[tuple[np.ndarray, int]], *, alpha: float = 2.0, l1: floa
     rng = np.random.default_rng(seed)
     z, n = np.zeros(size), np.zeros(size)
     v, vn = rng.normal(0, 0.1, (size, FACTORS)), np.full((size, FACTORS), 10.0)
-    slots = [np.append(s[s > 0], size - 1) for s in (slot[t] for t, _ in samples)]
+    slots = [np.append(s[s > 0], np.int32(size - 1)) for s in (slot[t] for t, _ in samples)]
 
     def weight(i):
         return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((1 + np.sqrt(n[i])) / alpha))
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: i
 
 def _score(model: Model, column: pa.Array) -> np.ndarray:
     out = np.empty(len(column))
-    for first, end, data, offsets in string_slices(column):
+    for first, end, data, offsets in string_slices(column, RUN_BYTES):
         term, row = terms(data, offsets)
         s = model.slot[term]
         has = s > 0
