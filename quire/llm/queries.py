@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontamination, embedding_dedup, line_dedup, minhash, mixing, quality, suffix_dedup, token_counts, toxicity, url_filter
+from quire.llm import collocations, decontamination, embedding_dedup, exact_dedup, line_dedup, minhash, mixing, quality, suffix_dedup, token_counts, toxicity, url_filter, vector_codes
 from quire.llm.common import table
 
 #: Tokens over which a document is marked.
@@ -173,10 +173,97 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.collocations(docs)
+
+
+OP11_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{url_filter._UPPER}', '{url_filter._LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces
+), sizes AS (
+  SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM worded GROUP BY lang
+), starts AS MATERIALIZED (
+  SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, words AS w, unnest(generate_series(1, len(words))) AS i FROM worded)
+), counts AS MATERIALIZED (
+  SELECT lang, 1 AS k, x AS gram, count(*) AS f FROM starts GROUP BY ALL HAVING count(*) >= 10
+  UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM starts WHERE y IS NOT NULL GROUP BY lang, x, y HAVING count(*) >= 10
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM starts WHERE z IS NOT NULL GROUP BY lang, x, y, z HAVING count(*) >= 10
+), parts AS MATERIALIZED (
+  SELECT lang, k, gram, f, cut, array_to_string(string_split(gram, ' ')[1:cut], ' ') AS part, array_to_string(string_split(gram, ' ')[cut + 1:k], ' ') AS rest FROM counts, (VALUES (1), (2)) AS cs(cut) WHERE cut < k
+), cuts AS (
+  SELECT p.lang, p.k, p.gram, p.f AS a, cut, x.f AS l, y.f AS r, (1000000 :: HUGEINT * p.f * p.f) // (x.f :: HUGEINT * y.f) AS score
+  FROM parts p JOIN counts x ON x.lang = p.lang AND x.gram = p.part JOIN counts y ON y.lang = p.lang AND y.gram = p.rest
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, gram, max(f) AS f FROM (SELECT lang, part AS gram, f FROM parts WHERE k = 3 AND cut = 2 UNION ALL SELECT lang, rest, f FROM parts WHERE k = 3 AND cut = 1) GROUP BY ALL
+), ranked AS (
+  SELECT s.lang, gram AS phrase, a, l, r, score, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, gram) AS rank
+  FROM scored s LEFT JOIN longer o USING (lang, gram) WHERE o.f IS NULL OR 100 * o.f < 50 * a
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return vector_codes.compress(vectors)
+
+
+def _op12_sql() -> str:
+    """Every round is a step of its own: the nearest entries of the last codebooks, then the means of what they took."""
+    steps = ["""kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+), cells AS (
+  SELECT vec_id, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS x FROM kept, range(8) AS ps(p)
+), book0 AS (
+  SELECT p, e, x AS c FROM cells JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 16) USING (vec_id)
+)"""]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""near{k} AS (
+  SELECT vec_id, p, e, d, x FROM (SELECT vec_id, p, e, x, list_sum(list_transform(generate_series(1, len(x)), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d FROM cells JOIN book{k} USING (p))
+  QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1
+)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""sums{k} AS (
+  SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT p, e, x, unnest(generate_series(1, len(x))) AS i FROM near{k}) GROUP BY ALL
+), new{k} AS (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM sums{k} GROUP BY ALL
+), book{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(n.c, b.c) AS c FROM book{k} b LEFT JOIN new{k} n USING (p, e)
+)""")
+    k = vector_codes.ROUNDS
+    steps.append(f"""digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{k}
+), coded AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{k} GROUP BY vec_id
+)""")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), digest"
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.exact_duplicates(docs)
+
+
+OP13_SQL = """
+WITH normed AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n_chars, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents
+), judged AS (
+  SELECT doc_id, norm, first(doc_id) OVER (PARTITION BY norm ORDER BY n_chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM normed
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM judged
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_embedding_dedup, op2_suffix_dedup, op3_minhash_dedup, op4_line_dedup, op5_token_counts, op6_mix_sources, op7_toxicity, op8_url_filter, op9_decontamination, op10_quality, mix_targets, url_rules)
+    every = (op1_embedding_dedup, op2_suffix_dedup, op3_minhash_dedup, op4_line_dedup, op5_token_counts, op6_mix_sources, op7_toxicity, op8_url_filter, op9_decontamination, op10_quality, op11_collocations, op12_vector_codes, op13_exact_dedup, mix_targets, url_rules)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "mix_targets": MIX_TARGETS_SQL, "url_rules": URL_RULES_SQL}
+    return {"op3_minhash_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op11_collocations": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_exact_dedup": OP13_SQL, "mix_targets": MIX_TARGETS_SQL, "url_rules": URL_RULES_SQL}
