@@ -186,7 +186,7 @@ WITH pieces AS (
 ), sizes AS (
   SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM worded GROUP BY lang
 ), starts AS MATERIALIZED (
-  SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, words AS w, unnest(generate_series(1, len(words))) AS i FROM worded)
+  SELECT lang, s[1] AS x, s[2] AS y, s[3] AS z FROM (SELECT lang, unnest(list_zip(words, words[2:], words[3:])) AS s FROM worded)
 ), counts AS MATERIALIZED (
   SELECT lang, 1 AS k, x AS gram, count(*) AS f FROM starts GROUP BY ALL HAVING count(*) >= 10
   UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM starts WHERE y IS NOT NULL GROUP BY lang, x, y HAVING count(*) >= 10
@@ -195,7 +195,7 @@ WITH pieces AS (
   SELECT lang, k, gram, f, cut, array_to_string(string_split(gram, ' ')[1:cut], ' ') AS part, array_to_string(string_split(gram, ' ')[cut + 1:k], ' ') AS rest FROM counts, (VALUES (1), (2)) AS cs(cut) WHERE cut < k
 ), cuts AS (
   SELECT p.lang, p.k, p.gram, p.f AS a, cut, x.f AS l, y.f AS r, (1000000 :: HUGEINT * p.f * p.f) // (x.f :: HUGEINT * y.f) AS score
-  FROM parts p JOIN counts x ON x.lang = p.lang AND x.gram = p.part JOIN counts y ON y.lang = p.lang AND y.gram = p.rest
+  FROM parts p JOIN counts x ON x.lang || ' ' || x.gram = p.lang || ' ' || p.part JOIN counts y ON y.lang || ' ' || y.gram = p.lang || ' ' || p.rest
 ), scored AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1
 ), longer AS (
