@@ -361,7 +361,7 @@ query("rerank_compare", "SELECT query_id, id, CASE WHEN rank <= 5 THEN rank END
 query("rerank_movement", "SELECT query_id, count(*) FILTER (WHERE rank_change > 0) AS up, count(*) FILTER (WHERE rank_change < 0) AS down, count(*) FILTER (WHERE rank_change = 0) AS same, max(abs(rank_change)) AS largest FROM reranked GROUP BY query_id")(
     lambda c: rerank.rerank_movement(_reranked(c))
 )
-query("rerank_improvement", "SELECT query_id, round(avg(rerank_score - original_score), 6) AS mean_gain, round(max(rerank_score - original_score), 6) AS best_gain FROM reranked GROUP BY query_id")(lambda c: rerank.rerank_improvement(_reranked(c)))
+query("rerank_improvement", "SELECT query_id, sign(s) * ((2 * abs(s) + n) // (2 * n)) / 1000000 AS mean_gain, best / 1000000 AS best_gain FROM (SELECT query_id, CAST(sum(u) AS BIGINT) AS s, count(*) AS n, max(u) AS best FROM (SELECT query_id, CAST(round((rerank_score - original_score) * 1000000) AS BIGINT) AS u FROM reranked) GROUP BY query_id)")(lambda c: rerank.rerank_improvement(_reranked(c)))
 query("rerank_top_moves", """SELECT query_id, kind, place, id, amount FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, kind ORDER BY amount DESC, rank) AS INTEGER) AS place FROM (
     SELECT query_id, id, rank, 'riser' AS kind, CAST(rank_change AS DOUBLE) AS amount FROM reranked UNION ALL SELECT query_id, id, rank, 'faller', CAST(-rank_change AS DOUBLE) FROM reranked
     UNION ALL SELECT query_id, id, rank, 'gain', round(rerank_score - original_score, 6) FROM reranked) WHERE amount > 0) WHERE place <= 3""")(lambda c: rerank.rerank_top_moves(_reranked(c)))

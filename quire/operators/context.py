@@ -53,9 +53,27 @@ def context_tagged(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(ordered_join(F.col("rank"), block, "\n\n---\n\n").alias("context"))
 
 
+def four_places(score: Column) -> Column:
+    """A number with four places, rounded from the exact value that the double holds, as C and Python print it.
+
+    A double in the middle of two such numbers is rarely the middle itself; which side it lies on is the sign of
+    20000 x - n, exact if x is split into two halves of its digits first.
+    """
+    x = F.abs(score)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    n = F.rint(x * 20000.0)
+    side = (high * 20000.0 - n) + (x - high) * 20000.0
+    odd = n % 2 == 1
+    down, up = F.floor(n / 2), F.floor((n + 1) / 2)
+    middle = odd & (F.abs(side) < 1e-6)
+    even = F.when(down % 2 == 0, down).otherwise(up)
+    units = F.when(middle, F.when(side < 0, down).when(side > 0, up).otherwise(even)).otherwise(F.floor(x * 10000.0 + 0.5)).cast("long")
+    return F.concat(F.when(score < 0, "-").otherwise(""), F.format_string("%d.%04d", F.floor(units / 10000), units % 10000))
+
+
 def context_scored(reranked: DataFrame) -> DataFrame:
     """(query_id, context, n_documents, n_words, n_chars) of reranked documents under their scores."""
-    block = F.concat(F.lit("--- Document "), F.col("new_rank"), F.lit(" (Score: "), F.format_string("%.4f", "rerank_score"), F.lit(") ---\n"), "document")
+    block = F.concat(F.lit("--- Document "), F.col("new_rank"), F.lit(" (Score: "), four_places(F.col("rerank_score")), F.lit(") ---\n"), "document")
     joined = reranked.groupBy("query_id").agg(ordered_join(F.col("new_rank"), block, "\n\n").alias("context"), F.count("*").alias("n_documents"))
     return joined.withColumns({"n_words": word_count(F.col("context")), "n_chars": F.length("context")})
 

@@ -19,10 +19,14 @@ from quire.functions.text import occurrences
 from quire.operators.vectors import EmbedFn, dot, embed, hash_embed, norm
 
 METRICS = ("cosine", "l2", "ip")
-#: Queries sent to the executors at once, in numbers of a matrix; more are searched in turns.
-QUERY_NUMBERS = 4_000_000
-#: Distances computed at once by a task; words of queries that are looked for in a text at once.
-CELLS, WORDS = 4_000_000, 512
+#: Queries that are sent to the executors, in numbers of a matrix; more are met in tiles.
+QUERY_NUMBERS = 1_000_000
+#: Queries and entries of a tile.
+TILE_QUERIES, TILE_ENTRIES = 16_384, 262_144
+#: Distances computed at once by a task.
+CELLS = 4_000_000
+#: Characters by which words are looked up at most; longer words are looked up by their beginning.
+KEY_CHARS = 32
 
 
 def distance(a: Column, b: Column, metric: str) -> Column:
@@ -40,14 +44,6 @@ def _ranked(rows: DataFrame, k: int | None, by: str = "query_id") -> DataFrame:
     return out.withColumn("similarity", F.round(1 - F.col("distance"), 6))
 
 
-def _blocks(queries: DataFrame, size: Column, most: int) -> Iterator[DataFrame]:
-    """The queries in blocks of about `most` in all of `size`, by a hash of their ids; nothing but a sum is collected."""
-    total = queries.agg(F.sum(size).alias("n")).first()["n"] or 0
-    n = max(1, -(-int(total) // most))
-    for k in range(n):
-        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) if n > 1 else queries
-
-
 def _least(rows: np.ndarray, d: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of (row, distance, key) the k least of each row, by distance, then by key."""
     order = np.lexsort((keys, d, rows))
@@ -69,74 +65,153 @@ def _products(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.round(d, 6)
 
 
-def _nearest(entries: DataFrame, queries: list, k: int | None, metric: str, most: float | None = None) -> DataFrame:
-    """(query_id, id, distance): each partition's k nearest of each query, or all up to a distance, by block products."""
+class _Best:
+    """The k least of each query and collection so far, or all up to a distance, as entries come by in batches."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int | None, metric: str, most: float | None):
+        self.ids, self.q, self.k, self.metric, self.most = ids, q, k, metric, most
+        self.best: dict = {}
+
+    def batch(self, part, rows, d, keys) -> pa.RecordBatch:
+        columns = [pa.array([part] * len(rows), pa.string()), pa.array(self.ids[rows]), pa.array(keys.tolist(), pa.string()), pa.array(d)]
+        return pa.RecordBatch.from_arrays(columns, ["part", "query_id", "id", "distance"])
+
+    def put(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Take entries (part, id, embedding) in; with a distance, those near enough come out at once."""
+        if not batch.num_rows or not len(self.ids):
+            return
+        every = np.array([*batch.column("id").to_pylist(), None], object)[:-1]
+        mat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(every), -1)
+        coded = batch.column("part").dictionary_encode()
+        which = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        for code in np.unique(which):
+            rows = np.flatnonzero(which == code)
+            yield from self._put(coded.dictionary[int(code)].as_py() if code >= 0 else None, every[rows], mat[rows])
+
+    def _put(self, part, keys: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        best = self.best.setdefault(part, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)))
+        step = max(1, CELLS // len(keys))
+        for at in range(0, len(self.ids), step):
+            d = _products(self.q[at : at + step], x, self.metric)
+            if self.most is not None:
+                r, c = np.nonzero(d <= self.most)
+                yield self.batch(part, r + at, d[r, c], keys[c])
+                continue
+            limit = np.partition(d, self.k - 1, 1)[:, self.k - 1 : self.k] if d.shape[1] > self.k else np.inf
+            r, c = np.nonzero(d <= limit)
+            new = _least(r + at, d[r, c], keys[c], self.k)
+            mine = (best[0] >= at) & (best[0] < at + step)
+            merged = _least(*(np.concatenate([old[mine], now]) for old, now in zip(best, new)), self.k)
+            best = tuple(np.concatenate([old[~mine], now]) for old, now in zip(best, merged))
+        self.best[part] = best
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        for part, best in self.best.items():
+            yield self.batch(part, *best)
+
+
+FOUND = "part string, query_id long, id string, distance double"
+
+
+def _sent(entries: DataFrame, queries: list, k: int | None, metric: str, most: float | None) -> DataFrame:
+    """(query_id, id, distance) of queries few enough to be sent to where the entries are; no entry moves."""
     ids = np.array([q["query_id"] for q in queries], np.int64)
-    mat = np.array([q["embedding"] for q in queries], np.float64).reshape(len(ids), -1)
+    mat = np.array([q["embedding"] for q in queries], np.float64)
     sent = entries.sparkSession.sparkContext.broadcast((ids, mat))
 
-    def out(rows, d, keys):
-        return pa.RecordBatch.from_arrays([pa.array(sent.value[0][rows]), pa.array(keys.tolist(), pa.string()), pa.array(d)], ["query_id", "id", "distance"])
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(*sent.value, k, metric, most)
+        for batch in batches:
+            yield from best.put(batch)
+        yield from best.done()
+
+    return entries.select("part", "id", "embedding").mapInArrow(against, FOUND)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = sent.value
-        best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+
+def _tiled(entries: DataFrame, queries: DataFrame, n_queries: int, k: int | None, metric: str, most: float | None) -> DataFrame:
+    """The same of any number of queries: both sides are dealt into tiles, which meet after one shuffle.
+
+    A block of queries goes to every tile of entries and a tile to every block; a task holds one block of queries and
+    k rows for each of them, and the entries of the tile stream by. Nothing goes to the driver but two counts.
+    """
+    n_blocks = max(1, -(-n_queries // TILE_QUERIES))
+    n_tiles = max(1, -(-entries.count() // TILE_ENTRIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    none = lambda kind: F.lit(None).cast(kind)
+    wide = F.transform("embedding", lambda x: x.cast("double")).alias("embedding")
+    q = queries.select(one("query_id", n_blocks).alias("block"), every(n_tiles).alias("tile"), F.lit(0).alias("side"), F.col("query_id").cast("long").alias("query_id"), none("string").alias("part"), none("string").alias("id"), wide)
+    e = entries.select(every(n_blocks).alias("block"), one("id", n_tiles).alias("tile"), F.lit(1).alias("side"), none("long").alias("query_id"), "part", "id", wide)
+    parts = max(n_blocks * n_tiles, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = q.unionByName(e).repartition(parts, "block", "tile").sortWithinPartitions("block", "tile", "side")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, best = None, [], None
         for batch in batches:
-            keys = np.array([*batch.column("id").to_pylist(), None], object)[:-1]
-            if not len(keys) or not len(names):
-                continue
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
-            step = max(1, CELLS // len(keys))
-            for at in range(0, len(names), step):
-                d = _products(q[at : at + step], x, metric)
-                limit = np.partition(d, k - 1, 1)[:, k - 1 : k] if most is None and d.shape[1] > k else np.inf if most is None else most
-                r, c = np.nonzero(d <= limit)
-                if most is not None:
-                    yield out(r + at, d[r, c], keys[c])
+            key = np.stack([batch.column(c).to_numpy() for c in ("block", "tile", "side")], 1)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                part, (block, tile, side) = batch.slice(a, b - a), key[a]
+                if (block, tile) != now:
+                    if best:
+                        yield from best.done()
+                    now, held, best = (block, tile), [], None
+                if side == 0:
+                    held.append(part)
                     continue
-                new = _least(r + at, d[r, c], keys[c], k)
-                mine = (best[0] >= at) & (best[0] < at + step)
-                merged = _least(*(np.concatenate([old[mine], now]) for old, now in zip(best, new)), k)
-                best = tuple(np.concatenate([old[~mine], now]) for old, now in zip(best, merged))
-        yield out(*best)
+                if held:
+                    rows = pa.Table.from_batches(held)
+                    ids = rows["query_id"].to_numpy()
+                    best, held = _Best(ids, rows["embedding"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1), k, metric, most), []
+                if best:
+                    yield from best.put(part)
+        if best:
+            yield from best.done()
 
-    return entries.select("id", "embedding").mapInArrow(blocks, "query_id long, id string, distance double")
+    return dealt.mapInArrow(met, FOUND)
 
 
-def _held_against(queries: DataFrame, entries: DataFrame, k: int | None, metric: str, most: float | None = None) -> DataFrame:
-    found = None
-    for block in _blocks(queries.select("query_id", "embedding"), F.size("embedding"), QUERY_NUMBERS):
-        part = _nearest(entries, block.collect(), k, metric, most)
-        found = part if found is None else found.unionByName(part)
-    return found
+def _held_against(queries: DataFrame, entries: DataFrame, k: int | None, metric: str, most: float | None = None, part: str | None = None) -> DataFrame:
+    """(part, query_id, id, distance): of each partition or tile the k nearest, or all up to a distance, by the column `part`.
+
+    Queries of up to QUERY_NUMBERS numbers in all are sent to the entries, more are met in tiles.
+    """
+    entries = entries.select((F.col(part) if part else F.lit("")).alias("part"), "id", "embedding")
+    asked = queries.select("query_id", "embedding")
+    size = asked.agg(F.count("*").alias("rows"), F.sum(F.size("embedding")).alias("numbers")).first()
+    if (size["numbers"] or 0) <= QUERY_NUMBERS:
+        return _sent(entries, asked.collect(), k, metric, most)
+    return _tiled(entries, asked, size["rows"], k, metric, most)
 
 
 def knn(queries: DataFrame, entries: DataFrame, k: int = 5, metric: str = "cosine", where_spec: dict | None = None, document_spec: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The k nearest entries of each query. Filters come first; of the entries only vectors and ids are read.
 
-    Queries are a stated set: they go to the entries, block by block; a partition hands on k rows of each.
+    Few queries go to where the entries are and a partition hands on k rows of each; many are met in tiles.
     """
     chosen = entries.where(where(where_spec, entries.columns))
     if document_spec:
         chosen = chosen.where(where_document(document_spec, F.col("document")))
-    ranked = _ranked(_held_against(queries, chosen, k, metric), k)
+    ranked = _ranked(_held_against(queries, chosen, k, metric).drop("part"), k)
     return ranked.join(entries.select("id", *keep), "id") if keep else ranked
 
 
 def similar_entries(queries: DataFrame, entries: DataFrame, least: float) -> DataFrame:
-    """(query_id, id, similarity): the entries whose product with a query's vector is `least` or more, block by block."""
+    """(query_id, id, similarity): the entries whose product with a query's vector is `least` or more."""
     found = _held_against(queries, entries, None, "ip", round(1 - least, 6))
     return found.select("query_id", "id", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
 def knn_columns(queries: DataFrame, entries: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
-    """The same by columns alone: blocks of queries of bounded size are broadcast; each task ranks before rows move."""
-    found = None
-    for block in _blocks(queries.select("query_id", F.col("embedding").alias("q")), F.size("q"), QUERY_NUMBERS // 4):
-        both = entries.select("id", "embedding").join(F.broadcast(block))
-        part = _ranked(both.select("query_id", "id", F.round(distance(F.col("embedding"), F.col("q"), metric), 6).alias("distance")), k)
-        found = part if found is None else found.unionByName(part)
-    return found
+    """The same by columns alone, for queries of up to QUERY_NUMBERS numbers, which are broadcast; each task ranks before rows move."""
+    asked = queries.select("query_id", F.col("embedding").alias("q"))
+    numbers = asked.agg(F.sum(F.size("q")).alias("n")).first()["n"] or 0
+    if numbers > QUERY_NUMBERS:
+        raise ValueError("so many queries want knn, which deals them into tiles")
+    both = entries.select("id", "embedding").join(F.broadcast(asked))
+    return _ranked(both.select("query_id", "id", F.round(distance(F.col("embedding"), F.col("q"), metric), 6).alias("distance")), k)
 
 
 def _centers(entries: DataFrame, cells: int, sample: int, seed: int) -> np.ndarray:
@@ -217,26 +292,31 @@ def hybrid_search(queries: DataFrame, entries: DataFrame, words: list[str], firs
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).drop("document")
 
 
+def postings(tokens: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key, token): the distinct substrings of the given lengths of (token), each a key under which it is found."""
+    size = F.length("token")
+    cut = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda at: F.substring(F.col("token"), at, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    keys = F.array_distinct(F.concat(*[cut(n) for n in lengths]))
+    return tokens.select("token", F.explode(keys).alias("key"))
+
+
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, rank, id, score): times that the query's words occur in a text, repeated words counted again.
 
-    queries (query_id, text) are a stated set. A word has no white space, so all its occurrences lie within tokens of
-    a text: it is looked for in the distinct tokens of all texts, in lists of about WORDS words, and texts are only
-    counted into tokens. Tokens found meet the queries that have the word.
+    A word has no white space, so all its occurrences lie within tokens of a text. Texts are counted into tokens; a
+    distinct token is posted under its substrings of the lengths that words have, and a word finds the tokens that
+    hold it by an equi-join. Of words longer than KEY_CHARS the beginning is looked up, the token decides.
     """
     split = lambda c: F.explode(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
     asked = queries.select("query_id", split("text").alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    distinct = asked.select("word").distinct()
-    n_lists = max(1, -(-distinct.count() // WORDS))
+    words = asked.select("word").distinct().withColumn("key", F.substring("word", 1, KEY_CHARS))
+    lengths = sorted(r["n"] for r in words.select(F.length("key").alias("n")).distinct().collect())  # KEY_CHARS at most
+    if not lengths:
+        lengths = [1]
     tokens = chunks.select("id", split("content").alias("token")).groupBy("id", "token").agg(F.count("*").alias("freq"))
     # few bytes but much work for each token, so the tokens are dealt over all tasks
     vocabulary = tokens.select("token").distinct().repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
-    holding = None
-    for nth in range(n_lists):  # one list at a time is sent to the tokens
-        part = distinct.where(F.pmod(F.xxhash64("word"), F.lit(n_lists)) == nth)
-        part = vocabulary.join(F.broadcast(part), F.contains(F.col("token"), F.col("word"))).select("token", "word")
-        holding = part if holding is None else holding.unionByName(part)
-    holding = holding.select("token", "word", occurrences(F.col("token"), F.col("word")).alias("n"))
+    holding = postings(vocabulary, lengths).join(words, "key").select("token", "word", occurrences(F.col("token"), F.col("word")).alias("n")).where("n > 0")
     counted = tokens.join(holding, "token").groupBy("id", "word").agg(F.sum(F.col("freq") * F.col("n")).alias("n"))
     found = counted.join(asked, "word").groupBy("query_id", "id").agg(F.sum(F.col("n") * F.col("times")).cast("int").alias("score"))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
@@ -250,12 +330,10 @@ def multi_query_fusion(results: DataFrame, groups: DataFrame, per_query: int = 2
 
 
 def multi_collection(queries: DataFrame, entries: DataFrame, names: list[str], k: int = 3) -> DataFrame:
-    """The k nearest of each collection, together by similarity."""
-    found = None
-    for name in names:
-        part = knn(queries, entries.where(F.col("collection") == name), k).withColumn("collection", F.lit(name)).drop("rank")
-        found = part if found is None else found.unionByName(part)
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
+    """The k nearest of each collection, together by similarity: one search, whose tasks keep k of each collection."""
+    near = _held_against(queries, entries.where(F.col("collection").isin(names)), k, "cosine", part="collection").withColumnRenamed("part", "collection")
+    nth = F.row_number().over(Window.partitionBy("query_id", "collection").orderBy("distance", "id"))
+    return _ranked(near.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth"), None)
 
 
 def query_expansion(queries: DataFrame, synonyms: list[tuple[str, str]], legacy: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions.text import newlines
 
@@ -44,8 +45,16 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
 
 
 def write_chunk_json(chunks: DataFrame, path: str, buckets: int = 64, files: int = 4) -> None:
-    """Chunks as lines of JSON; documents share `buckets` folders by a hash of their id, each of about `files` files."""
-    _bucketed(chunks, buckets).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(files))).write.partitionBy("bucket").json(path)
+    """Chunks as lines of JSON; documents share `buckets` folders by a hash of their id, each of about `files` files.
+
+    Columns that are null everywhere are written too, so that read_chunk_lines gets the columns back.
+    """
+    _bucketed(chunks, buckets).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(files))).write.partitionBy("bucket").option("ignoreNullFields", False).json(path)
+
+
+def read_chunk_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """What write_chunk_json wrote, with the columns of `schema`; an empty folder gives an empty table."""
+    return spark.read.schema(schema).json(path, recursiveFileLookup=True, pathGlobFilter="*.json")
 
 
 def write_chunk_text(exported: DataFrame, path: str, buckets: int = 64) -> None:
@@ -54,10 +63,14 @@ def write_chunk_text(exported: DataFrame, path: str, buckets: int = 64) -> None:
     rows.write.partitionBy("bucket", "document_id").text(path)
 
 
-def write_embeddings(embedded: DataFrame, path: str) -> DataFrame:
-    """Vectors as Parquet; returns the index (chunk_id, chunk_file)."""
-    embedded.write.parquet(path)
-    written = embedded.sparkSession.read.parquet(path)
+def write_embeddings(embedded: DataFrame, path: str, as_json: bool = False) -> DataFrame:
+    """Vectors as Parquet, or as lines of JSON if wanted; returns the index (chunk_id, chunk_file)."""
+    if as_json:
+        embedded.write.option("ignoreNullFields", False).json(path)
+        written = embedded.sparkSession.read.schema(embedded.schema).json(path)
+    else:
+        embedded.write.parquet(path)
+        written = embedded.sparkSession.read.parquet(path)
     return written.select("chunk_id", F.col("_metadata.file_name").alias("chunk_file"))
 
 
@@ -66,13 +79,24 @@ def write_collection(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
 
 
-def rewrite_collection(entries: DataFrame, path: str, staging: str) -> None:
+def rewrite_collection(entries: DataFrame, path: str, staging: str, names: list[str] | None = None) -> None:
     """write_collection for entries that were read from `path` itself: written to `staging` first, then swapped in.
 
-    If the job stops in between, the staged entries are whole and the path is as it was or is written again from them.
+    `names` are the collections that the entries stand for: those of them without entries go. Without `names` the
+    collections that have entries are replaced and the others stay. If the job stops in between, the staged entries
+    are whole. Where readers must never see a half, sources.snapshots keeps collections.
     """
+    spark = entries.sparkSession
     entries.write.mode("overwrite").parquet(staging)
-    write_collection(entries.sparkSession.read.schema(entries.schema).parquet(staging), path)
+    staged = spark.read.schema(entries.schema).parquet(staging)
+    write_collection(staged, path)
+    if names:
+        left = {r["collection"] for r in staged.where(F.col("collection").isin(names)).select("collection").distinct().collect()}
+        kind = spark._jvm.org.apache.hadoop.fs.Path
+        escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for name in set(names) - left:
+            folder = kind(f"{path}/collection={escaped(name)}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def append_logs(logs: DataFrame, path: str) -> None:
