@@ -135,13 +135,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, shingles) of every row of docs whose id is needed: the whole set.
+    """(rep, shingles) of every row of docs whose id is needed and that has a set: the whole set.
 
     The ids grow with the corpus, so they are not broadcast at any size: texts move to them once, unsorted.
     """
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(needed.hint("shuffle_hash"), "rep")
     schema = T.StructType([texts.schema["rep"]]).add("shingles", T.ArrayType(T.LongType()))
-    return texts.select("rep", "text").mapInArrow(_sets, schema)
+    return texts.select("rep", "text").mapInArrow(_sets, schema).where(F.size("shingles") > 0)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, *, per_cent: int = 85, id_col: str = "doc_i
     Documents are linked if their sets of shingles have a Jaccard similarity of per_cent / 100 or more. n_shingles
     is the size of the set, component_id the least id reachable over links, itself included, kept whether they are
     equal. Null texts and texts without words have no shingles and no links. Rows of one id are one document for
-    the links; a null id has no links. An empty table gives an empty one.
+    the links, whatever else some of its rows hold; a null id has no links. Very long texts count whole. Other columns
+    of docs are left out, whatever their names. An empty table gives an empty one.
     """
     sketch = save(sketches(docs, id_col, text_col), "minhash-sketches")
     some = sketch.where("n_shingles > 0 and id is not null")
