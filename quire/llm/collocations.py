@@ -37,17 +37,17 @@ WITHIN = 50
 #: A language of texts without one.
 NO_LANG = "und"
 #: Bytes of distinct pieces after which a task hands on its counts; bytes of pieces taken apart at once.
-PIECES_BYTES, BLOCK_BYTES = 48 << 20, 24 << 20
+PIECES_BYTES, BLOCK_BYTES = 24 << 20, 12 << 20
 #: Words of one bucket, each the start of MAX_WORDS n-grams.
 BUCKET_WORDS = 4_000_000
 #: Memory of duckdb in one task; beyond that it writes to the task's folder.
-MEMORY = "400MB"
+MEMORY = "256MB"
 #: A-Z in lower case, every piece's end as a line feed, tabs as spaces.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 #: Buckets at most; in larger tables duckdb writes more of each to disk.
 MOST_BUCKETS = 1 << 15
 #: Rows that duckdb gets at once.
-ROWS = 1_000_000
+ROWS = 400_000
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
