@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from quire.functions.chunkers import ChunkConfig
 from quire.functions.text import slug
 from quire.operators import catalog, chunking, collection, context, conversations, layout, rerank, search, timing, vectors
 from quire.sources.corpus import Corpus, with_sql
+from quire.sources.kept import shared_folder
+from quire.streaming import progress
 
 QUERIES: dict[str, tuple[Callable[[Corpus], DataFrame], str | None]] = {}
 
@@ -232,9 +235,12 @@ def attach_embeddings(c: Corpus) -> DataFrame:
     return vectors.attach_embeddings(c.chunks, made).select("document_id", "chunk_index", "embedding_dimension", "length")
 
 
-query("pairwise_similarity", "SELECT q.vec_id AS query_id, e.id, round(list_dot_product(q.v, e.v), 6) AS similarity FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM entries WHERE vec_id % 20 = 0) q JOIN (SELECT id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM entries) e ON q.vec_id <> e.vec_id WHERE round(list_dot_product(q.v, e.v), 6) >= 0.25")(
+query("similar_entries", "SELECT q.vec_id AS query_id, e.id, round(list_dot_product(q.v, e.v), 6) AS similarity FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM entries WHERE vec_id % 20 = 0) q JOIN (SELECT id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM entries) e ON q.vec_id <> e.vec_id WHERE round(list_dot_product(q.v, e.v), 6) >= 0.25")(
     lambda c: search.similar_entries(c.queries, c.collection, 0.25).where(F.col("id") != F.concat(F.lit("doc_"), "query_id", F.lit("_chunk_0")))
 )
+query("pairwise_similarity", f"SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 6) AS similarity FROM (SELECT id, {_DOUBLE} AS v FROM entries) a JOIN (SELECT id, {_DOUBLE} AS v FROM entries) b ON a.id < b.id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.4")(
+    lambda c: vectors.similar_pairs(c.collection, 0.4)
+)
 query("item_neighbors", "SELECT 'doc_5_chunk_0' AS item, id, round(list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM entries WHERE vec_id = 5)), 6) AS similarity FROM entries WHERE vec_id <> 5 ORDER BY similarity DESC, id LIMIT 3")(
     lambda c: vectors.item_neighbors(c.collection, F.lit("doc_5_chunk_0"))
 )
@@ -490,6 +496,16 @@ def document_counts(c: Corpus) -> DataFrame:
     return catalog.document_counts(c.documents.select("document_id", "title", "status"), children, ["completed", "failed"]).drop("status")
 
 
+_KINDS = {"pages": "raw_pages", "images": "elements WHERE class = 'Picture'", "tables": "elements WHERE class = 'Table'", "chunks": "chunks"}
+_COUNTS = " ".join(f"LEFT JOIN (SELECT document_id, count(*) AS {kind} FROM {rows} GROUP BY document_id) USING (document_id)" for kind, rows in _KINDS.items())
+
+
+@query("stage_totals", f"SELECT document_id, title, {', '.join(f'coalesce({kind}, 0) AS total_{kind}' for kind in _KINDS)} FROM docs {_COUNTS}")
+def stage_totals(c: Corpus) -> DataFrame:
+    children = {"pages": c.pages, "images": _assets(c, "Picture"), "tables": _assets(c, "Table"), "chunks": c.chunks}
+    return catalog.stage_totals(c.documents.select("document_id", "title"), children)
+
+
 query("document_detail", "SELECT document_id, chunk_index, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS INTEGER) AS nth FROM chunks) WHERE nth <= 50")(lambda c: catalog.first_of_each(c.chunks.select("document_id", "chunk_index"), 50, "chunk_index"))
 query("document_status", "SELECT document_id, status, coalesce((SELECT string_agg(message, ' | ' ORDER BY nth) FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, log_id DESC) AS nth FROM logs) l WHERE l.document_id = d.document_id AND nth <= 5), '') AS messages FROM docs d")(
     lambda c: catalog.document_status(c.documents.select("document_id", "status"), c.logs)
@@ -529,6 +545,19 @@ query(
     "pipeline_state",
     "SELECT document_id, arg_max(stage, o) AS stage, arg_max(level, o) AS level, arg_min(message, o) FILTER (WHERE level = 'error') AS first_error FROM (SELECT *, row_number() OVER (ORDER BY created_at, log_id) AS o FROM logs) GROUP BY document_id",
 )(lambda c: catalog.pipeline_state(c.logs))
+_PROGRESS = """SELECT *, CASE stage WHEN 'parsing' THEN CASE level WHEN 'success' THEN 30 ELSE 10 END WHEN 'chunking' THEN CASE level WHEN 'success' THEN 50 ELSE 35 END WHEN 'embedding' THEN CASE level WHEN 'success' THEN 75 ELSE 55 END ELSE CASE level WHEN 'success' THEN 100 ELSE 80 END END AS percent
+  FROM (SELECT document_id, arg_max(stage, o) AS stage, arg_max(level, o) AS level, arg_min(message, o) FILTER (WHERE level = 'error') AS first_error FROM (SELECT *, row_number() OVER (ORDER BY created_at, log_id) AS o FROM logs) GROUP BY document_id)"""
+query("pipeline_progress", _PROGRESS)(lambda c: progress.pipeline_progress(c.logs))
+
+
+@query("progress_stream", _PROGRESS)
+def progress_stream(c: Corpus) -> DataFrame:
+    """The same rows from the log table as a stream, run to its end."""
+    place = f"{shared_folder(c.spark)}/progress-{uuid.uuid4().hex}"
+    progress.progress_stream(c.log_stream, f"{place}/rows", f"{place}/checkpoint", late="10000 days").awaitTermination()
+    return progress.latest_progress(c.spark, f"{place}/rows")
+
+
 query("log_report", "SELECT stage, level, count(*) AS n FROM logs GROUP BY ALL")(lambda c: catalog.log_report(c.logs))
 
 

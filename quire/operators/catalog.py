@@ -48,6 +48,21 @@ def document_counts(documents: DataFrame, children: dict[str, DataFrame], status
     return out
 
 
+def stage_totals(documents: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
+    """Documents with total_<kind> of each kind of children, 0 without any; a total that was there is replaced.
+
+    Children are counted where they are read, before counts move.
+    """
+    kept = documents.drop(*[f"total_{name}" for name in children])
+    counted = None
+    for name, df in children.items():
+        one = df.groupBy("document_id").agg(F.count("*").alias("n")).select("document_id", F.lit(name).alias("kind"), "n")
+        counted = one if counted is None else counted.unionByName(one)
+    totals = counted.groupBy("document_id").agg(*[F.sum(F.when(F.col("kind") == name, F.col("n"))).alias(f"total_{name}") for name in children])
+    out = kept.join(totals, "document_id", "left")
+    return out.withColumns({f"total_{name}": F.coalesce(f"total_{name}", F.lit(0)) for name in children})
+
+
 def first_of_each(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first n rows of each document."""
     return df.withColumn("nth", F.row_number().over(Window.partitionBy("document_id").orderBy(*order))).where(F.col("nth") <= n)

@@ -87,11 +87,20 @@ class Corpus:
         """(query_id, text) of benchmark items."""
         return self.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
-    @cached_property
-    def logs(self) -> DataFrame:
+    def _logs(self, events: DataFrame) -> DataFrame:
         kind = F.col("event_type")
         level = F.when(kind == "error", "error").when(kind == "click", "warning").when(kind == "purchase", "success").otherwise("info")
-        return self.table("events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("log_id"), level.alias("level"), _pick(("parsing", "chunking", "embedding", "indexing"), F.col("event_id")).alias("stage"), F.concat(kind, F.lit(" "), "event_id").alias("message"), F.col("ts").alias("created_at"))
+        return events.select(F.col("user_id").alias("document_id"), F.col("event_id").alias("log_id"), level.alias("level"), _pick(("parsing", "chunking", "embedding", "indexing"), F.col("event_id")).alias("stage"), F.concat(kind, F.lit(" "), "event_id").alias("message"), F.col("ts").alias("created_at"))
+
+    @cached_property
+    def logs(self) -> DataFrame:
+        return self._logs(self.table("events"))
+
+    @cached_property
+    def log_stream(self) -> DataFrame:
+        """The logs as a stream of the files of their table."""
+        schema = self.table("events").schema
+        return self._logs(self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir))
 
     @cached_property
     def timings(self) -> DataFrame:
