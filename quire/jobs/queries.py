@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.chunkers import ChunkConfig
 from quire.functions.text import slug
-from quire.operators import catalog, chunking, collection, context, conversations, layout, rerank, search, timing, vectors
+from quire.operators import ann, catalog, chunking, collection, context, conversations, layout, rerank, search, timing, vectors
 from quire.sources.corpus import Corpus, with_sql
 from quire.sources.kept import shared_folder
 from quire.streaming import progress
@@ -263,7 +263,8 @@ query("knn_cosine", _near_sql("distance"))(_near("cosine"))
 query("knn_l2", _near_sql("l2"))(_near("l2"))
 query("knn_ip", _near_sql("ip"))(_near("ip"))
 query("knn_columns", _near_sql("distance"))(lambda c: search.knn_columns(c.queries, c.collection).select("query_id", "rank", "id", "distance", "similarity"))
-query("knn_ann")(lambda c: search.knn_ann(c.queries, c.collection))
+query("knn_ann")(lambda c: ann.knn_quantised(c.queries, c.collection))
+query("knn_cells")(lambda c: search.knn_ann(c.queries, c.collection))
 query("search_text", _text_near_sql("SELECT id, document AS text FROM entries"))(lambda c: search.search_text(c.questions, vectors.embed(c.collection, "document"), k=3))
 WHERE = {"$and": [{"length": {"$gt": 500}}, {"lang": {"$in": ["en", "de"]}}], "half": "0"}
 query("knn_where", _near_sql("distance", "WHERE length > 500 AND lang IN ('en', 'de') AND vec_id % 2 = 0"))(lambda c: search.knn(c.queries, c.collection, 5, where_spec=WHERE).select("query_id", "rank", "id", "distance", "similarity"))

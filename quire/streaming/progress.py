@@ -59,7 +59,7 @@ def progress(logs: DataFrame, late: str = "1 hour", idle_s: int = 24 * 3600) ->
             state.setTimeoutTimestamp(wait)
         yield pd.DataFrame([(key[0], stage, level, error, at, number)], columns=["document_id", "stage", "level", "first_error", "seen_at", "seen_id"])
 
-    rows = logs.select("document_id", "log_id", "stage", "level", "message", "created_at").withWatermark("created_at", late)
+    rows = logs.select("document_id", "log_id", "stage", "level", "message", F.col("created_at").cast("timestamp").alias("created_at")).withWatermark("created_at", late)
     return rows.groupBy("document_id").applyInPandasWithState(fold, ROWS, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
