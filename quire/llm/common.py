@@ -27,13 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables that this process has written to shared folders and not removed.
+_saved: list[str] = []
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _saved.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> int:
+    """Remove the tables that `save` has written so far; the results that are read from them are gone then, too."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    n = len(_saved)
+    while _saved:
+        place = kind(_saved.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -84,8 +84,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_rows:
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with held_out, score and predicted; only the text makes the score.
 
-    A null or empty text has the score of the bias alone. Columns of these names in docs are replaced. A null id is
-    not held out.
+    A null or empty text has the score of the bias alone. Texts of any length count whole. Rows that repeat, and rows
+    of one id with different texts, are scored each by its text. An empty table gives an empty one. Columns of these
+    names in docs are replaced. A null id is not held out.
     """
     docs = docs.drop("held_out", "score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -22,7 +22,7 @@ def piece_model() -> str:
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return embedding_dedup.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+    return embedding_dedup.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept", "recall")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
