@@ -137,13 +137,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score", "held_out")
 
 
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op8's result that SQL can say: what rules judge; rule_verdict is null where trees do."""
-    judged = F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict")
-    return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", judged)
+    return url_filter.ruled(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
 _RULES_SQL = ", ".join(f"('{said}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for said, rule in url_filter.RULES)
