@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,10 +19,14 @@ EmbedFn = Callable[[list[str]], np.ndarray]
 def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     """A stand-in for a model: signed feature hashing of words, by the first hexadecimal digits of their MD5."""
     out = np.zeros((len(texts), dim), np.float32)
+    places: dict[str, tuple[int, int]] = {}  # each distinct word is hashed once
     for i, text in enumerate(texts):
-        for word in (text or "").lower().split():
-            h = hashlib.md5(word.encode()).hexdigest()
-            out[i, int(h[:4], 16) % dim] += 1 if h[4] >= "8" else -1
+        for word, times in Counter((text or "").lower().split()).items():
+            if word not in places:
+                h = hashlib.md5(word.encode()).hexdigest()
+                places[word] = int(h[:4], 16) % dim, 1 if h[4] >= "8" else -1
+            place, sign = places[word]
+            out[i, place] += sign * times
     return out
 
 
