@@ -64,8 +64,10 @@ def _place() -> Column:
 
 
 def distinct_lines(every: DataFrame) -> DataFrame:
-    """(k1, k2, first, first_text, copies, h0..h3) of every distinct line; `first` is its earliest place, in the text of that key."""
-    return every.groupBy(*_KEY).agg(F.min(_place()).alias("first"), F.min_by("text_key", _place()).alias("first_text"), F.count("*").alias("copies"), *[F.any_value(f"h{s}").alias(f"h{s}") for s in range(4)])
+    """(k1, k2, first, first_text, copies, h0..h3) of every distinct line; `first` is its earliest place, first_text the key of the text if that has no id."""
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("line_no"), F.when(F.col("id").isNull(), F.col("text_key")).alias("text"))
+    found = every.groupBy(*_KEY).agg(F.min(place).alias("f"), F.count("*").alias("copies"), *[F.any_value(f"h{s}").alias(f"h{s}") for s in range(4)])
+    return found.select(*_KEY, F.struct("f.none", "f.id", "f.line_no").alias("first"), F.col("f.text").alias("first_text"), "copies", *[f"h{s}" for s in range(4)])
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,9 +78,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
     flags = halves.join(shared, "half").groupBy(*_KEY).agg(*[F.max((F.col("slot") == s).cast("int")).alias(f"s{s}") for s in range(4)])
     # the words of the lines that may have a near one, from the document where they stand first
     chosen = flags.join(distinct.select(*_KEY, "first", "first_text"), list(_KEY))
-    # by id and text: many rows may have the same id, or none
+    # by id, or without one by text: many rows may have none
     wanted = chosen.groupBy(F.col("first.id").alias("first_id"), "first_text").agg(F.collect_list(F.struct(*_KEY, "s0", "s1", "s2", "s3", "first")).alias("wanted"))
-    there = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (_text_key(F.col("text")) == F.col("first_text")))
+    there = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & F.when(F.col("id").isNull(), _text_key(F.col("text"))).eqNullSafe(F.col("first_text")))
     there = there.withColumn("all_lines", F.split("text", "\n"))
     there = there.select(F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("all_lines", w["first"]["line_no"]).alias("line")))).alias("x"))
     chosen = there.select("x.w.*", normal(F.col("x.line")).alias("norm")).where(F.xxhash64("norm") == F.col("k1")).dropDuplicates(list(_KEY))
