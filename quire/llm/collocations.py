@@ -37,17 +37,17 @@ WITHIN = 50
 #: A language of texts without one.
 NO_LANG = "und"
 #: Bytes of distinct pieces after which a task hands on its counts; bytes of pieces taken apart at once.
-PIECES_BYTES, BLOCK_BYTES = 24 << 20, 12 << 20
+PIECES_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
 #: Words of one bucket, each the start of MAX_WORDS n-grams.
-BUCKET_WORDS = 4_000_000
+BUCKET_WORDS = 1_000_000
 #: Memory of duckdb in one task; beyond that it writes to the task's folder.
-MEMORY = "256MB"
+MEMORY = "192MB"
 #: A-Z in lower case, every piece's end as a line feed, tabs as spaces.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 #: Buckets at most; in larger tables duckdb writes more of each to disk.
 MOST_BUCKETS = 1 << 15
 #: Rows that duckdb gets at once.
-ROWS = 400_000
+ROWS = 200_000
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,8 +104,8 @@ def stretches(piece: bytes, spare: int, limit: int) -> Iterator[tuple[bytes, int
     yield piece[at:], 0
 
 
-def n_grams(held: list[bytes], times: np.ndarray, tails: np.ndarray, max_words: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(lines, totals, hashes) of the distinct n-grams of some pieces, each with a line feed at its end.
+def n_grams(held: list[bytes], times: np.ndarray, tails: np.ndarray, max_words: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(lines, totals, hashes) of the distinct n-grams of some pieces, for each number of words in turn.
 
     Words are numbered in order; an n-gram of k words is the number of its first k - 1 and that of its last, which is
     numbered again in the same way. So nothing but these numbers is sorted, and nothing collides.
@@ -128,7 +128,7 @@ def n_grams(held: list[bytes], times: np.ndarray, tails: np.ndarray, max_words:
     weight = times[piece]
     left = end - np.arange(n)  # words up to the piece's end
     begins = left > tails[piece]
-    number, lines, totals, codes = ids, [], [], []
+    number = ids
     for k in range(1, max_words + 1):
         at = np.flatnonzero(begins & (left >= k))
         if not len(at):
@@ -140,30 +140,30 @@ def n_grams(held: list[bytes], times: np.ndarray, tails: np.ndarray, max_words:
         new[1:] = key[1:] != key[:-1]
         number = np.zeros(n, np.int64)
         number[at] = np.cumsum(new) - 1
-        totals.append(np.add.reduceat(weight[at], np.flatnonzero(new)))
+        totals = np.add.reduceat(weight[at], np.flatnonzero(new))
         first = at[new]
         code = np.full(len(first), np.uint64(k))
         for j in range(k):
             code = mix(code * _NEXT + hashes[ids[first + j]])
-        codes.append(code)
-        lines.append(pc.binary_join_element_wise(*[known.take(pa.array(ids[first + j])) for j in range(k)], b""))
-    return pa.concat_arrays(lines), np.concatenate(totals), np.concatenate(codes)
+        yield pc.binary_join_element_wise(*[known.take(pa.array(ids[first + j])) for j in range(k)], b""), totals, code
 
 
 def _bucketed(lang: str, held: list[bytes], times: list[int], tails: list[int], max_words: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, lang, lines, totals): the n-grams of some pieces in compressed lines, in order within a bucket."""
-    lines, totals, codes = n_grams(held, np.array(times, np.int64), np.array(tails, np.int64), max_words)
-    bucket = (codes % np.uint64(buckets)).astype(np.uint16)
-    order = np.argsort(bucket, kind="stable")
-    bucket, totals, lines = bucket[order], totals[order], lines.take(pa.array(order))
-    offsets = np.frombuffer(lines.buffers()[1], np.int32)[: len(lines) + 1]
-    data = np.frombuffer(lines.buffers()[2], np.uint8).copy()
-    data[offsets[1:] - 1] = 10
     press = zstandard.ZstdCompressor(level=3)
-    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-    for a, b in zip(edges, edges[1:]):
-        told = [press.compress(data[offsets[a] : offsets[b]].tobytes()), press.compress(totals[a:b].tobytes())]
-        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([lang], pa.string()), *[pa.array([x], pa.binary()) for x in told]], ["bucket", "lang", "lines", "totals"])
+    for lines, totals, codes in n_grams(held, np.array(times, np.int64), np.array(tails, np.int64), max_words):
+        bucket = (codes % np.uint64(buckets)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        bucket, totals, lines = bucket[order], totals[order], lines.take(pa.array(order))
+        offsets = np.frombuffer(lines.buffers()[1], np.int32)[: len(lines) + 1]
+        data = np.frombuffer(lines.buffers()[2], np.uint8).copy()
+        del lines
+        data[offsets[1:] - 1] = 10
+        edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        for a, b in zip(edges, edges[1:]):
+            told = [press.compress(data[offsets[a] : offsets[b]].tobytes()), press.compress(totals[a:b].tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([lang], pa.string()), *[pa.array([x], pa.binary()) for x in told]], ["bucket", "lang", "lines", "totals"])
+    pa.default_memory_pool().release_unused()
 
 
 # ----------------------------------------------------------------- counts by bucket
@@ -202,6 +202,7 @@ class _Bucket:
         out = self.db.sql(added).to_arrow_table().to_batches(max_chunksize=10_000)
         self.db.close()
         self.folder.cleanup()
+        pa.default_memory_pool().release_unused()
         return out
 
 
