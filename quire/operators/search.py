@@ -307,15 +307,17 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFra
     distinct token is posted under its substrings of the lengths that words have, and a word finds the tokens that
     hold it by an equi-join. Of words longer than KEY_CHARS the beginning is looked up, the token decides.
     """
-    split = lambda c: F.explode(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    asked = queries.select("query_id", split("text").alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    split = lambda c, name: F.explode(F.split(F.lower(c), r"\s+")).alias(name)
+    asked = queries.select("query_id", split("text", "word")).where("word <> ''").groupBy("query_id", "word").agg(F.count("*").alias("times"))
     words = asked.select("word").distinct().withColumn("key", F.substring("word", 1, KEY_CHARS))
     lengths = sorted(r["n"] for r in words.select(F.length("key").alias("n")).distinct().collect())  # KEY_CHARS at most
     if not lengths:
         lengths = [1]
-    tokens = chunks.select("id", split("content").alias("token")).groupBy("id", "token").agg(F.count("*").alias("freq"))
-    # few bytes but much work for each token, so the tokens are dealt over all tasks
-    vocabulary = tokens.select("token").distinct().repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+    tokens = chunks.select("id", split("content", "token")).where("token <> ''").groupBy("id", "token").agg(F.count("*").alias("freq"))
+    # few bytes but much work for each token, so the tokens are dealt over all tasks; counts are kept up to here, so
+    # that the shuffle of the texts' tokens serves twice
+    vocabulary = tokens.groupBy("token").agg(F.sum("freq").alias("all")).where("all > 0").select("token")
+    vocabulary = vocabulary.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
     holding = postings(vocabulary, lengths).join(words, "key").select("token", "word", occurrences(F.col("token"), F.col("word")).alias("n")).where("n > 0")
     counted = tokens.join(holding, "token").groupBy("id", "word").agg(F.sum(F.col("freq") * F.col("n")).alias("n"))
     found = counted.join(asked, "word").groupBy("query_id", "id").agg(F.sum(F.col("n") * F.col("times")).cast("int").alias("score"))
