@@ -205,12 +205,17 @@ def similar_entries(queries: DataFrame, entries: DataFrame, least: float) -> Dat
 
 
 def knn_columns(queries: DataFrame, entries: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
-    """The same by columns alone, for queries of up to QUERY_NUMBERS numbers, which are broadcast; each task ranks before rows move."""
+    """The same by columns alone. Queries of up to QUERY_NUMBERS numbers are broadcast; more meet the entries by tiles,
+    each block of queries and tile of entries by an equi-join. Each task ranks before rows move."""
     asked = queries.select("query_id", F.col("embedding").alias("q"))
-    numbers = asked.agg(F.sum(F.size("q")).alias("n")).first()["n"] or 0
-    if numbers > QUERY_NUMBERS:
-        raise ValueError("so many queries want knn, which deals them into tiles")
-    both = entries.select("id", "embedding").join(F.broadcast(asked))
+    size = asked.agg(F.count("*").alias("rows"), F.sum(F.size("q")).alias("numbers")).first()
+    own = entries.select("id", "embedding")
+    if (size["numbers"] or 0) <= QUERY_NUMBERS:
+        both = own.join(F.broadcast(asked))
+    else:
+        n_blocks, n_tiles = -(-size["rows"] // TILE_QUERIES), max(1, -(-entries.count() // TILE_ENTRIES))
+        place = lambda df, key, one, n, other, m: df.withColumns({one: F.pmod(F.xxhash64(key), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+        both = place(own, "id", "tile", n_tiles, "block", n_blocks).join(place(asked, "query_id", "block", n_blocks, "tile", n_tiles), ["block", "tile"])
     return _ranked(both.select("query_id", "id", F.round(distance(F.col("embedding"), F.col("q"), metric), 6).alias("distance")), k)
 
 
