@@ -123,8 +123,9 @@ def judged_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "
     distinct = save(distinct_lines(every), "distinct-lines")
     near = save(near_lines(docs, distinct, id_col, text_col), "near-lines")
     known = distinct.select(*_KEY, "first", "copies").join(near, list(_KEY), "left").where("copies > 1 or partner is not null").select(*_KEY, "first", F.col("partner").isNotNull().alias("near"))
-    found = every.select("id", "text_key", "line_no", _place().alias("place"), *_KEY).join(known, list(_KEY))
-    goes = F.when(F.col("first") < F.col("place"), 1).when(F.col("near"), 2)
+    # a line's place is put together behind the join, so that its id moves once
+    found = every.select("id", "text_key", "line_no", *_KEY).join(known, list(_KEY))
+    goes = F.when(F.col("first") < _place(), 1).when(F.col("near"), 2)
     return found.select("id", "text_key", "line_no", goes.alias("goes")).where("goes is not null").groupBy("id", "text_key").agg(F.sort_array(F.collect_set(F.struct("line_no", "goes"))).alias("gone"))
 
 
