@@ -66,7 +66,7 @@ def _place() -> Column:
 def distinct_lines(every: DataFrame) -> DataFrame:
     """(k1, k2, first, first_text, copies, h0..h3) of every distinct line; `first` is its earliest place, first_text the key of the text if that has no id."""
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("line_no"), F.when(F.col("id").isNull(), F.col("text_key")).alias("text"))
-    found = every.groupBy(*_KEY).agg(F.min(place).alias("f"), F.count("*").alias("copies"), *[F.any_value(f"h{s}").alias(f"h{s}") for s in range(4)])
+    found = every.groupBy(*_KEY).agg(F.min(place).alias("f"), F.count("*").alias("copies"), *[F.max(f"h{s}").alias(f"h{s}") for s in range(4)])
     return found.select(*_KEY, F.struct("f.none", "f.id", "f.line_no").alias("first"), F.col("f.text").alias("first_text"), "copies", *[f"h{s}" for s in range(4)])
 
 
@@ -75,7 +75,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
     slots = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"h{s}").alias("half")) for s in range(4)])).alias("h")
     halves = distinct.select(*_KEY, slots).where("h.half is not null").select(*_KEY, "h.slot", "h.half")
     shared = halves.groupBy("half").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most").select("half")
-    flags = halves.join(shared, "half").groupBy(*_KEY).agg(*[F.max((F.col("slot") == s).cast("int")).alias(f"s{s}") for s in range(4)])
+    flags = halves.join(shared, "half").groupBy(*_KEY).agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("slots"))
+    flags = flags.select(*_KEY, *[F.getbit("slots", F.lit(s)).cast("int").alias(f"s{s}") for s in range(4)])
     # the words of the lines that may have a near one, from the document where they stand first
     chosen = flags.join(distinct.select(*_KEY, "first", "first_text"), list(_KEY))
     # by id, or without one by text: many rows may have none
