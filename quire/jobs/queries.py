@@ -223,7 +223,7 @@ def _text_near_sql(entries: str, shown: str = "") -> str:
 query("embed_chunks", _embedded_sql(f"SELECT document_id, chunk_index, content AS text FROM ({_HYBRID_SQL})", "document_id, chunk_index"))(lambda c: vectors.embed(chunking.chunk_documents(c.markdown, HYBRID), "content").select("document_id", "chunk_index", "embedding"))
 _DOUBLE = "CAST(embedding AS DOUBLE[])"
 query("normalize_vectors", f"SELECT id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) AS embedding FROM (SELECT id, {_DOUBLE} AS v FROM entries)")(
-    lambda c: vectors.normalize_vectors(c.collection).select("id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    lambda c: vectors.normalize_vectors(c.collection).select("id", F.transform("embedding", lambda x: vectors.rounded(x)).alias("embedding"))
 )
 query("vector_profile", f"SELECT id, CAST(len(embedding) AS INTEGER) AS dims, round(sqrt(list_dot_product({_DOUBLE}, {_DOUBLE})), 6) AS norm FROM entries")(lambda c: vectors.vector_profile(c.collection))
 query("vector_preview", "SELECT id, embedding[1:5] AS preview FROM entries")(lambda c: vectors.vector_preview(c.collection))

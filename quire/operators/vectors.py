@@ -63,6 +63,15 @@ def normalize_vectors(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     return df.withColumn(vec_col, F.transform(vec_col, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n)))
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """A double to so many places as C's round does it: halves away from zero, and a zero keeps its sign."""
+    scaled = F.abs(x) * 10.0**places
+    whole = F.floor(scaled)
+    near = (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**places
+    # beyond 2 ** 52 a double has no fraction; neither have those that are not finite
+    return F.when(scaled < 2.0**52, F.signum(x) * near).otherwise(x)
+
+
 def vector_profile(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     return df.select("id", F.size(vec_col).alias("dims"), F.round(norm(F.col(vec_col)), 6).alias("norm"))
 
