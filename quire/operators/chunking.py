@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from quire.functions.chunkers import CHUNKERS, ChunkConfig, Piece, pack
 from quire.functions.text import newlines, ordered_join, preview, strip, word_count
 
 CHUNK_SCHEMA = "document_id long, chunk_index int, chunk_id string, content string, length int, page int, section_title string, strategy string, start_pos int, end_pos int, source_file string, total_chunks int"
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+#: Chunks and characters of chunks that a task hands on at once, whatever the number and length of its texts.
+BATCH_ROWS, BATCH_CHARS = 1_000, 1_000_000
 
 
 def chunk_documents(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), chunk_fn: Callable[[str, ChunkConfig], Iterator[Piece]] | None = None) -> DataFrame:
@@ -24,18 +28,27 @@ def chunk_documents(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), chunk_fn:
     Line ends are made \\n first. Null or empty text: no chunks. chunk_fn replaces the configured strategy.
     """
     cut = chunk_fn or CHUNKERS[cfg.kind]
-    names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
+    schema = pa.schema([(name, ARROW[kind]) for name, kind in (c.split() for c in CHUNK_SCHEMA.split(", "))])
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for batch in batches:
-            out = []
-            for doc, name, text in zip(batch["document_id"], batch["source_file"], batch["markdown"]):
+            for row in range(batch.num_rows):  # one text at a time is a string, the others stay in their batch
+                doc, name, text = (batch.column(c)[row].as_py() for c in ("document_id", "source_file", "markdown"))
                 pieces = list(cut(text, cfg)) if text else []
-                out += [(doc, k, f"chunk_{k:04d}", p.content, len(p.content), p.page, p.title, p.strategy, p.start, p.end, name, len(pieces)) for k, p in enumerate(pieces)]
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"page": "Int32", "start_pos": "Int32", "end_pos": "Int32"})
-
-    return docs.select("document_id", "source_file", newlines(F.col("markdown")).alias("markdown")).mapInPandas(rows, CHUNK_SCHEMA)
+                for k, p in enumerate(pieces):
+                    out.append((doc, k, f"chunk_{k:04d}", p.content, len(p.content), p.page, p.title, p.strategy, p.start, p.end, name, len(pieces)))
+                    held += len(p.content)
+                    if held >= BATCH_CHARS or len(out) >= BATCH_ROWS:
+                        yield made(out)
+                        out, held = [], 0
+        if out:
+            yield made(out)
+
+    return docs.select(F.col("document_id").cast("long").alias("document_id"), "source_file", newlines(F.col("markdown")).alias("markdown")).mapInArrow(rows, CHUNK_SCHEMA)
 
 
 def sections(docs: DataFrame) -> DataFrame:

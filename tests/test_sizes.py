@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 
+from quire.functions.chunkers import ChunkConfig
 from quire.jobs import queries as Q
-from quire.operators import search, vectors
+from quire.operators import chunking, search, vectors
 from quire.sources.corpus import Corpus
 
 
@@ -61,3 +62,16 @@ def test_columns_rank_only_pairs_within_a_bound(spark, monkeypatch):
             assert _found(search.knn_columns(queries, entries, 5, metric)) == want
     few = search.knn_columns(queries, entries.limit(3), 5)
     assert _found(few) == _found(search.knn(queries, entries.limit(3), 5))
+
+
+def test_chunks_leave_in_bounded_batches(spark, monkeypatch):
+    """A task hands on chunks in batches of bounded size, not one for all texts of a batch; all of them come."""
+    docs = spark.range(40).selectExpr("id as document_id", "'d' as source_file", "repeat('some words of a paragraph\n\n', 400) as markdown").coalesce(1)
+    sizes = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema: (f, df, schema))
+    f, given, _ = chunking.chunk_documents(docs, ChunkConfig(chunk_size=400, overlap=80, max_size=1000))
+    for batch in f(iter(given.toArrow().to_batches())):
+        sizes.append(batch.num_rows)
+    assert len(sizes) > 1 and max(sizes) <= chunking.BATCH_ROWS
+    monkeypatch.undo()
+    assert chunking.chunk_documents(docs, ChunkConfig(chunk_size=400, overlap=80, max_size=1000)).count() == sum(sizes)
