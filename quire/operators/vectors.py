@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that embed hands on at once; a multiple of the usual batches of models.
+EMBED_ROWS = 1024
 EmbedFn = Callable[[list[str]], np.ndarray]
 
 
@@ -36,7 +38,7 @@ def embed(df: DataFrame, text_col: str, embed_fn: EmbedFn = hash_embed, *, batch
     schema = T.StructType(list(df.schema.fields)).add(out, T.ArrayType(T.FloatType(), False))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[a : a + EMBED_ROWS] for whole in batches for a in range(0, len(whole), EMBED_ROWS)):
             texts = batch[text_col].fillna("").tolist()
             made = [np.asarray(embed_fn(texts[a : a + batch_size]), np.float32) for a in range(0, len(texts), batch_size)]
             mat = np.concatenate(made) if made else np.zeros((0, 1), np.float32)
