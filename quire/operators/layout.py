@@ -20,10 +20,11 @@ PADDING = {"Table": 25, "Figure": 15, "Picture": 15, "Formula": 30}
 
 def layout_elements(pages: DataFrame) -> DataFrame:
     """One row for each element of pages (document_id, page_number, raw); text between elements is dropped."""
-    found = F.transform(F.regexp_extract_all("raw", F.lit(ELEMENT), F.lit(0)), lambda e: F.struct(*[F.regexp_extract(e, ELEMENT, k).alias(f"g{k}") for k in range(1, 7)]))
+    # an element is matched once more, not once for each tag; of its parts only the content, put last, may hold a >
+    found = F.transform(F.regexp_extract_all("raw", F.lit(ELEMENT), F.lit(0)), lambda e: F.split(F.regexp_replace(e, ELEMENT, "$1>$2>$4>$5>$6>$3"), ">", 6))
     rows = pages.select(*_PAGE, F.posexplode(found).alias("ord", "e"))
-    number = lambda k: F.expr(f"try_cast(e.g{k} as double)")
-    return rows.select(*_PAGE, "ord", number(1).alias("x1"), number(2).alias("y1"), number(4).alias("x2"), number(5).alias("y2"), F.col("e.g6").alias("class"), F.col("e.g3").alias("content"))
+    number = lambda k: F.expr(f"try_cast(e[{k}] as double)")
+    return rows.select(*_PAGE, "ord", number(0).alias("x1"), number(1).alias("y1"), number(2).alias("x2"), number(3).alias("y2"), F.col("e")[4].alias("class"), F.col("e")[5].alias("content"))
 
 
 def layout_page_check(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 
 from quire.functions.chunkers import ChunkConfig
 from quire.jobs import queries as Q
-from quire.operators import chunking, search, vectors
+from quire.operators import chunking, layout, search, vectors
 from quire.sources.corpus import Corpus
 
 
@@ -75,3 +75,11 @@ def test_chunks_leave_in_bounded_batches(spark, monkeypatch):
     assert len(sizes) > 1 and max(sizes) <= chunking.BATCH_ROWS
     monkeypatch.undo()
     assert chunking.chunk_documents(docs, ChunkConfig(chunk_size=400, overlap=80, max_size=1000)).count() == sum(sizes)
+
+
+def test_an_element_is_matched_twice_not_seven_times(spark):
+    raw = "x<x_0.1><y_0.2>a > b\n<x_1 $1 \\ <x_0.3><y_0.4><class_Text><x_1><y_2><x_1.2.3><y_4><class_A b>"
+    got = layout.layout_elements(spark.createDataFrame([(1, 1, raw)], "document_id long, page_number int, raw string"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_") == 2
+    rows = [tuple(r)[2:] for r in got.orderBy("ord").collect()]
+    assert rows == [(0, 0.1, 0.2, 0.3, 0.4, "Text", "a > b\n<x_1 $1 \\ "), (1, 1.0, 2.0, None, 4.0, "A b", "")]
