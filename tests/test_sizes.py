@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import types as T
 
 from quire.functions.chunkers import ChunkConfig
 from quire.jobs import queries as Q
@@ -83,3 +85,15 @@ def test_an_element_is_matched_twice_not_seven_times(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_") == 2
     rows = [tuple(r)[2:] for r in got.orderBy("ord").collect()]
     assert rows == [(0, 0.1, 0.2, 0.3, 0.4, "Text", "a > b\n<x_1 $1 \\ "), (1, 1.0, 2.0, None, 4.0, "A b", "")]
+
+
+def test_vectors_leave_in_bounded_batches():
+    class Rows:
+        schema = T.StructType().add("text", "string")
+        drop = lambda self, name: self
+        mapInPandas = lambda self, f, schema: f
+
+    f = vectors.embed(Rows(), "text", lambda texts: np.array([[len(x), 0] for x in texts]), normalize=False)
+    made = list(f(iter([pd.DataFrame({"text": ["x" * (i % 7) for i in range(3000)]})])))
+    assert [len(b) for b in made] == [1024, 1024, 952]
+    assert [v[0] for b in made for v in b["embedding"]] == [i % 7 for i in range(3000)]
