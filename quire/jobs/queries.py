@@ -565,7 +565,7 @@ query("log_report", "SELECT stage, level, count(*) AS n FROM logs GROUP BY ALL")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From documents to answers: markdown, hybrid chunks, vectors, the three nearest chunks of each benchmark text."""
     c = Corpus(spark, sf_dir)
-    chunks = vectors.embed(chunking.chunk_documents(c.markdown, HYBRID), "content")
+    chunks = vectors.embed(chunking.chunk_documents(c.markdown, HYBRID).select("document_id", "chunk_index", "content"), "content")
     entries = chunks.select(collection.entry_id().alias("id"), "embedding", F.col("content").alias("document"))
     asked = vectors.embed(c.table("benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
     return search.knn(asked, entries, 3, keep=("document",))

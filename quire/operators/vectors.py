@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,20 +15,27 @@ from pyspark.sql import types as T
 
 #: Rows that embed hands on at once; a multiple of the usual batches of models.
 EMBED_ROWS = 1024
+#: Words of which a process keeps the hashes.
+HASHED_WORDS = 65_536
 EmbedFn = Callable[[list[str]], np.ndarray]
 
 
+@lru_cache(HASHED_WORDS)
+def _hashed(word: str) -> tuple[int, int]:
+    """A number of 16 bits and a sign, by the first hexadecimal digits of the MD5."""
+    h = hashlib.md5(word.encode()).hexdigest()
+    return int(h[:4], 16), 1 if h[4] >= "8" else -1
+
+
 def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     """A stand-in for a model: signed feature hashing of words, by the first hexadecimal digits of their MD5."""
     out = np.zeros((len(texts), dim), np.float32)
-    places: dict[str, tuple[int, int]] = {}  # each distinct word is hashed once
     for i, text in enumerate(texts):
-        for word, times in Counter((text or "").lower().split()).items():
-            if word not in places:
-                h = hashlib.md5(word.encode()).hexdigest()
-                places[word] = int(h[:4], 16) % dim, 1 if h[4] >= "8" else -1
-            place, sign = places[word]
-            out[i, place] += sign * times
+        row = [0] * dim
+        for word in (text or "").lower().split():
+            place, sign = _hashed(word)
+            row[place % dim] += sign
+        out[i] = row
     return out
 
 

@@ -132,3 +132,20 @@ def test_counts_of_words_in_windows(monkeypatch):
             for chars in (1, 7, 1000):
                 w = search._words([{"query_id": 1, "words": words}], depth)
                 assert search._counts(texts, w, chars).tolist() == want
+
+
+def test_entries_of_a_search_are_made_once(spark, monkeypatch):
+    """Texts of the few entries that are found are held by the search; chunks and vectors aren't made again for them."""
+    entries, queries = _vectors(spark)
+    entries = entries.selectExpr("id", "embedding", "if(id like '%3', null, concat('text of ', id)) as document", "map('k', id) as extra")
+    rows = lambda: sorted((r["query_id"], r["rank"], r["id"], r["distance"], r["similarity"], r["document"], str(r["extra"])) for r in search.knn(queries, entries, 5, keep=("document", "extra")).collect())
+    made = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapIn")
+    held = rows()
+    docs = spark.createDataFrame([(i, f"word{i} some words of a text", "en", "s", 30) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    asked = spark.createDataFrame([(1, "some words")], "item_id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(Corpus, "table", lambda self, name: {"documents": docs, "benchmark": asked}[name])
+        assert made(Q.flagship(spark, "")) == 3  # chunks, vectors, search
+    monkeypatch.setattr(search, "CARRIED", 0)
+    assert len(held) == 5 * queries.count() and rows() == held
+    assert search.knn(queries, entries.limit(0), keep=("document",)).count() == 0
