@@ -30,6 +30,8 @@ SAMPLE, MOST_CELLS, WIDTH, ENTRIES, ROUNDS = 20_000, 4096, 4, 256, 8
 PROBED, RESCORED = 0.7, 24
 #: Codes of a tile and queries of a block that meet in one place.
 TILE_CODES, BLOCK_QUERIES = 1 << 20, 1024
+#: Codes of the cells of a bundle, to which a query goes as one row.
+BUNDLE_CODES = 16_384
 _CANDIDATES = "query_id long, id string, cell int, near double"
 
 
@@ -123,42 +125,50 @@ def encoded(entries: DataFrame, model: Model) -> DataFrame:
     return entries.select("id", "embedding").where("embedding is not null").mapInArrow(rows, schema)
 
 
-def _probes(queries: DataFrame, model: Model, n: int) -> DataFrame:
-    """(query_id, cell, q) of the n nearest cells of each query; q is a unit vector."""
-    sent = queries.sparkSession.sparkContext.broadcast(model)
+def _probes(queries: DataFrame, model: Model, n: int, bundles: np.ndarray) -> DataFrame:
+    """(query_id, bundle, cells, q): the n nearest cells of each query, those of a bundle in one row; q is a unit vector."""
+    sent = queries.sparkSession.sparkContext.broadcast((model, bundles))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        m, bundle_of = sent.value
+        for batch in (whole.slice(a, BLOCK_QUERIES) for whole in batches for a in range(0, whole.num_rows, BLOCK_QUERIES)):
             x = np.pad(_unit(_matrix(batch.column("embedding"), batch.num_rows)), ((0, 0), (0, -m.dims % WIDTH)))
             cells = _nearest(x, m.centers, n)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(cells.tolist(), pa.list_(pa.int32())), pa.array(x.tolist(), pa.list_(pa.float64()))], ["query_id", "cells", "q"])
+            into = np.zeros((len(x), m.cells), bool)
+            np.put_along_axis(into, cells, True, 1)
+            for bundle in range(bundle_of.max() + 1):
+                own = np.flatnonzero(bundle_of == bundle).astype(np.int32)
+                some = np.flatnonzero(into[:, own].any(1))
+                lists = [own[row] for row in into[np.ix_(some, own)]]
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(some)), pa.array(np.full(len(some), bundle, np.int32)), pa.array(lists, pa.list_(pa.int32())), pa.array(list(x[some]), pa.list_(pa.float64()))], ["query_id", "bundle", "cells", "q"])
 
     placed = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where("embedding is not null")
-    return placed.mapInArrow(rows, "query_id long, cells array<int>, q array<double>").select("query_id", F.explode("cells").alias("cell"), "q")
+    return placed.mapInArrow(rows, "query_id long, bundle int, cells array<int>, q array<double>")
 
 
 def _met(batches: Iterator[pa.RecordBatch], model: Model, keep: int) -> Iterator[pa.RecordBatch]:
-    """The `keep` nearest codes of each query in each place: rows (cell, tile, block, side, query_id, q, id, code), queries first."""
-    now, held, ids, tables, best = None, [], None, None, None
+    """The `keep` nearest codes of each query in each place: rows (bundle, tile, block, cell, query_id, cells, q, id, code).
+
+    Queries come first, with cell -1, then the codes of one cell after the other; a cell's codes meet the queries that
+    look into it.
+    """
+    now, held, ids, tables, best, into = None, [], None, None, None, None
 
     def told():
         if best is not None and len(best[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2].tolist(), pa.string()), pa.array(np.full(len(best[0]), now[0], np.int32)), pa.array(best[1])], ["query_id", "id", "cell", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2].tolist(), pa.string()), pa.array(best[3].astype(np.int32)), pa.array(best[1])], ["query_id", "id", "cell", "near"])
 
     for batch in batches:
-        key = np.stack([batch.column(c).to_numpy() for c in ("cell", "tile", "block", "side")], 1)
+        key = np.stack([batch.column(c).to_numpy() for c in ("bundle", "tile", "block", "cell")], 1)
         edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
         for first, end in zip(edges, edges[1:]):
             if first == end:
                 continue
-            part, place = batch.slice(first, end - first), tuple(key[first][:3])
+            part, place, cell = batch.slice(first, end - first), tuple(key[first][:3]), int(key[first][3])
             if place != now:
                 yield from told()
                 now, held, ids, tables, best = place, [], None, None, None
-            if key[first][3] == 0:
+            if cell < 0:
                 held.append(part)
                 continue
             if tables is None:
@@ -166,41 +176,57 @@ def _met(batches: Iterator[pa.RecordBatch], model: Model, keep: int) -> Iterator
                     continue
                 rows = pa.Table.from_batches(held)
                 ids, held = rows["query_id"].to_numpy(), []
+                lists = rows["cells"].combine_chunks()
+                into = np.zeros((len(ids), model.cells), bool)
+                into[np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
                 q = _matrix(rows["q"].combine_chunks(), len(ids)).reshape(len(ids), len(model.books), WIDTH)
                 # minus twice the product and the entry's square: the order of distances to what a code stands for
                 tables = (model.books**2).sum(2)[None] - 2 * np.einsum("nbw,bew->nbe", q, model.books)
-                best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+                best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object), np.zeros(0, np.int64)
             names = np.array([*part.column("id").to_pylist(), None], object)[:-1]
             codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(names), -1)
+            asking = np.flatnonzero(into[:, cell])
             step = max(1, 2_000_000 // max(1, len(names)))
-            for a in range(0, len(ids), step):
-                near = sum(tables[a : a + step, b][:, codes[:, b]] for b in range(codes.shape[1]))
-                limit = np.partition(near, keep - 1, 1)[:, keep - 1 : keep] if near.shape[1] > keep else np.inf
+            for a in range(0, len(asking), step):
+                own = asking[a : a + step]
+                near = sum(tables[own, b][:, codes[:, b]] for b in range(codes.shape[1]))
+                limit = np.partition(near, keep - 1, 1)[:, keep - 1 : keep] if near.shape[1] > keep else np.full((len(own), 1), np.inf)
                 r, c = np.nonzero(near <= limit)
-                mine = (best[0] >= a) & (best[0] < a + step)
-                rows_, d, n = (np.concatenate([old[mine], new]) for old, new in zip(best, (r + a, near[r, c], names[c])))
+                mine = np.isin(best[0], own)
+                rows_, d, n, at = (np.concatenate([old[mine], new]) for old, new in zip(best, (own[r], near[r, c], names[c], np.full(len(r), cell))))
                 order = np.lexsort((n, d, rows_))
-                rows_, d, n = rows_[order], d[order], n[order]
+                rows_, d, n, at = rows_[order], d[order], n[order], at[order]
                 some = np.arange(len(rows_)) - np.searchsorted(rows_, rows_) < keep
-                best = tuple(np.concatenate([old[~mine], new[some]]) for old, new in zip(best, (rows_, d, n)))
+                best = tuple(np.concatenate([old[~mine], new[some]]) for old, new in zip(best, (rows_, d, n, at)))
     yield from told()
 
 
 def _candidates(queries: DataFrame, codes: DataFrame, sizes: dict[int, int], model: Model, probes: int, keep: int) -> DataFrame:
-    """(query_id, id, cell, near): `keep` candidates of each query over all cells that it looks into."""
+    """(query_id, id, cell, near): `keep` candidates of each query over all cells that it looks into.
+
+    Cells stand in bundles of BUNDLE_CODES codes or one cell, and a query goes once to each bundle, not to each cell.
+    """
     n_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    parts = {c: -(-n // TILE_CODES) for c, n in sizes.items() if n}
-    if not parts:
+    if not any(sizes.values()):
         return queries.sparkSession.createDataFrame([], _CANDIDATES)
-    many = {c: n for c, n in parts.items() if n > 1}
-    tiles = F.create_map(*[F.lit(v) for pair in many.items() for v in pair])[F.col("cell")] if many else F.lit(None).cast("int")
-    n_tiles = F.coalesce(tiles, F.lit(1))
+    bundles, held = np.zeros(model.cells, np.int32), 0
+    for cell in range(1, model.cells):
+        held += sizes.get(cell - 1, 0)
+        more = held + sizes.get(cell, 0) > BUNDLE_CODES
+        bundles[cell] = bundles[cell - 1] + more
+        held = 0 if more else held
+    # only a cell alone in its bundle can be larger than it
+    totals = np.bincount(bundles, [sizes.get(c, 0) for c in range(model.cells)])
+    many = {b: int(-(-n // TILE_CODES)) for b, n in enumerate(totals) if n > TILE_CODES}
+    lookup = lambda pairs: F.create_map(*[F.lit(v) for pair in pairs.items() for v in pair])
+    n_tiles = F.coalesce(lookup(many)[F.col("bundle")], F.lit(1)) if many else F.lit(1)
+    bundle = F.get(F.array(*[F.lit(b) for b in bundles.tolist()]), F.col("cell")).alias("bundle")
     none = lambda kind: F.lit(None).cast(kind)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    q = _probes(queries, model, probes).select("cell", every(n_tiles).alias("tile"), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "query_id", "q", none("string").alias("id"), none("binary").alias("code"))
-    e = codes.select("cell", F.pmod(F.xxhash64("id"), n_tiles).cast("int").alias("tile"), every(F.lit(n_blocks)).alias("block"), F.lit(1).alias("side"), none("long").alias("query_id"), none("array<double>").alias("q"), "id", "code")
+    q = _probes(queries, model, probes, bundles).select("bundle", every(n_tiles).alias("tile"), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(-1).alias("cell"), "query_id", "cells", "q", none("string").alias("id"), none("binary").alias("code"))
+    e = codes.select(bundle, "cell", "id", "code").select("bundle", F.pmod(F.xxhash64("id"), n_tiles).cast("int").alias("tile"), every(F.lit(n_blocks)).alias("block"), "cell", none("long").alias("query_id"), none("array<int>").alias("cells"), none("array<double>").alias("q"), "id", "code")
     sent = queries.sparkSession.sparkContext.broadcast(model)
-    dealt = q.unionByName(e).repartition("cell", "tile", "block").sortWithinPartitions("cell", "tile", "block", "side")
+    dealt = q.unionByName(e).repartition("bundle", "tile", "block").sortWithinPartitions("bundle", "tile", "block", "cell")
     near = dealt.mapInArrow(lambda batches: _met(batches, sent.value, keep), _CANDIDATES)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "id"))
     return near.withColumn("nth", nth).where(F.col("nth") <= keep).drop("nth")

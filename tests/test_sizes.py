@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from quire.functions.chunkers import ChunkConfig
 from quire.jobs import queries as Q
-from quire.operators import chunking, layout, search, vectors
+from quire.operators import ann, chunking, layout, search, vectors
 from quire.sources.corpus import Corpus
 
 
@@ -149,3 +149,18 @@ def test_entries_of_a_search_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(search, "CARRIED", 0)
     assert len(held) == 5 * queries.count() and rows() == held
     assert search.knn(queries, entries.limit(0), keep=("document",)).count() == 0
+
+
+def test_a_query_goes_to_bundles_not_to_cells(spark, monkeypatch):
+    """However many cells a query looks into, it is one row for each bundle of them; candidates are the same."""
+    entries, queries = _vectors(spark)
+    model = ann.learn(entries, cells=20)
+    codes = ann.encoded(entries, model).select("cell", "id", "code")
+    sizes = {r["cell"]: r["count"] for r in codes.groupBy("cell").count().collect()}
+    bundles = np.arange(20) // 10
+    assert ann._probes(queries, model, 14, bundles).count() <= 2 * queries.count()
+    found = lambda: sorted(map(tuple, ann._candidates(queries, codes, sizes, model, 14, 7).collect()))
+    one = found()
+    for name, n in (("BUNDLE_CODES", 50), ("TILE_CODES", 20), ("BLOCK_QUERIES", 4)):
+        monkeypatch.setattr(ann, name, n)
+        assert found() == one
