@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import types as T
 
 from quire.functions.chunkers import ChunkConfig
@@ -164,3 +166,25 @@ def test_a_query_goes_to_bundles_not_to_cells(spark, monkeypatch):
     for name, n in (("BUNDLE_CODES", 50), ("TILE_CODES", 20), ("BLOCK_QUERIES", 4)):
         monkeypatch.setattr(ann, name, n)
         assert found() == one
+
+
+def test_a_search_holds_no_more_for_more_entries():
+    """What a task holds is bounded, however many entries come by and however many of them are equally near."""
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(2000, 16)), rng.normal(size=(10_000, 16))
+    x[1::2] = x[0]
+
+    def peak(batches: int) -> float:
+        best = search._Best(np.arange(len(q)), q, 10, "cosine", None)
+        tracemalloc.start()
+        for i in range(batches):
+            vecs = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 16, pa.int32()), pa.array(x.ravel()))
+            ids = pa.array([f"{i}_{j}" for j in range(len(x))])
+            assert not list(best.put(pa.RecordBatch.from_arrays([pa.array([""] * len(x)), ids, vecs], ["part", "id", "embedding"])))
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert sum(b.num_rows for b in best.done()) == 10 * len(q)
+        return most
+
+    one, six = peak(1), peak(6)
+    assert six < 1.2 * one and six < 120
