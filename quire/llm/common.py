@@ -77,7 +77,9 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
 
 # ----------------------------------------------------------------- bytes of a column of strings
 
-SLICE_BYTES = 4 << 20
+#: Texts are taken apart in runs of about so many bytes. What stands beside them takes some fifty bytes for each, and
+#: every worker of an executor holds it at once.
+SLICE_BYTES = 1 << 19
 
 
 def string_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -136,13 +138,15 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _POWERS: dict[str, np.ndarray] = {}
+#: Tables of powers, 16 bytes for each byte of a text, are kept up to this length.
+_KEPT_POWERS = (4 << 20) + 1
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        if size > SLICE_BYTES + 1:
+        if n > _KEPT_POWERS:
             return _powers(_BASE, n), _powers(_BASE_INV, n)
+        size = SLICE_BYTES + 1 if n <= SLICE_BYTES + 1 else _KEPT_POWERS
         _POWERS["up"], _POWERS["down"] = _powers(_BASE, size), _powers(_BASE_INV, size)
     return _POWERS["up"][:n], _POWERS["down"][:n]
 

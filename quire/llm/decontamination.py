@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import mix, save, string_slices, words
+from quire.llm.common import bound_batches, mix, save, string_slices, words
 
 #: A passage matches within this share of the item's words as edits (rounded down).
 EDITS = 0.2
@@ -43,7 +43,7 @@ RECALL = 0.95
 #: Bytes of item texts in one broadcast block.
 BLOCK_BYTES = 16 << 20
 #: Cells of one row of the distance table that are computed at once.
-CELLS = 1 << 21
+CELLS = 1 << 18
 #: The table of the words that may stand at a sampled place has so many places for each item, and at most 2 ** 20.
 _SPREAD = 64
 _PIECE = np.uint64(0x9FB21C651E98DF25)
@@ -296,6 +296,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS
     each written before the next.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.drop("leaks")
     some = benchmark.where(F.col(item_text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(item_text).alias("text"))
     n_bytes = some.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import components, mix, save, string_slices, words
+from quire.llm.common import bound_batches, components, mix, save, string_slices, words
 
 SHINGLE = 5
 #: 20 bands of 6 coordinates find a pair of similarity 0.85 with probability 0.9999, one of 0.8 with 0.998.
@@ -264,6 +264,7 @@ def near_duplicates(docs: DataFrame, *, per_cent: int = 85, id_col: str = "doc_i
     the links, whatever else some of its rows hold; a null id has no links. Very long texts count whole. Other columns
     of docs are left out, whatever their names. An empty table gives an empty one.
     """
+    bound_batches(docs.sparkSession)
     sketch = save(sketches(docs, id_col, text_col), "minhash-sketches")
     some = sketch.where("n_shingles > 0 and id is not null")
     classes = save(some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.min_by("bands", "id").alias("bands")), "minhash-classes")

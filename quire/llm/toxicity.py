@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import held_out, labelled_sample, learned, list_views, string_slices, words
+from quire.llm.common import bound_batches, held_out, labelled_sample, learned, list_views, string_slices, words
 
 #: Terms are hashed to 2 ** BITS numbers. Documents learned from: at most MAX_ROWS, chosen by a hash of the id.
 BITS, MAX_ROWS = 20, 20_000
 #: Lengths in bytes of the beginnings of words; length of the vectors.
 PREFIXES, FACTORS = (4, 5, 6), 4
 #: Texts are taken apart in runs of about so many bytes; the arrays of a run are some fifty times as large.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 #: From this score a document is rejected.
 THRESHOLD = 0.7
 
@@ -71,7 +71,15 @@ def learn(samples: list[tuple[np.ndarray, int]], *, alpha: float = 2.0, l1: floa
     rng = np.random.default_rng(seed)
     z, n = np.zeros(size), np.zeros(size)
     v, vn = rng.normal(0, 0.1, (size, FACTORS)), np.full((size, FACTORS), 10.0)
-    slots = [np.append(s[s > 0], np.int32(size - 1)) for s in (slot[t] for t, _ in samples)]
+    # the documents' slots, each with the bias at its end, lie in one array, which is given back whole
+    flat, ends = np.empty(sum(len(t) + 1 for t, _ in samples), np.int32), [0]
+    for t, _ in samples:
+        s = slot[t]
+        s = s[s > 0]
+        at, end = ends[-1], ends[-1] + len(s) + 1
+        flat[at : end - 1], flat[end - 1] = s, size - 1
+        ends.append(end)
+    slots = [flat[a:b] for a, b in zip(ends, ends[1:])]
 
     def weight(i):
         return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((1 + np.sqrt(n[i])) / alpha))
@@ -97,6 +105,7 @@ def learn(samples: list[tuple[np.ndarray, int]], *, alpha: float = 2.0, l1: floa
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from at most max_rows labelled documents that are not held out; their terms meet in one task."""
+    bound_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, max_rows, id_col, text_col)
     schema = T.StructType([sample.schema[id_col]]).add("label", "integer").add("terms", T.ArrayType(T.IntegerType()))
     made = sample.mapInArrow(lambda batches: _features(batches, id_col), schema)
@@ -127,6 +136,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, id_col
     of one id with different texts, are scored each by its text. An empty table gives an empty one. Columns of these
     names in docs are replaced. A null id is not held out.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

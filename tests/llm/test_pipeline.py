@@ -2,9 +2,12 @@
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
+from quire.llm import common, decontamination, minhash, toxicity
 from tests.llm.test_operators import edits, plain_components, plain_lines, plain_sets
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -98,3 +101,39 @@ def test_stages_of_nothing(spark, tables, tmp_path):
         out = stage(spark, docs, folder)
         assert out.collect() == []
         docs = docs if "text" not in out.columns else pipeline.save(out, "none-test")
+
+
+def test_what_a_worker_holds_beside_its_texts():
+    """Over 6 MB of texts in one batch each Python step of the pipeline allocates a few MB at once, and keeps less."""
+    rng = random.Random(5)
+    texts = pa.array([sentence(rng, 300) for _ in range(4500)])
+    assert texts.nbytes > 6e6
+    items = decontamination.block(list(range(20)), [sentence(rng, 30) for _ in range(20)], 0.2)
+    column = lambda *names: pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts, pa.array([0] * len(texts))], [*names, "label"])
+    model = toxicity.learn([])
+    steps = {
+        "scores": lambda: toxicity._score(model, texts),
+        "sketches": lambda: [None for _ in minhash._sketch(iter([column("id", "text")]), "id", "text")],
+        "sets": lambda: [None for _ in minhash._sets(iter([column("rep", "text")]))],
+        "leaks": lambda: [None for _, _, data, offsets in common.string_slices(texts) if len(decontamination.matches(data, offsets, items)) < 0],
+    }
+    peaks = {}
+    for name, step in steps.items():
+        common._POWERS.clear()
+        tracemalloc.start()
+        step()
+        kept, peaks[name] = (n / 1e6 for n in tracemalloc.get_traced_memory())
+        tracemalloc.stop()
+        assert kept < 12, (name, kept)
+    assert max(peaks.values()) < 40, peaks
+
+
+@pytest.mark.parametrize("stage", [pipeline.drop_toxic, pipeline.drop_near_duplicates, pipeline.drop_contaminated])
+def test_workers_get_bounded_batches(spark, tables, tmp_path, stage):
+    """Rows go to Python by bytes, not 10,000 at a time whatever their size."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "none"))
+    stage(spark, spark.read.schema(DOCS).parquet(str(tmp_path / "none")), tables[0])
+    wide = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) as text")
+    sizes = [r["n"] for r in wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    assert sum(sizes) > 30e6 and max(sizes) <= 1.1 * common.BATCH_BYTES
